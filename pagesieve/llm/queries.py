@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, sharding, simhash, tokens, topk, urls
+from . import brown, exact, langid, mixing, packing, sharding, simhash, tokens, topk, urls
 from .common import table
 
 
@@ -13,6 +13,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), urls.rules_frame(spark))
 
@@ -36,8 +44,15 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % topk.QUERY_EVERY == 0))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = langid.training_sample(docs.where(langid.in_training(F.col("doc_id"))))
+    # The fold is told by the id alone, after the prediction.
+    return langid.detect(docs, sample).withColumn("held_out", ~langid.in_training(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_url_filter, op5_simhash_groups, op6_shard, op7_token_counts, op8_top_k, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack, op3_class_lm, op4_url_filter, op5_simhash_groups, op6_shard, op7_token_counts, op8_top_k, op9_language, op10_exact_dedup)}
