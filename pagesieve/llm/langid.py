@@ -70,16 +70,18 @@ def suffix_automaton(text: str) -> dict:
 
 def phrase_count(start: dict, text: str) -> int:
     """Phrases of the greedy parse: longest matches, a character that never occurs being a phrase of its own."""
-    n, state = 1, start
+    n, state = 0, start
     for ch in text:
         to = state.get(ch)
         if to is None:
-            n += state is not start
-            state = start.get(ch, start)
-            n += state is start
-        else:
-            state = to
-    return n
+            if state is not start:
+                n += 1
+            to = start.get(ch)
+            if to is None:
+                n += 1
+                to = start
+        state = to
+    return n + (state is not start)
 
 
 @cache
