@@ -157,15 +157,13 @@ def tile_links(fps: list[bytes], sides: np.ndarray, radius: int, first_radius: i
     wide = np.frombuffer(b"".join(fps), ">u8").astype("<u8").reshape(len(fps), -1)
     first = np.ascontiguousarray(wide[:, 0])
     forest, here = _Forest(len(fps)), np.arange(len(fps))
-    deep = None
+    one, two = here[sides == 0], here[sides == 1]
+    same = not len(two)
     if wide.shape[1] > 1:
         deep = lambda i, j: np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int32) <= radius
-        radius = first_radius if first_radius is not None else radius
-        one, two = here[sides == 0], here[sides == 1]
-        _compare(first, one, two if len(two) else one, radius, not len(two), 0, forest, deep)
-        return forest.root
-    one, two = here[sides == 0], here[sides == 1]
-    _compare(first, one, two if len(two) else one, radius, not len(two), 16, forest, deep)
+        _compare(first, one, one if same else two, radius if first_radius is None else first_radius, same, 0, forest, deep)
+    else:
+        _compare(first, one, one if same else two, radius, same, 16, forest, None)
     return forest.root
 
 
