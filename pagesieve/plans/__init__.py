@@ -1 +1 @@
-
+"""Plans: the registered queries and their oracles."""

@@ -1,2 +1,482 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Every registered query, and the SQL that DuckDB runs on the same tables where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import functions as PF
+from .. import operators as O
+from ..kernel.options import Options
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, text, lang, source): the non-empty lines of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("pos"), PF.trimmed("raw").alias("text"), "lang", "source").where("text <> ''")
+
+
+LINES = r"""lines AS (
+  SELECT doc_id, lang, source, pos, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS text
+  FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+  WHERE trim(raw) <> ''
+)"""
+DOC_OF_PAGE = r"regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1)"
+
+
+def page_doc_id() -> Column:
+    return F.regexp_extract("url", r"/[a-z]{2}/([0-9]+)", 1).cast("long")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages → extraction → fingerprints → copies dropped → documents, characters and distinct fingerprints per host and language."""
+    found = PF.extract_pages(pages(spark, sf_dir), Options.of(fast=True, include_comments=False), keep=("page_id", "url"), fields=("status", "text", "text_len", "fingerprint"))
+    ok = found.where("status = 'ok'").withColumn("lang", F.regexp_extract("url", "/([a-z]{2})/[0-9]+", 1)).withColumn("host", PF.host("url"))
+    return O.without_copies(ok, id_col="page_id").groupBy("host", "lang").agg(F.count("*").alias("docs"), F.sum("text_len").cast("long").alias("chars"), F.countDistinct("fingerprint").alias("fingerprints"))
+
+
+@query()
+def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+# ---- extraction ---------------------------------------------------------------------------------------------------------
+
+_BODY = f"""
+WITH {LINES.replace("FROM documents)", "FROM documents WHERE n_chars >= 250)")}, flagged AS (
+  SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM lines
+), body AS (
+  SELECT doc_id, string_agg(text, ' ' ORDER BY pos) AS body_text, bool_or(prev = text AND length(text) > 50) AS adjacent_repeat FROM flagged GROUP BY doc_id
+)
+SELECT p.page_id, b.body_text FROM pages p JOIN body b ON b.doc_id = CAST({DOC_OF_PAGE} AS BIGINT) WHERE NOT coalesce(b.adjacent_repeat, false)
+"""
+
+
+def _body(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
+    found = PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id", "url"), fields=("body_text",))
+    docs = table(spark, sf_dir, "documents").where("n_chars >= 250").select("doc_id")
+    repeats = O.adjacent_repeats(lines(spark, sf_dir).drop("lang", "source")).where("is_adjacent_repeat").select("doc_id").distinct()
+    own = found.withColumn("doc_id", page_doc_id())
+    return own.join(docs, "doc_id", "left_semi").join(repeats, "doc_id", "left_anti").select("page_id", "body_text")
+
+
+@query(_BODY)
+def main_text_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body(spark, sf_dir, Options.of(fast=True, include_comments=False))
+
+
+@query(_BODY)
+def main_text_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body(spark, sf_dir, Options.of())
+
+
+@query(_BODY)
+def main_text_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body(spark, sf_dir, Options.of(fast=True, favor_precision=True, include_comments=False))
+
+
+@query(_BODY)
+def main_text_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body(spark, sf_dir, Options.of(fast=True, favor_recall=True, include_comments=False))
+
+
+@query(
+    r"""
+WITH d AS (SELECT page_id, unnest(regexp_extract_all(html, '<h1>(.*?)</h1>', 1)) AS raw FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(raw, '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM d
+"""
+)
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", PF.page_metadata("html", "url")["title"].alias("title"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, length(html)::BIGINT AS n_chars FROM pages WHERE html LIKE '%<html lang=%'")
+def page_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+    return pages(spark, sf_dir).where(F.contains("html", F.lit("<html lang="))).select("page_id", lang.alias("lang"), F.length("html").cast("long").alias("n_chars"))
+
+
+@query(
+    """
+SELECT page_id, len(l)::BIGINT AS links, coalesce(list_sum(list_transform(l, lambda x: length(x))), 0)::BIGINT AS link_chars, len(list_filter(l, lambda x: length(x) < 10))::BIGINT AS short_links
+FROM (SELECT page_id, list_filter(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), lambda x: length(x) > 0) AS l FROM pages) WHERE len(l) > 0
+"""
+)
+def link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.element_link_stats(PF.dom_nodes(pages(spark, sf_dir)))
+
+
+@query()
+def readability_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = O.best_candidates(O.scored_candidates(PF.dom_nodes(pages(spark, sf_dir))))
+    return best.select("page_id", "node_id", "tag", F.round("score", 4).alias("score"))
+
+
+@query()
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = Options.of(output_format="markdown", include_links=True, include_images=True, with_metadata=True)
+    return PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id",), fields=("status", "stage", "output"))
+
+
+def _as(output: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        options = Options.of(output_format=output, with_metadata=True, include_formatting=True, fast=True)
+        return PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id",), fields=("status", "output"))
+
+    run.__name__ = f"page_{output}"
+    return run
+
+
+for _output in ("txt", "csv", "json", "html", "xml", "xmltei"):
+    query()(_as(_output))
+
+
+@query()
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = pages(spark, sf_dir).select("page_id", PF.page_metadata("html", "url").alias("m"))
+    return m.select("page_id", "m.title", "m.author", "m.url", "m.hostname", "m.sitename", "m.date", "m.license", F.array_join("m.categories", ";").alias("categories"), F.array_join("m.tags", ";").alias("tags"))
+
+
+@query()
+def baseline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", PF.baseline_text("html").alias("text"))
+
+
+@query()
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", PF.html_to_text("html").alias("text"))
+
+
+@query()
+def readerable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", PF.probably_readerable("html").alias("readerable"))
+
+
+@query()
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", PF.text_fingerprint("text").alias("fingerprint"), PF.content_file_name("text").alias("file_name"))
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents WHERE text IS NOT NULL")
+def unicode_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", PF.normalized_unicode("text").alias("text"))
+
+
+# ---- blocks and documents -------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""
+WITH {LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, pos) AS occurrence FROM lines)
+SELECT doc_id, pos::INTEGER AS pos, occurrence::INTEGER AS occurrence, length(text) > 100 AND occurrence > 3 AS is_repeat FROM k
+"""
+)
+def segment_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.repeated_segments(lines(spark, sf_dir)).select("doc_id", "pos", "occurrence", "is_repeat")
+
+
+@query(
+    f"""
+WITH {LINES}, k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, pos) AS occurrence FROM lines)
+SELECT doc_id, pos::INTEGER AS pos, text FROM k WHERE length(text) <= 100 OR occurrence <= 3
+"""
+)
+def segments_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.without_repeated_segments(lines(spark, sf_dir)).select("doc_id", "pos", "text")
+
+
+@query(
+    f"""
+WITH {LINES}, k AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM lines)
+SELECT doc_id, pos::INTEGER AS pos FROM k WHERE prev = text AND length(text) > 50
+"""
+)
+def adjacent_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.adjacent_repeats(lines(spark, sf_dir)).where("is_adjacent_repeat").select("doc_id", "pos")
+
+
+@query(
+    r"""
+WITH k AS (SELECT doc_id, length(text) AS n, row_number() OVER (PARTITION BY trim(regexp_replace(text, '\s+', ' ', 'g')) ORDER BY doc_id) AS occurrence, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents)
+SELECT doc_id FROM k WHERE t <= 100 OR occurrence <= 1
+"""
+)
+def documents_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.without_copies(table(spark, sf_dir, "documents"), max_repetitions=0).select("doc_id")
+
+
+@query(
+    f"""
+WITH {LINES} SELECT lang, count(*) AS paragraphs, count(DISTINCT doc_id) AS docs, sum(length(text))::BIGINT AS chars, max(length(text))::BIGINT AS longest, count(*) FILTER (length(text) > 100) AS long_ones FROM lines GROUP BY lang
+"""
+)
+def paragraph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    return lines(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("paragraphs"), F.countDistinct("doc_id").alias("docs"), F.sum(n).cast("long").alias("chars"), F.max(n).cast("long").alias("longest"), F.count_if(n > 100).alias("long_ones"))
+
+
+@query(
+    """
+SELECT lang, source, count(*) AS docs, sum(n_chars)::BIGINT AS chars, grouping(lang)::INTEGER AS all_langs, grouping(source)::INTEGER AS all_sources FROM documents GROUP BY ROLLUP (lang, source)
+"""
+)
+def language_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum("n_chars").cast("long").alias("chars"), F.grouping("lang").cast("int").alias("all_langs"), F.grouping("source").cast("int").alias("all_sources"))
+
+
+@query(
+    r"""
+WITH t AS (
+  SELECT doc_id, list_filter(list_transform(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: regexp_replace(x, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')), lambda x: regexp_full_match(x, '[\p{L}\p{N}]+')) AS w FROM documents
+), k AS (
+  SELECT doc_id, list_filter(w, lambda x: length(x) > 4) AS a, list_filter(w, lambda x: length(x) > 3) AS b, list_filter(w, lambda x: length(x) > 2) AS c, list_filter(w, lambda x: length(x) > 1) AS d, w FROM t
+)
+SELECT doc_id, array_to_string(CASE WHEN len(a) >= 32 THEN a WHEN len(b) >= 32 THEN b WHEN len(c) >= 32 THEN c WHEN len(d) >= 32 THEN d ELSE w END, ' ') AS tokens FROM k
+"""
+)
+def token_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(PF.sample_tokens("text"), " ").alias("tokens"))
+
+
+@query(
+    r"""
+SELECT conv_id, turn FROM conversations
+WHERE text IS NULL OR trim(text) = '' OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)^[^\p{L}\p{N}_]*(drucken|e-?mail|facebook|flipboard|google|instagram|linkedin|mail|pdf|pinterest|pocket|print|qq|reddit|twitter|wechat|weibo|whatsapp|xing|mehr zum thema:?|more on this.{0,8})$'))) > 0
+"""
+)
+def noise_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where(PF.is_noise_line("text")).select("conv_id", "turn")
+
+
+@query(
+    """
+WITH d AS (SELECT p.page_id, d.text, d.n_chars FROM pages p JOIN documents d ON d.doc_id = CAST(regexp_extract(p.url, '/[a-z]{2}/([0-9]+)', 1) AS BIGINT) WHERE d.n_chars >= 250)
+SELECT count(*) AS tp, 0::BIGINT AS fn, 0::BIGINT AS fp, count(*) AS tn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f_score FROM d
+"""
+)
+def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion of extraction against the documents behind the pages: the last line must be found, the footer's sign must not."""
+    docs = table(spark, sf_dir, "documents").where("n_chars >= 250").select("doc_id", F.element_at(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), -1).alias("last"))
+    own = pages(spark, sf_dir).select("page_id", page_doc_id().alias("doc_id")).join(docs, "doc_id")
+    gold = own.select("page_id", F.array("last").alias("with"), F.array(F.lit("© th ")).alias("without"))
+    found = PF.extract_pages(pages(spark, sf_dir), Options.of(fast=True, include_comments=False), keep=("page_id",), fields=("text",))
+    return O.confusion(O.segment_hits(found, gold, key="page_id"))
+
+
+# ---- addresses ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """
+SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[0-9]*\\.', '') AS domain,
+  regexp_replace(url, '^https?://|/+$', '', 'g') AS stripped, regexp_replace(url, '/[^/]*$', '') AS reference FROM pages
+""".replace("\\\\", "\\")
+)
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", PF.base_url("url").alias("base"), PF.host("url").alias("host"), PF.domain("url").alias("domain"), PF.stripped_url("url").alias("stripped"), PF.crawl_reference("url").alias("reference"))
+
+
+@query()
+def url_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", PF.clean_url("url").alias("url"))
+
+
+@query("SELECT page_id FROM pages WHERE length(html) BETWEEN 10 AND 5000")
+def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).where(PF.acceptable_size("html", 10, 5000)).select("page_id")
+
+
+@query(
+    """
+WITH b AS (SELECT DISTINCT regexp_replace(url, '^https?://|/+$', '', 'g') AS bad FROM pages WHERE url LIKE '%//m.%')
+SELECT DISTINCT url FROM pages WHERE url IS NOT NULL AND regexp_replace(url, '^https?://|/+$', '', 'g') NOT IN (SELECT bad FROM b)
+"""
+)
+def blacklist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir)
+    return O.without_blacklisted(p.select("url"), p.where(F.contains("url", F.lit("//m."))).select("url"))
+
+
+@query("SELECT DISTINCT url FROM pages WHERE contains(url, '/en/') OR contains(url, 'utm_source')")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.without_blacklisted(pages(spark, sf_dir).select("url"), filters=("/en/", "utm_source"))
+
+
+@query("SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, count(*) AS urls, count(DISTINCT url) AS distinct_urls FROM pages GROUP BY 1")
+def host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.host_counts(pages(spark, sf_dir))
+
+
+@query(
+    """
+WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages)
+SELECT page_id, host, (row_number() OVER w - 1)::INTEGER AS round, 5.0 * (row_number() OVER w - 1) AS not_before FROM h WINDOW w AS (PARTITION BY host ORDER BY page_id)
+""".replace("5.0 * (row_number() OVER w - 1) AS", "(5.0 * (row_number() OVER w - 1))::DOUBLE AS")
+)
+def fetch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.fetch_rounds(pages(spark, sf_dir).select("page_id", "url"), order_by=("page_id",)).select("page_id", "host", "round", "not_before")
+
+
+@query(
+    """
+WITH d AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[0-9]*[.]', '') AS domain FROM pages)
+SELECT page_id FROM d WHERE domain NOT IN (SELECT domain FROM d WHERE contains(url, '/de/'))
+"""
+)
+def domains_without_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir).select("page_id", "url")
+    return O.without_found_domains(p, p.where(F.contains("url", F.lit("/de/")))).select("page_id")
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each host a sitemap, an RSS feed, an Atom feed and a robots file made of its URLs."""
+    own = pages(spark, sf_dir).groupBy(PF.host("url").alias("host")).agg(F.sort_array(F.collect_set("url")).alias("u"))
+    joined = lambda before, after: F.array_join(F.transform("u", lambda x: F.concat(F.lit(before), x, F.lit(after))), "\n")
+    return own.select(
+        "host",
+        F.concat(F.lit('<?xml version="1.0"?><urlset>'), joined("<url><loc>", "</loc></url>"), F.lit("</urlset>")).alias("sitemap"),
+        F.concat(F.lit("<rss><channel>"), joined("<item><link>", "</link></item>"), F.lit("</channel></rss>")).alias("rss"),
+        F.concat(F.lit("<feed>"), joined('<entry><link rel="alternate" href="', '"/></entry>'), F.lit("</feed>")).alias("atom"),
+        F.concat(F.lit("User-agent: *\nDisallow: /x # no\n"), joined("Sitemap: ", " # all")).alias("robots"),
+    )
+
+
+@query(
+    """
+WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, url FROM pages)
+SELECT host, url, kind FROM h, (VALUES ('sitemap'), ('rss'), ('atom')) k(kind)
+UNION ALL SELECT host, regexp_replace(url, '#.*$', ''), 'robots' FROM h GROUP BY 1, 2
+"""
+)
+def listed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _listings(spark, sf_dir).select("host", F.array(F.struct(F.lit("sitemap").alias("kind"), PF.sitemap_links("sitemap").alias("u")), F.struct(F.lit("rss").alias("kind"), PF.rss_links("rss").alias("u")), F.struct(F.lit("atom").alias("kind"), PF.atom_links("atom").alias("u")), F.struct(F.lit("robots").alias("kind"), PF.robots_sitemaps("robots").alias("u"))).alias("k"))
+    return found.select("host", F.explode("k").alias("k")).select("host", F.explode("k.u").alias("url"), "k.kind")
+
+
+@query(
+    """
+WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages)
+SELECT host, true AS sitemap_ok, true AS rss_is_feed, true AS atom_is_feed, false AS robots_is_feed, false AS page_is_sitemap FROM h
+"""
+)
+def listing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _listings(spark, sf_dir)
+    return found.select("host", PF.is_sitemap(F.lit("http://x.org/sitemap.xml"), "sitemap").alias("sitemap_ok"), PF.is_feed("rss").alias("rss_is_feed"), PF.is_feed("atom").alias("atom_is_feed"), PF.is_feed("robots").alias("robots_is_feed"), PF.is_sitemap(F.lit("http://x.org/sitemap.xml"), F.lit("<html>")).alias("page_is_sitemap"))
+
+
+@query()
+def feed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feeds = _listings(spark, sf_dir).select(F.concat(F.lit("http://"), "host", F.lit("/feed")).alias("url"), F.col("rss").alias("html"))
+    return O.discover_feeds(feeds)
+
+
+@query()
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", F.posexplode(PF.page_links("html", "url")).alias("pos", "link"))
+
+
+@query()
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds over the pages themselves as the web."""
+    web = pages(spark, sf_dir).select("url", "html").dropDuplicates(["url"])
+    return O.crawl(web.select("url"), lambda todo: web.join(todo, "url", "left_semi"), max_rounds=3)
+
+
+# ---- scalar functions -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""
+SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g')))::INTEGER AS n_trimmed, contains(text, '{') OR contains(text, '("') OR contains(text, '(''') OR contains(text, chr(10) || '    ') AS code,
+  length(CASE WHEN length(text) > 10000 THEN substr(text, 1, 9999) || '…' ELSE text END)::INTEGER AS n_clipped, replace(replace(text, '|', '\|'), chr(10), ' ') AS cell, NOT contains(lower(substr(text, 1, 50)), 'html') AS dubious,
+  CASE WHEN source = 'src1' THEN 'a; c' ELSE 'a; ' || source || '; c' END AS authors, source || ' (' || lang || ')' AS publisher, repeat('#', CASE WHEN doc_id % 8 BETWEEN 1 AND 6 THEN doc_id % 8 ELSE 2 END) AS marks,
+  least(doc_id + 1, 100)::INTEGER AS span, CASE WHEN doc_id = 0 THEN 0 WHEN doc_id > 990 THEN 126 ELSE 1 END AS code_of_1000
+FROM documents WHERE text IS NOT NULL AND source IS NOT NULL
+"""
+)
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL")
+    return d.select(
+        "doc_id",
+        F.length(PF.trimmed("text")).alias("n_trimmed"),
+        PF.looks_like_code("text").alias("code"),
+        F.length(PF.clipped("text")).alias("n_clipped"),
+        PF.escaped_cell("text").alias("cell"),
+        PF.is_dubious_html("text").alias("dubious"),
+        PF.allowed_authors(F.concat(F.lit("a; "), "source", F.lit("; c")), ["SRC1"]).alias("authors"),
+        PF.publisher("source", "lang").alias("publisher"),
+        PF.heading_marks((F.col("doc_id") % 8).cast("string")).alias("marks"),
+        PF.span_width((F.col("doc_id") + 1).cast("string")).alias("span"),
+        PF.exit_code("doc_id", F.lit(1000)).alias("code_of_1000"),
+    )
+
+
+@query(
+    """
+SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.vec_id, b.vec_id))::INTEGER AS distance, ((64 - bit_count(xor(a.vec_id, b.vec_id))) / 64.0)::DOUBLE AS similarity
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 37
+"""
+)
+def hash_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id")
+    pairs = v.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 37).alias("b")).join(v.select(F.col("vec_id").alias("b")), "b")
+    return pairs.select("a", "b", PF.hamming_distance("a", "b").alias("distance"), PF.hash_similarity(PF.hash_from_hex(PF.hash_to_hex("a")), "b").alias("similarity"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '5 minutes', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch counterpart of the windowed counts of a stream."""
+    return table(spark, sf_dir, "events").groupBy(F.window("ts", "5 minutes"), "event_type").agg(F.count("*").alias("n")).select("event_type", F.col("window.start").alias("start"), "n")
+
+
+@query(
+    """
+SELECT conv_id, turn, text FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NULL OR prev <> text OR length(text) <= 50
+"""
+)
+def turns_without_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return O.without_adjacent_repeats(turns, doc_key="conv_id", pos_col="turn").select("conv_id", "turn", "text")
+
+
+@query(
+    """
+SELECT l.quality, l.toxic, d.lang, count(*) AS docs, avg(d.n_chars) AS mean_chars FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL
+"""
+)
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").groupBy("quality", "toxic", "lang").agg(F.count("*").alias("docs"), F.avg("n_chars").alias("mean_chars"))
+
+
+@query("SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, min(page_id) AS page_id FROM pages GROUP BY 1")
+def first_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each host; the filter on the rank cuts groups before the shuffle."""
+    own = Window.partitionBy("host").orderBy("page_id")
+    return pages(spark, sf_dir).select(PF.host("url").alias("host"), "page_id").withColumn("at", F.row_number().over(own)).where("at = 1").select("host", "page_id")
