@@ -10,8 +10,9 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
-import pyarrow as pa
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,32 +101,48 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 #: Texts of these characters only are cut alike by any implementation of the pre-tokenizer's pattern.
 PLAIN = re.compile(r"[\t\n\r -~¡-ÿ]*")
-#: Pre-tokens that an encoder remembers.
-REMEMBERED = 400_000
 
 
-class IdEncoder:
-    """Token ids as unsigned little-endian integers of ``width`` bytes; ids of pre-tokens that came before are remembered."""
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 itself, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
-    def __init__(self, name: str = TOKENIZER, width: int = 4):
-        import regex
 
-        self.tokenizer, self.width, self.known = load(name), width, {}
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+@cache
+def _same_vocabulary(name: str):
+    """The vocabulary of a byte-level BPE file as ranks for the faster of the two libraries, or None for a file of another kind."""
+    import json
+
+    import tiktoken
+
+    if not name.endswith(".json"):
+        return None
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        data = json.load(f)
+    model, cut = data["model"], data.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or data.get("normalizer"):
+        return None
+    byte_of, special = _byte_of(), {t["content"] for t in data.get("added_tokens", ())}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(self.width, "little") for i in ids)
+
+class IdEncoder:
+    """Token ids as unsigned little-endian integers of ``width`` bytes.
+
+    Plain texts go through the same vocabulary in tiktoken, which takes a quarter of the time for the same ids; texts that may
+    hold special strings, or characters whose class may differ between the libraries, go through tokenizers.
+    """
+
+    def __init__(self, name: str = TOKENIZER, width: int = 4):
+        self.tokenizer, self.fast, self.kind = load(name), _same_vocabulary(name), f"<u{width}"
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
-            parts = self.tokenizer.encode_batch_fast([*pieces(text)], add_special_tokens=False)
-            return b"".join(self._bytes(p.ids) for p in parts)
-        tokens = self.cut(text)
-        known = self.known
-        new = [t for t in set(tokens) if t not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(tokens))
-            known.update(zip(new, (self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return b"".join([known[t] for t in tokens])
+        if self.fast is not None and "<|" not in text and PLAIN.fullmatch(text):
+            parts = [self.fast.encode_ordinary(p) for p in pieces(text)]
+        else:
+            split = pieces(text) if self.fast is not None else [text]
+            parts = [e.ids for e in self.tokenizer.encode_batch_fast([*split], add_special_tokens=False)]
+        return b"".join(np.array(ids, self.kind).tobytes() for ids in parts)
