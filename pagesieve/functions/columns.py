@@ -73,7 +73,7 @@ def clipped(text: ColumnOrName, limit: int = 10_000) -> Column:
 
 
 def heading_marks(level: ColumnOrName) -> Column:
-    found = _c(level).cast("int")
+    found = _c(level).try_cast("int")
     return F.repeat(F.lit("#"), F.when(found.between(1, 6), found).otherwise(F.lit(2)))
 
 

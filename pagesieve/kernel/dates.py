@@ -48,6 +48,7 @@ MONTHS = {
 _ISO = re.compile(r"(?<!\d)((?:19|20)\d{2})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)")
 _COMPACT = re.compile(r"(?<!\d)((?:19|20)\d{2})(0[1-9]|1[0-2])([0-2]\d|3[01])(?!\d)")
 _DAY_FIRST = re.compile(r"(?<!\d)(\d{1,2})[./-](\d{1,2})[./-]((?:19|20)\d{2})(?!\d)")
+_SHORT_YEAR = re.compile(r"(?<![\d.])(\d{1,2})\.(\d{1,2})\.(\d{2})(?![\d.]*\d)")
 _LONG_1 = re.compile(r"(?<!\d)(\d{1,2})(?:st|nd|rd|th|er|\.)?\s+(?:de\s+|of\s+)?([^\W\d_]{3,10})\.?,?\s+(?:de\s+)?((?:19|20)\d{2})(?!\d)")
 _LONG_2 = re.compile(r"([^\W\d_]{3,10})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+((?:19|20)\d{2})(?!\d)")
 _URL_DATE = re.compile(r"/((?:19|20)\d{2})[/-]?(\d{1,2})[/-]?(\d{1,2})(?:/|[^\d]|$)")
@@ -75,6 +76,9 @@ def dates_in(text: str, day_first: bool = True) -> Iterator[tuple[int, int, int]
     for m in _DAY_FIRST.finditer(text):
         a, b = int(m[1]), int(m[2])
         yield (int(m[3]), b, a) if (day_first and b <= 12) or a > 12 else (int(m[3]), a, b)
+    for m in _SHORT_YEAR.finditer(text):
+        year = int(m[3])
+        yield (2000 if year < 70 else 1900) + year, int(m[2]), int(m[1])
     for m in _COMPACT.finditer(text):
         yield int(m[1]), int(m[2]), int(m[3])
 

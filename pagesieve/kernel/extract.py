@@ -18,12 +18,12 @@ ENDS_WITHOUT = frozenset(("head", "ref"))
 class BlockReader:
     """Reads a converted container in document order into blocks: p, head, list, quote, code, table, graphic."""
 
-    def __init__(self, options: Options, loose_divs: bool = False):
-        self.options, self.loose_divs = options, loose_divs
+    def __init__(self, options: Options, loose_divs: bool = False, loose_text: bool = False):
+        self.options, self.loose_divs, self.loose_text = options, loose_divs, loose_text
         self.blocks: list[Node] = []
 
     def read(self, node: Node) -> list[Node]:
-        after_break: list | None = None  # text after a line break, outside of any block
+        after_break: list | None = [] if self.loose_text else None  # text after a line break, outside of any block
         for kid in node.kids:
             if isinstance(kid, str):
                 if after_break is not None:
@@ -33,7 +33,7 @@ class BlockReader:
                 after_break.append(kid)
                 continue
             self._paragraph_of(after_break)
-            after_break = [] if kid.tag == "lb" else None
+            after_break = [] if kid.tag == "lb" or self.loose_text else None
             if kid.tag != "lb":
                 self._block(kid)
         self._paragraph_of(after_break)
@@ -101,7 +101,7 @@ class BlockReader:
                 for k in self.inline(kid):
                     out.add(k)
             elif kid.tag in INLINE:
-                attrs = {k: v for k, v in kid.attrs.items() if k in ("rend", "target")}
+                attrs = {k: v for k, v in kid.attrs.items() if k == "target" or k == "rend" and kid.tag == "hi"}
                 inner = [kid.text()] if kid.tag == "code" else self.inline(kid)
                 if inner:
                     out.add(Node(kid.tag, attrs, inner))
@@ -306,11 +306,11 @@ def _row(cells: list[Node], width: int) -> Node:
 
 
 def _ends_trimmed(kids: list) -> list:
-    """Inline content with collapsed blanks, none at its ends, and no line break at its end."""
-    kids = [k if not isinstance(k, str) else re.sub(r"\s+", " ", k) for k in kids]
-    while kids and (kids[-1] == " " or not isinstance(kids[-1], str) and kids[-1].tag == "lb"):
+    """Inline content with blanks for line ends, none at its own ends, and no line break at its end."""
+    kids = [k if not isinstance(k, str) else re.sub(r"\s*[^\S ]\s*", " ", k) for k in kids]
+    while kids and (kids[-1].isspace() if isinstance(kids[-1], str) else kids[-1].tag == "lb"):
         kids.pop()
-    while kids and kids[0] == " ":
+    while kids and isinstance(kids[0], str) and kids[0].isspace():
         kids.pop(0)
     if kids and isinstance(kids[0], str):
         kids[0] = kids[0].lstrip()
@@ -342,7 +342,8 @@ def main_body(tree: Node, options: Options) -> tuple[Node, bool]:
         if not part.nodes:
             continue
         # the paragraphs of the whole document decide whether divs may count as paragraphs
-        if _paragraph_chars(tree) < options.min_extracted_size * (1 if options.focus == "precision" else 3):
+        chars = _paragraph_chars(tree)
+        if not chars or chars < options.min_extracted_size * (1 if options.focus == "precision" else 3):
             loose = True
         for block in BlockReader(options, loose).read(unwrapped(part, "span")):
             body.add(block)

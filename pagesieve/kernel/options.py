@@ -68,7 +68,7 @@ class Options:
 
     @classmethod
     def of(cls, *, output_format: str = "python", favor_precision: bool = False, favor_recall: bool = False, include_formatting: bool | None = None, **named) -> Options:
-        """Options from the keyword arguments of the public functions. Recall goes before precision; Markdown implies formatting."""
+        """Options from the keyword arguments of the public functions. Recall goes before precision; Markdown implies formatting unless that is switched off."""
         if output_format not in FORMATS:
             raise AttributeError(f"unknown output format: {output_format}")
         renamed = {"include_comments": "comments", "include_links": "links", "include_images": "images", "include_tables": "tables", "deduplicate": "dedup", "target_language": "lang", "prune_xpath": "prune", "date_extraction_params": "date_params"}
@@ -85,7 +85,7 @@ class Options:
             elif name == "date_params":
                 value = dict(value or {})
             values[name] = value
-        values["formatting"] = output_format == "markdown" if include_formatting is None else include_formatting or output_format == "markdown"
+        values["formatting"] = output_format == "markdown" if include_formatting is None else bool(include_formatting)
         values["focus"] = "recall" if favor_recall else "precision" if favor_precision else "balanced"
         if values.get("only_with_metadata") or values.get("url_blacklist") or values.get("author_blacklist") or output_format == "xmltei":
             values["with_metadata"] = True

@@ -170,7 +170,12 @@ class TextWriter:
             run = Node("p")
             if kid is not None:
                 out.append(self.block(kid))
-        return ("\n\n" if self.formatting else "\n").join(t for t in out if t)
+        text = ""
+        for t in filter(None, out):
+            # a fence ends its block, so one line end is enough after it
+            gap = "\n" if not self.formatting or text.endswith("\n```") else "\n\n"
+            text += (gap if text else "") + t
+        return text
 
     def _list(self, n: Node, depth: int) -> str:
         lines, number = [], 0
@@ -194,7 +199,7 @@ class TextWriter:
         lines = []
         for row in n.nodes:
             cells = [self._cell(c) for c in row.nodes]
-            lines.append("| " + "".join(f"{c} | " for c in cells).rstrip())
+            lines.append("| " + "".join(f"{c} | " for c in cells))
             if any(c.get("role") == "head" for c in row.nodes):
                 lines.append("|" + "---|" * len(cells))
         return "\n".join(lines)

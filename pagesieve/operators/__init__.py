@@ -3,10 +3,11 @@
 from .blocks import adjacent_repeats, document_copies, explode_blocks, repeated_segments, without_adjacent_repeats, without_copies, without_repeated_segments
 from .crawl import crawl, discover_feeds, discover_sitemaps, fetch_rounds, frontier_step, host_counts, without_blacklisted, without_found_domains
 from .evaluation import confusion, segment_hits
+from .pages import extract_deduplicated
 from .scoring import best_candidates, element_link_stats, scored_candidates
 
 __all__ = [
-    "adjacent_repeats", "best_candidates", "confusion", "crawl", "discover_feeds", "discover_sitemaps", "document_copies", "element_link_stats", "explode_blocks",
+    "adjacent_repeats", "best_candidates", "confusion", "crawl", "discover_feeds", "discover_sitemaps", "document_copies", "element_link_stats", "explode_blocks", "extract_deduplicated",
     "fetch_rounds", "frontier_step", "host_counts", "repeated_segments", "scored_candidates", "segment_hits", "without_adjacent_repeats", "without_blacklisted",
     "without_copies", "without_found_domains", "without_repeated_segments",
 ]

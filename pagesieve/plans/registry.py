@@ -131,6 +131,11 @@ def link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.element_link_stats(PF.dom_nodes(pages(spark, sf_dir)))
 
 
+@query()
+def pages_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.extract_deduplicated(pages(spark, sf_dir), Options.of(fast=True, include_comments=False), key="page_id")
+
+
 @query()
 def readability_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = O.best_candidates(O.scored_candidates(PF.dom_nodes(pages(spark, sf_dir))))

@@ -29,8 +29,12 @@ def windowed_counts(events: DataFrame, *, time_col: str, window: str = "5 minute
     return events.withWatermark(time_col, delay).groupBy(span, *by).agg(F.count("*").alias("n"))
 
 
-def repeated_texts(segments: DataFrame, *, text_col: str = "text", min_size: int = 100, max_repetitions: int = 2, timeout_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """(hash, text, occurrence, is_repeat): the running number of each text, kept as a count per hash until it times out."""
+def repeated_texts(segments: DataFrame, *, text_col: str = "text", min_size: int = 100, max_repetitions: int = 2, timeout_ms: int | None = None) -> DataFrame:
+    """(hash, text, occurrence, is_repeat): the running number of each text, kept as a count per hash.
+
+    With ``timeout_ms`` counts that long untouched are forgotten, which bounds the state of a query that never ends; a query with the trigger
+    availableNow must go without, as it would wait for timeouts for ever.
+    """
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -43,10 +47,11 @@ def repeated_texts(segments: DataFrame, *, text_col: str = "text", min_size: int
             long = pdf["text"].str.len() > min_size
             yield pd.DataFrame({"hash": key[0], "text": pdf["text"].values, "occurrence": list(numbers), "is_repeat": [bool(is_long) and n > max_repetitions + 1 for is_long, n in zip(long, numbers, strict=True)]})
         state.update((seen,))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
 
     rows = segments.select(F.sha2(trimmed(text_col), 256).alias("hash"), trimmed(text_col).alias("text"))
-    return rows.groupBy("hash").applyInPandasWithState(count, "hash string, text string, occurrence long, is_repeat boolean", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("hash").applyInPandasWithState(count, "hash string, text string, occurrence long, is_repeat boolean", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def polite_schedule(urls: DataFrame, *, url_col: str = "url", time_col: str = "ts", sleep_time: float = 5.0) -> DataFrame:
