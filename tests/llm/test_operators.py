@@ -399,6 +399,18 @@ def test_suffix_automaton_parses_into_longest_matches():
         assert langid.phrase_count(langid.suffix_automaton(sample), text) == n
 
 
+def test_all_texts_at_once_are_parsed_like_one(monkeypatch):
+    r = random.Random(8)
+    sample = tuple((lang, "".join(r.choice(letters) for _ in range(300))) for lang, letters in (("x", "ab c"), ("y", "abd "), ("z", "é c")))
+    texts = ["".join(r.choice("abcdé ?") for _ in range(r.choice([0, 1, 5, 40, 200]))) for _ in range(60)]
+    starts = [langid.suffix_automaton(t) for _, t in sample]
+    want = [[langid.phrase_count(s, t) for s in starts] for t in texts]
+    assert langid.Parser(sample).counts(texts).tolist() == want
+    assert langid.Parser(sample).counts([]).tolist() == []
+    monkeypatch.setattr(langid, "TABLE_ENTRIES", 0)
+    assert langid.Parser(sample).counts(texts).tolist() == want
+
+
 def test_language(spark, docs):
     r = random.Random(4)
     say = {"en": "the and of to in that is was he for it with as his on be at by".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein".split(), "fr": "le de un être et à il avoir ne je son que se qui ce dans en du".split()}
