@@ -236,9 +236,13 @@ def image_source(n: Node) -> str | None:
 
 
 def selected(tree: Node, expression: str) -> V.Test:
-    """A test for a small path language: ``//tag``, ``//*``, ``[@name]``, ``[@name="value"]``, ``[contains(@name, "value")]``, joined by ``|``."""
+    """A test for a small path language: ``//tag``, ``//*``, ``[@name]``, ``[@name="value"]``, ``[contains(@name, "value")]``, joined by ``|``; ``//comment()`` selects
+    nothing, as comments are never kept.
+    """
     tests = []
     for part in expression.split("|"):
+        if part.strip().lstrip(".") == "//comment()":
+            continue  # the parser drops comments
         found = re.fullmatch(r"\s*\.?//(\*|[A-Za-z][\w:-]*)((?:\[[^\]]*\])*)\s*", part)
         if not found:
             raise ValueError(f"unsupported expression: {part.strip()}")

@@ -7,13 +7,13 @@ from collections.abc import Callable
 
 from . import vocab as V
 from .clean import cleaned, converted, selected
-from .dom import Node, parse, without
+from .dom import Node, parse, unwrapped, without
 from .extract import block_text, body_text, comments, content
 from .fallback import by_stop_words, compared
 from .fingerprint import fingerprint
 from .metadata import DOCUMENT_FIELDS, clipped, metadata
 from .options import Options
-from .serialize import serialized, to_text
+from .serialize import serialized, tei_body, tei_faults, to_text
 from .simple import all_text, baseline, json_scripts
 from .text import acceptable_size, decode, looks_dubious, repair
 
@@ -137,7 +137,9 @@ def _extract(page, options: Options, record_id: str | None, detect: Detector | N
         tree = without(tree, selected(tree, expression))
     body, text, notes, notes_text, stage = cascade(tree, options, options.url or doc["url"])
     if options.max_tree_size and len(body.nodes) > options.max_tree_size:
-        return _rejected("too_big")
+        body = unwrapped(body, "hi")
+        if len(body.nodes) > options.max_tree_size:
+            return _rejected("too_big")
     if len(text) < options.min_output_size and len(notes_text) < options.min_output_comments:
         return _rejected("too_short")
     if options.lang and detect is not None:
@@ -152,6 +154,8 @@ def _extract(page, options: Options, record_id: str | None, detect: Detector | N
     if options.output not in ("txt", "markdown"):
         doc["fingerprint"] = fingerprint(f"{doc['title']} {text}")
     out = None
+    if options.output == "xmltei" and options.tei_validation and tei_faults(tei_body(body, "entry")):
+        return _rejected("invalid_tei")
     if options.output != "python":
         out = serialized(doc, body, notes if options.comments else None, output=options.output, formatting=options.formatting, with_metadata=options.with_metadata)
     doc = clipped(doc)

@@ -23,20 +23,24 @@ class BlockReader:
         self.blocks: list[Node] = []
 
     def read(self, node: Node) -> list[Node]:
-        after_break: list | None = [] if self.loose_text else None  # text after a line break, outside of any block
+        run: list | None = [] if self.loose_text else None  # content that counts though it is outside of any block
+        with_inline = True
         for kid in node.kids:
             if isinstance(kid, str):
-                if after_break is not None:
-                    after_break.append(kid)
+                if run is not None:
+                    run.append(kid)
                 continue
-            if kid.tag in INLINE and after_break is not None:
-                after_break.append(kid)
+            if run is not None and with_inline and kid.tag in INLINE and kid.tag != "code":
+                run.append(kid)
                 continue
-            self._paragraph_of(after_break)
-            after_break = [] if kid.tag == "lb" or self.loose_text else None
+            self._paragraph_of(run)
+            # text right after a plain paragraph or heading belongs to the content, too
+            plain = kid.tag in ("p", "head") and not kid.nodes
+            run = [] if kid.tag == "lb" or plain or self.loose_text else None
+            with_inline = kid.tag == "lb" or self.loose_text
             if kid.tag != "lb":
                 self._block(kid)
-        self._paragraph_of(after_break)
+        self._paragraph_of(run)
         return self.blocks
 
     def _paragraph_of(self, parts: list | None) -> None:
@@ -169,7 +173,7 @@ class BlockReader:
         inner = n.nodes
         lone_code = len(inner) == 1 and inner[0].tag == "code" and not trim("".join(k for k in n.kids if isinstance(k, str)))
         if n.tag == "code" or n.get("lang") or lone_code or n.parent is not None and "highlight" in n.parent.get("class"):
-            text = _verbatim(n)
+            text = re.sub(r"^\n", "", _verbatim(n))
             return Node("code", {}, [text]) if has_chars(text) else None
         out, run = Node("quote"), []
 
@@ -362,15 +366,16 @@ def _rescued(tree: Node, body: Node, options: Options, loose: bool) -> Node:
     have = [block_text(b) for b in body.kids]
     text, exact = "\n".join(filter(None, have)), set(have)
 
-    def found(n: Node):
+    def found(n: Node, after: str = ""):
         if n.tag in wanted and n.tag != "div" or n.tag == "div" and ("w3-code" in n.get("class") or "div" in wanted and has_chars(n.lead)):
-            yield n
+            yield Node("_", {}, [n.copy(), after])
         else:
-            for kid in n.nodes:
-                yield from found(kid)
+            for kid, then in zip(n.kids, [*n.kids[1:], ""], strict=False):
+                if not isinstance(kid, str):
+                    yield from found(kid, then if isinstance(then, str) else "")
 
     for n in found(part):
-        for block in BlockReader(options, loose or options.focus == "recall").read(Node("_", {}, [n.copy()])):
+        for block in BlockReader(options, loose or options.focus == "recall").read(n):
             own = block_text(block)
             scan = len(text) <= V.DEDUPE_SCAN_CAP
             if own and (own in exact or len(own) > V.MIN_DUPLICATE_LENGTH and scan and own in text):

@@ -84,7 +84,7 @@ class TextWriter:
     """Writes a body as plain text, or as Markdown with ``formatting``."""
 
     def __init__(self, formatting: bool):
-        self.formatting = formatting
+        self.formatting, self.in_cell = formatting, False
 
     def inline(self, n: Node, active: tuple = ()) -> str:
         out: list[str] = []
@@ -111,7 +111,7 @@ class TextWriter:
         if n.tag == "lb":
             return "\n"
         if n.tag == "graphic":
-            return image_link(n)
+            return f" {image_link(n)} " if self.in_cell else image_link(n)
         if n.tag == "code":
             return marked(n.text(), "") if not self.formatting else self._code(n.text())
         if n.tag in ("list", "table", "p", "head", "quote"):
@@ -135,6 +135,7 @@ class TextWriter:
 
     def _code(self, text: str) -> str:
         if "\n" in text:
+            text = "\n".join(line for line in text.split("\n") if line)
             mark = fence(text, 3)
             return f"{mark}\n{text}\n{mark}"
         core = text.strip()
@@ -211,11 +212,13 @@ class TextWriter:
             if kid is not None and (isinstance(kid, str) or kid.tag not in ("p", "list", "quote", "head", "table")):
                 run.kids.append(kid)
                 continue
+            self.in_cell = True
             parts.append(self.inline(run).strip())
             run = Node("_")
             if kid is not None:
-                parts.append(self.inline(kid).strip() if kid.tag != "list" else " ".join(f"- {self.inline(i).strip()}" for i in kid.nodes))
-        return cell_text(" ".join(p for p in parts if p))
+                parts += [self.inline(i).strip() for i in kid.nodes] if kid.tag == "list" else [self.inline(kid).strip()]
+            self.in_cell = False
+        return cell_text(" ".join(p for p in parts if p)).replace("  ![", " ![")
 
 
 def to_text(body: Node | None, formatting: bool = False) -> str:
@@ -354,7 +357,7 @@ def tei_body(body: Node, kind: str) -> Node:
                     flat += [Node("lb"), *k.kids] if flat else k.kids
                 else:
                     flat.append(k)
-            return [Node("ab", {"type": "header", **({"rend": n.get("rend")} if n.get("rend") else {})}, flat)]
+            return [Node("ab", {**({"rend": n.get("rend")} if n.get("rend") else {}), "type": "header"}, flat)]
         attrs = {k: v for k, v in n.attrs.items() if k in TEI_ATTRS}
         if n.tag not in TEI_TAGS:
             return kids

@@ -19,7 +19,12 @@ DESCRIBED_TYPES = ("Product", "VideoObject")
 HOOKS = re.compile('articleBody|reviewBody|recipeInstructions|acceptedAnswer|"Product"|"VideoObject"|"HowTo"')
 MIN_CONTENT = 100
 SCRAPED = frozenset(("blockquote", "code", "p", "pre", "q", "quote"))
-_TAG = re.compile(r"<[a-zA-Z/!][^>]*>")
+# A tag of a known name with nothing but attributes in it: comparisons such as "x<y and z>0" are none.
+_TAG = re.compile(
+    r"<(?:/?(?:a|abbr|article|b|blockquote|br|center|code|dd|div|dl|dt|em|figure|figcaption|font|h[1-6]|hr|i|iframe|img|li|ol|p|pre|q|s|section|small"
+    r"|span|strong|sub|sup|table|tbody|td|th|thead|tr|u|ul)(?:\s+[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))*\s*/?|!--.*?--)>",
+    re.IGNORECASE | re.DOTALL,
+)
 
 
 def each(value: Any) -> list:

@@ -81,6 +81,19 @@ def test_extract_pages(spark, pages):
     assert meta.title == "Page 3" and meta.hostname == "x.org"
 
 
+def test_sql_names(spark, pages):
+    from pagesieve.functions.sql import register
+
+    names = register(spark)
+    assert "page_blocks" in names
+    pages.createOrReplaceTempView("web")
+    r = spark.sql("SELECT page_text(html) AS t, page_all_text(html) AS a, page_baseline_text(html) AS b, page_readerable(html) AS r, text_language('the cat and the dog of the house') AS l, clean_url(url) AS u FROM web WHERE page_id = 1").first()
+    assert "Only page 1" in r.t and "Only page 1" in r.a and "Only page 1" in r.b and r.r is False and r.l == "en" and r.u == "https://x.org/p/1"
+    assert [x.tag for x in spark.sql("SELECT tag FROM web, LATERAL page_blocks(html, url) WHERE page_id = 1 ORDER BY pos").collect()] == ["p"]  # so short a page goes through the baseline
+    assert [x.link for x in spark.sql("SELECT link FROM web, LATERAL page_link_rows(html, url) WHERE page_id = 1").collect()] == ["https://x.org/p/2"]
+    assert spark.sql("SELECT count(*) FROM web, LATERAL page_nodes(html) WHERE page_id = 1 AND tag = 'p'").first()[0] == 2
+
+
 def test_repeats(spark, pages):
     found = {r.page_id: r for r in O.extract_deduplicated(pages, Options.of(fast=True, **ZERO), key="page_id").collect()}
     assert [found[i].repeats for i in range(6)] == [0, 0, 0, 1, 1, 1] and "repeated on many" not in found[5].text and found[5].text.startswith("Page 5\nOnly")
