@@ -30,6 +30,13 @@ def _arrow(name: str) -> pa.DataType:
     return {"categories": pa.list_(pa.string()), "tags": pa.list_(pa.string()), "text_len": pa.int32(), "comments_len": pa.int32(), "blocks": pa.list_(block)}.get(name, pa.string())
 
 
+def _few_splits(rows: DataFrame) -> bool:
+    """Whether a plain scan has fewer partitions than there are cores. What has been shuffled already is left as it is, and never run for this."""
+    if rows._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return False
+    return rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism
+
+
 def extract_pages(pages: DataFrame, options: Options | None = None, *, html_col: str = "html", url_col: str | None = "url", id_col: str | None = None, keep: tuple[str, ...] = (), fields: tuple[str, ...] | None = None, detect=None, spread: bool = True, **named) -> DataFrame:
     """The kept columns of ``pages`` with the fields of the record of each page.
 
@@ -44,9 +51,8 @@ def extract_pages(pages: DataFrame, options: Options | None = None, *, html_col:
     html, url = F.col(html_col).alias("__html"), (F.col(url_col) if url_col else F.lit(None)).cast("string").alias("__url")
     ident = (F.col(id_col) if id_col else F.lit(None)).cast("string").alias("__id")
     rows = pages.select(*keep, html, url, ident)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and not pages.isStreaming and rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(4 * cores)
+    if spread and not pages.isStreaming and _few_splits(rows):
+        rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
     schema = T.StructType([*(pages.schema[k] for k in keep), *(DOCUMENT_SCHEMA[f] for f in fields)])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +64,7 @@ def extract_pages(pages: DataFrame, options: Options | None = None, *, html_col:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                found = [extract(h.as_py(), options, url=u.as_py(), record_id=i.as_py(), detect=detect) for h, u, i in zip(batch.column("__html"), batch.column("__url"), batch.column("__id"), strict=True)]
+                found = [extract(h.as_py(), options, url=u.as_py(), record_id=i.as_py(), detect=detect, need=fields) for h, u, i in zip(batch.column("__html"), batch.column("__url"), batch.column("__id"), strict=True)]
                 arrays = [batch.column(k) for k in keep]
                 for f in fields:
                     if f == "blocks" and need_blocks:
@@ -118,7 +124,7 @@ def extract_text(html: Column | str, url: Column | str | None = None, **options)
     def function(pages: pd.Series, addresses: pd.Series) -> pd.Series:
         from pagesieve.kernel.core import extract
 
-        return pd.Series([extract(p, chosen, url=u)["output"] for p, u in zip(pages, addresses, strict=True)], dtype="object")
+        return pd.Series([extract(p, chosen, url=u, need=("output",))["output"] for p, u in zip(pages, addresses, strict=True)], dtype="object")
 
     return function(html, F.lit(None).cast("string") if url is None else url)
 

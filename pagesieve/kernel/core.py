@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Container
 
 from . import vocab as V
 from .clean import cleaned, converted, selected
@@ -106,17 +106,21 @@ def _rejected(status: str) -> dict:
     return {**dict.fromkeys(DOCUMENT_FIELDS), "status": status, "stage": None, "body_text": None, "text_len": None, "comments_len": None, "output": None, "blocks": None}
 
 
-def extract(page: str | bytes | None, options: Options, *, url: str | None = None, record_id: str | None = None, detect: Detector | None = None) -> dict:
-    """The record of one page; ``status`` tells why there is no text, if so. Never raises for bad input."""
+def extract(page: str | bytes | None, options: Options, *, url: str | None = None, record_id: str | None = None, detect: Detector | None = None, need: Container[str] | None = None) -> dict:
+    """The record of one page; ``status`` tells why there is no text, if so. Never raises for bad input.
+
+    With ``need``, fields outside of it may stay empty: what nobody asked for is not computed.
+    """
     try:
-        return _extract(page, options.but(url=url or options.url), record_id, detect)
+        return _extract(page, options.but(url=url or options.url), record_id, detect, need)
     except RecursionError:
         return _rejected("error")
     except Exception:  # noqa: BLE001 a page must not end the job; the status tells
         return _rejected("error")
 
 
-def _extract(page, options: Options, record_id: str | None, detect: Detector | None) -> dict:
+def _extract(page, options: Options, record_id: str | None, detect: Detector | None, need: Container[str] | None = None) -> dict:
+    wanted = lambda name: need is None or name in need
     if page is None:
         return _rejected("empty_tree")
     if not acceptable_size(len(page), options.min_file_size, options.max_file_size):
@@ -148,25 +152,26 @@ def _extract(page, options: Options, record_id: str | None, detect: Detector | N
             return _rejected("wrong_lang")
     doc["id"] = record_id
     doc["raw_text"] = text
-    doc["text"] = to_text(body, options.formatting)
-    if options.comments:
+    if wanted("text"):
+        doc["text"] = to_text(body, options.formatting)
+    if options.comments and wanted("comments"):
         doc["comments"] = to_text(notes, options.formatting)
-    if options.output not in ("txt", "markdown"):
+    if options.output not in ("txt", "markdown") and (wanted("fingerprint") or wanted("output") and options.output != "python"):
         doc["fingerprint"] = fingerprint(f"{doc['title']} {text}")
     out = None
     if options.output == "xmltei" and options.tei_validation and tei_faults(tei_body(body, "entry")):
         return _rejected("invalid_tei")
-    if options.output != "python":
+    if options.output != "python" and wanted("output"):
         out = serialized(doc, body, notes if options.comments else None, output=options.output, formatting=options.formatting, with_metadata=options.with_metadata)
     doc = clipped(doc)
     return doc | {
         "status": "ok",
         "stage": stage,
-        "body_text": _without_title(body),
+        "body_text": _without_title(body) if wanted("body_text") else None,
         "text_len": len(text),
         "comments_len": len(notes_text),
         "output": out,
-        "blocks": blocks(body) + blocks(notes, len(body.nodes), True),
+        "blocks": blocks(body) + blocks(notes, len(body.nodes), True) if wanted("blocks") else None,
     }
 
 

@@ -10,6 +10,8 @@ import unicodedata
 from functools import cache, lru_cache
 from hashlib import blake2b
 
+import numpy as np
+
 BITS = 64
 _EXTENSION = re.compile(r"\.[^/?#]{2,63}$")
 
@@ -41,8 +43,9 @@ def _token_hash(token: str) -> int:
 
 def simhash(text: str) -> int:
     """A bit is 1 if at least half of the tokens' hashes have it (all bits, without tokens)."""
-    hashes = [_token_hash(t) for t in sample_tokens(text)]
-    return sum(1 << b for b in range(BITS) if 2 * sum(h >> b & 1 for h in hashes) >= len(hashes))
+    hashes = np.array([_token_hash(t) for t in sample_tokens(text)], "<u8")
+    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS)
+    return int(np.packbits(2 * bits.sum(0, dtype=np.int64) >= len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str) -> str:
