@@ -137,12 +137,12 @@ class IdEncoder:
     """
 
     def __init__(self, name: str = TOKENIZER, width: int = 4):
-        self.tokenizer, self.fast, self.kind = load(name), _same_vocabulary(name), f"<u{width}"
+        self.name, self.fast, self.kind = name, _same_vocabulary(name), f"<u{width}"
 
     def __call__(self, text: str) -> bytes:
         if self.fast is not None and "<|" not in text and PLAIN.fullmatch(text):
             parts = [self.fast.encode_ordinary(p) for p in pieces(text)]
         else:
             split = pieces(text) if self.fast is not None else [text]
-            parts = [e.ids for e in self.tokenizer.encode_batch_fast([*split], add_special_tokens=False)]
+            parts = [e.ids for e in load(self.name).encode_batch_fast([*split], add_special_tokens=False)]  # loaded when first needed
         return b"".join(np.array(ids, self.kind).tobytes() for ids in parts)
