@@ -1,7 +1,7 @@
 """Packing documents into windows by lexical retrieval.
 
 Documents become token ids once. Document frequencies and lengths over all documents give the BM25 weights. Documents are
-dealt by range of their heaviest terms, so that lexical neighbours meet, and each partition is cut into shards with an inverted
+dealt by their heaviest terms, so that lexical neighbours meet, and each partition is cut into shards with an inverted
 index of their own. A seed document opens a window; the index returns unused neighbours in the order of their BM25
 score, which greedily fill it; the last one is cut where the window ends and its rest stays in the index.
 """
@@ -26,6 +26,8 @@ K1, B = 1.2, 0.75
 QUERY_TERMS, NEIGHBOURS = 24, 24
 #: One shard of the index ends at so many documents or ids.
 SHARD_DOCS, SHARD_IDS = 2048, 1 << 21
+#: Documents of one heaviest term that a task sends to the same place; its next ones go to the next place.
+TOGETHER = 4
 
 
 def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -167,7 +169,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
 
     A null text is an empty document of the end id alone. Each id of a document lies in exactly one piece; long documents fill whole
     windows first. Repeated rows and null ids are packed like others; an empty table gives no rows. Ids are written once to the shared
-    folder, and a group of copies of any size is dealt over the partitions by row.
+    folder, and a group of copies, or of documents about one term, of any size is dealt over the partitions.
     """
     width = id_width(tokenizer)
     rows = stored(encoded(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer))
@@ -178,14 +180,18 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, mean = shared.value
+        seen: dict[int, int] = {}
         for batch in batches:
-            first, second = [], []
+            first, second, place = [], [], []
             for value in batch.column("ids"):
                 terms, weights = _weighted(np.frombuffer(value.as_py(), f"<u{width}"), idf, mean)
                 top = terms[np.argsort(-weights, kind="stable")[:2]]
-                first.append(int(top[0]))
+                one = int(top[0])
+                first.append(one)
                 second.append(int(top[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())], [*batch.schema.names, "first", "second"])
+                place.append(seen.get(one, 0) // TOGETHER)
+                seen[one] = seen.get(one, 0) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int32()) for c in (first, second, place))], [*batch.schema.names, "first", "second", "place"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, mean = shared.value
@@ -221,5 +227,5 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             yield shard()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
-    dealt = rows.mapInArrow(keyed, "doc_id long, row long, ids binary, first int, second int").repartitionByRange(n, "first", "second", "row").sortWithinPartitions("first", "second", "row")
+    dealt = rows.mapInArrow(keyed, "doc_id long, row long, ids binary, first int, second int, place int").repartition(n, "first", "place").sortWithinPartitions("first", "second", "row")
     return dealt.select("doc_id", "ids").mapInArrow(packed, ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in names))
