@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.pages import extract_pages, html_to_text
 from .kernel.options import FORMATS, Options, read_config
+from .operators import extract_deduplicated
 from .operators.crawl import crawl, discover_feeds, discover_sitemaps, without_blacklisted, without_found_domains
 from .sources import read_html_files, read_pages, read_url_list, register, write_documents, write_raw_pages
 
@@ -141,7 +142,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
                 return 0
     if args.backup_dir:
         write_raw_pages(pages, args.backup_dir)
-    found = extract_pages(pages, options, keep=("url",), fields=("status", "output", "text"))
+    if options.dedup:
+        found = extract_deduplicated(pages, options, key="url").select("url", "status", F.when(F.col("status") == "ok", F.col("output")).alias("output"), "text")
+    else:
+        found = extract_pages(pages, options, keep=("url",), fields=("status", "output", "text"))
     if args.output_dir:
         found = found.persist()
         write_documents(found, args.output_dir, args.output_format)

@@ -77,6 +77,28 @@ def extract_pages(pages: DataFrame, options: Options | None = None, *, html_col:
     return rows.mapInArrow(kernel, schema)
 
 
+def render_documents(docs: DataFrame, options: Options | None = None, *, keep: tuple[str, ...] = (), drop_col: str | None = None, **named) -> DataFrame:
+    """The kept columns with text, comments, output and text_len, rendered from the ``body`` of extracted records in any format.
+
+    Pages are parsed once and rendered as often as formats are wanted; ``drop_col`` holds positions of blocks to leave out. Metadata
+    fields that ``docs`` has go into the output.
+    """
+    options = options or Options.of(**named)
+    known = [f for f in DOCUMENT_SCHEMA.fieldNames() if f in docs.columns and f not in ("text", "comments", "output", "text_len", "comments_len", "blocks", "status", "stage", "body_text")]
+    rows = docs.select(*keep, F.struct(*known).alias("__record"), (F.col(drop_col) if drop_col else F.lit(None)).cast("array<int>").alias("__drop"))
+    fields = ("text", "comments", "output", "text_len")
+    schema = T.StructType([*(docs.schema[k] for k in keep), *(DOCUMENT_SCHEMA[f] for f in fields)])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..kernel.core import rendered
+
+        for batch in batches:
+            found = [rendered(r, options, frozenset(d or ())) for r, d in zip(batch.column("__record").to_pylist(), batch.column("__drop").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array([r[f] for r in found], _arrow(f)) for f in fields)], [*keep, *fields])
+
+    return rows.mapInArrow(kernel, schema)
+
+
 def _text_function(make: Callable[[], Callable], kind: str = "string"):
     """An Arrow function over one column; ``make`` runs on the worker and returns a function of one value."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Container
 
 from . import vocab as V
 from .clean import cleaned, converted, selected
-from .dom import Node, parse, unwrapped, without
+from .dom import Node, from_xml, parse, to_xml, unwrapped, without
 from .extract import block_text, body_text, comments, content
 from .fallback import by_stop_words, compared
 from .fingerprint import fingerprint
@@ -152,6 +152,10 @@ def _extract(page, options: Options, record_id: str | None, detect: Detector | N
             return _rejected("wrong_lang")
     doc["id"] = record_id
     doc["raw_text"] = text
+    if wanted("body"):
+        doc["body"] = to_xml(body)
+    if options.comments and wanted("commentsbody"):
+        doc["commentsbody"] = to_xml(notes)
     if wanted("text"):
         doc["text"] = to_text(body, options.formatting)
     if options.comments and wanted("comments"):
@@ -175,6 +179,22 @@ def _extract(page, options: Options, record_id: str | None, detect: Detector | N
     }
 
 
+def rendered(record: dict, options: Options, drop: Container[int] = ()) -> dict:
+    """text, comments, output and text_len of an extracted record again, from its serialized body, without the blocks at the positions in ``drop``."""
+    if record.get("body") is None:
+        return {"text": None, "comments": None, "output": None, "text_len": None}
+    body = from_xml(record["body"])
+    body = Node(body.tag, {}, [n for i, n in enumerate(body.nodes) if i not in drop]) if drop else body
+    notes = from_xml(record["commentsbody"]) if record.get("commentsbody") else None
+    text = body_text(body)
+    doc = record | {"raw_text": text, "text": to_text(body, options.formatting), "comments": to_text(notes, options.formatting)}
+    out = None
+    if options.output != "python":
+        doc["fingerprint"] = None if options.output in ("txt", "markdown") else fingerprint(f"{doc.get('title')} {text}")
+        out = serialized({k: doc.get(k) for k in DOCUMENT_FIELDS}, body, notes, output=options.output, formatting=options.formatting, with_metadata=options.with_metadata)
+    return {"text": doc["text"], "comments": doc["comments"], "output": out, "text_len": len(text)}
+
+
 def _without_title(body: Node) -> str:
     """The text of the body, blank-separated, without a leading first-level heading (unless it is the first paragraph as well)."""
     nodes = body.nodes

@@ -291,6 +291,24 @@ def to_xml(node: Node, void: frozenset | tuple = ()) -> str:
     return f"<{node.tag}{attrs}>{inner}</{node.tag}>" if inner else f"<{node.tag}{attrs}/>"
 
 
+_FORBIDDEN = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
+
+
+def from_xml(text: str) -> Node:
+    """The tree that :func:`to_xml` wrote."""
+    from xml.etree import ElementTree
+
+    def of(e) -> Node:
+        out = Node(e.tag, dict(e.attrib))
+        out.add(e.text or "")
+        for k in e:
+            out.add(of(k))
+            out.add(k.tail or "")
+        return out
+
+    return of(ElementTree.fromstring(_FORBIDDEN.sub("", text)))
+
+
 def pretty(node: Node, depth: int = 0, void: frozenset | tuple = ()) -> str:
     """Markup with one line for each element, as long as no text stands beside elements."""
     mixed = any(isinstance(k, str) and k.strip() for k in node.kids)

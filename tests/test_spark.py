@@ -81,6 +81,15 @@ def test_extract_pages(spark, pages):
     assert meta.title == "Page 3" and meta.hostname == "x.org"
 
 
+def test_render(spark, pages):
+    once = PF.extract_pages(pages, keep=("page_id",), output_format="python", with_metadata=True, include_formatting=True, **ZERO).where("status = 'ok'").cache()
+    for output in ("txt", "markdown", "json", "xml", "xmltei", "html", "csv"):
+        options = {"output_format": output, "with_metadata": True, "include_formatting": True, **ZERO}
+        direct = {r.page_id: r.output for r in PF.extract_pages(pages, keep=("page_id",), **options).where("status = 'ok'").collect()}
+        again = {r.page_id: r.output for r in PF.render_documents(once, keep=("page_id",), **options).collect()}
+        assert direct == again, output
+
+
 def test_sql_names(spark, pages):
     from pagesieve.functions.sql import register
 
@@ -97,6 +106,8 @@ def test_sql_names(spark, pages):
 def test_repeats(spark, pages):
     found = {r.page_id: r for r in O.extract_deduplicated(pages, Options.of(fast=True, **ZERO), key="page_id").collect()}
     assert [found[i].repeats for i in range(6)] == [0, 0, 0, 1, 1, 1] and "repeated on many" not in found[5].text and found[5].text.startswith("Page 5\nOnly")
+    md = O.extract_deduplicated(pages, key="page_id", output_format="markdown", fast=True, **ZERO).where("page_id = 5").first()
+    assert md.output == "# Page 5\n\nOnly page 5 says this, in a sentence of its own.\n\nn"
     same = spark.createDataFrame([(d, p, t) for d in range(5) for p, t in enumerate(["x" * 101, "short", "y" * 101 if d == 0 else "z"])], "doc_id long, pos int, text string")
     flagged = {(r.doc_id, r.pos): r for r in O.repeated_segments(same).collect()}
     assert [flagged[d, 0].is_repeat for d in range(5)] == [False, False, False, True, True] and not flagged[4, 1].is_repeat
