@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ from .functions.pages import extract_pages, html_to_text
 from .kernel.options import FORMATS, Options, read_config
 from .operators import extract_deduplicated
 from .operators.crawl import crawl, discover_feeds, discover_sitemaps, without_blacklisted, without_found_domains
-from .sources import read_html_files, read_pages, read_url_list, register, write_documents, write_raw_pages
+from .sources import fetch_pages, read_html_files, read_pages, read_url_list, register, write_documents, write_raw_pages
 
 SHORTHANDS = ("csv", "html", "json", "markdown", "xml", "xmltei")
 
@@ -92,15 +92,22 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     register(spark)
     options = options_of(args)
 
+    fixtures = None
+    if args.fixtures:
+        with open(args.fixtures, encoding="utf-8") as f:
+            fixtures = f.read()
+
     def fetch(urls: DataFrame) -> DataFrame:
-        # The list of one round is planned on the driver, as any list of partitions of a source is.
-        listed = [r["url"] for r in urls.select("url").distinct().collect()]
-        reader = spark.read.format("webpages").option("urls", json.dumps(listed)).option("sleep_time", args.sleep_time if args.sleep_time is not None else options.sleep_time)
-        reader = reader.option("timeout", options.download_timeout).option("max_size", options.max_file_size).option("user_agents", "\n".join(options.user_agents))
-        if args.fixtures:
-            with open(args.fixtures, encoding="utf-8") as f:
-                reader = reader.option("fixtures", f.read())
-        return reader.load().where("html IS NOT NULL").select("url", "html")
+        found = fetch_pages(
+            urls,
+            fixtures=fixtures,
+            sleep_time=args.sleep_time if args.sleep_time is not None else options.sleep_time,
+            timeout=options.download_timeout,
+            max_size=options.max_file_size,
+            user_agents="\n".join(options.user_agents),
+            cookie=options.cookie,
+        )
+        return found.where("html IS NOT NULL").select("url", "html")
 
     if args.input_dir:
         pages = read_html_files(spark, args.input_dir).select(F.col("path").alias("url"), "html")
@@ -141,6 +148,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
                     print(r["url"])
                 return 0
     if args.backup_dir:
+        pages = pages.persist(StorageLevel.DISK_ONLY)
         write_raw_pages(pages, args.backup_dir)
     if options.dedup:
         found = extract_deduplicated(pages, options, key="url").select("url", "status", F.when(F.col("status") == "ok", F.col("output")).alias("output"), "text")

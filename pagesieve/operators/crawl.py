@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def discover_sitemaps(start: DataFrame, fetch: Fetch, *, language: str | None =
     """
     todo, seen, found = start.select("url").distinct(), start.select("url").distinct(), None
     for _ in range(max_rounds):
-        entries = _sitemap_entries(fetch(todo), language, external).persist()
+        entries = _sitemap_entries(fetch(todo), language, external).persist(StorageLevel.DISK_ONLY)
         pages = entries.where(~F.col("is_sitemap")).select("url", "link")
         found = pages if found is None else found.unionByName(pages)
         todo = entries.where("is_sitemap").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti")
@@ -133,12 +134,14 @@ def crawl(start: DataFrame, fetch: Fetch, *, max_rounds: int = MAX_SEEN, per_hos
     for _ in range(max_rounds):
         own = Window.partitionBy("base").orderBy(F.desc("is_nav"), "depth", "url")
         todo = frontier.where(~F.col("visited")).withColumn("__at", F.row_number().over(own)).where(F.col("__at") <= per_host).select("url")
-        frontier = frontier_step(frontier, fetch(todo), rules)
+        fetched = fetch(todo).persist(StorageLevel.DISK_ONLY)  # read twice, fetched once
+        frontier = frontier_step(frontier, fetched, rules)
         if checkpoint:
             spark = frontier.sparkSession
             if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
                 spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
             frontier = frontier.checkpoint()
+            fetched.unpersist()
         state = frontier.agg(F.count("*"), F.count_if(~F.col("visited"))).first()
         if state[0] >= max_known or not state[1]:
             break

@@ -15,7 +15,9 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "url string, final_url string, status int, headers map<string,string>, data binary, html string, is_live boolean"
@@ -121,5 +123,28 @@ class WebPagesReader(DataSourceReader):
         return None, url, None, None
 
 
+def fetch_pages(urls: DataFrame, *, url_col: str = "url", partitions: int | None = None, **options) -> DataFrame:
+    """The same columns as the data source for the distinct addresses of a DataFrame of any length.
+
+    Addresses are dealt by host, so that a host's pages are fetched by one task with a pause in between; nothing is listed on the driver. ``options``
+    are those of the data source. A task that is tried again fetches its pages again.
+    """
+    settings = {k: str(v) for k, v in options.items() if v is not None}
+    n = partitions or urls.sparkSession.sparkContext.defaultParallelism * 4
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    rows = urls.select(F.col(url_col).alias("url")).where("url IS NOT NULL").distinct().withColumn("host", host).repartition(n, "host").sortWithinPartitions("host", "url")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = WebPagesReader(settings)
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.bool_()]
+        names = ["url", "final_url", "status", "headers", "data", "html", "is_live"]
+        for batch in batches:
+            for found in reader.read(_Hosts(batch.column("url").to_pylist())):
+                values = [list(v.items()) if isinstance(v, dict) else v for v in found]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
+    return rows.select("url").mapInArrow(kernel, SCHEMA)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WebPages)

@@ -182,6 +182,15 @@ def test_sources(spark, tmp_path):
     assert rows["https://b.org"].final_url == "https://b.org/new" and rows["https://b.org"].headers == {"server": "s"} and rows["https://c.org"].status == 404
 
 
+def test_fetch_pages(spark):
+    from pagesieve.sources import fetch_pages
+
+    fixtures = json.dumps({"https://a.org/1": "<html>" + "x" * 20, "https://b.org": {"status": 500, "body": ""}})
+    urls = spark.createDataFrame([("https://a.org/1",), ("https://a.org/1",), ("https://b.org",), (None,)], "url string")
+    rows = {r.url: r for r in fetch_pages(urls, fixtures=fixtures).collect()}
+    assert len(rows) == 2 and rows["https://a.org/1"].html.startswith("<html>x") and rows["https://a.org/1"].is_live and not rows["https://b.org"].is_live
+
+
 def test_command_line(spark, tmp_path, capsys):
     from pagesieve import cli
 
