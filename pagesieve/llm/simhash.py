@@ -27,9 +27,10 @@ TILE, MAX_SUBTILES = 8192, 8000
 SMALL = 1 << 16
 #: Cells per factor 1 / similarity of the number of shingles.
 SIZE_STEPS = 4
-#: Wide fingerprints: 512 bits. Sets of similarity (Jaccard) 0.8 have an angle whose expected share of differing bits is 0.151;
-#: 86 of 512 bits lie one standard deviation above. The first word alone is tested first.
-WIDE_WORDS, WIDE_RADIUS, FIRST_RADIUS = 8, 86, 22
+#: Wide fingerprints: 512 bits. Sets of similarity (Jaccard) 0.8 have an angle whose expected share of differing bits is 0.151, or 77
+#: bits; the radius lies four standard deviations above, so it misses next to none, and the sets themselves are compared within
+#: it. The first word alone is tested first.
+WIDE_WORDS, WIDE_RADIUS, FIRST_RADIUS = 8, 110, 26
 SEED = 42
 
 
@@ -116,6 +117,37 @@ class _Forest:
                 root[:] = up
 
 
+class _Marks:
+    """Which positions have a link at all."""
+
+    def __init__(self, n: int):
+        self.linked = np.zeros(n, bool)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.linked[i] = True
+        self.linked[j] = True
+
+
+class _SimilarSets(_Forest):
+    """A forest that takes a link only if the sets of both ends are similar; ends that are joined already aren't compared."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        super().__init__(len(sets))
+        self.sets, self.similarity = sets, similarity
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = self.root[i] != self.root[j]
+        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            if self.root[a] != self.root[b] and jaccard(self.sets[a], self.sets[b]) >= self.similarity:
+                super().link(np.array([a]), np.array([b]))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted arrays without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
 def _segment_counts(fp: np.ndarray, bits: int) -> np.ndarray:
     """Population counts of the segments of ``bits`` bits, a row each."""
     parts = fp.view({32: "<u4", 16: "<u2", 8: "u1"}[bits]).reshape(len(fp), -1)
@@ -152,11 +184,14 @@ def _compare(fp: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, same: bo
             forest.link(i, j)
 
 
-def tile_links(fps: list[bytes], sides: np.ndarray, radius: int, first_radius: int | None = None) -> np.ndarray:
-    """Roots of the positions of one pair of tiles; side 0 is compared with side 1, or with itself if there is no side 1."""
+def tile_links(fps: list[bytes], sides: np.ndarray, radius: int, first_radius: int | None = None, sink=None) -> np.ndarray:
+    """Roots of the positions of one pair of tiles; side 0 is compared with side 1, or with itself if there is no side 1.
+
+    ``sink`` gets the links instead, if given.
+    """
     wide = np.frombuffer(b"".join(fps), ">u8").astype("<u8").reshape(len(fps), -1)
     first = np.ascontiguousarray(wide[:, 0])
-    forest, here = _Forest(len(fps)), np.arange(len(fps))
+    forest, here = sink or _Forest(len(fps)), np.arange(len(fps))
     one, two = here[sides == 0], here[sides == 1]
     same = not len(two)
     if wide.shape[1] > 1:
@@ -164,40 +199,103 @@ def tile_links(fps: list[bytes], sides: np.ndarray, radius: int, first_radius: i
         _compare(first, one, one if same else two, radius if first_radius is None else first_radius, same, 0, forest, deep)
     else:
         _compare(first, one, one if same else two, radius, same, 16, forest, None)
-    return forest.root
+    return getattr(forest, "root", None)
+
+
+def _by_pair(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """(pair, rows) of rows that come sorted by pair."""
+    pair, rows = None, []
+    for batch in batches:
+        for p, *row in zip(*(batch.column(c).to_pylist() for c in ("pair", *columns)), strict=True):
+            if p != pair:
+                if rows:
+                    yield pair, rows
+                pair, rows = p, []
+            rows.append(tuple(row))
+    if rows:
+        yield pair, rows
+
+
+def _links_out(nodes: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return pa.RecordBatch.from_pydict({"a": pa.array(nodes[moved], pa.int64()), "b": pa.array(nodes[root[moved]], pa.int64())})
 
 
 def _linked(radius: int, first_radius: int | None):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by pair; the fingerprints of one pair are compared, and links to roots go out."""
-        rows: list[tuple] = []
-        pair = None
+        """The fingerprints of each pair are compared, and links to roots go out."""
+        for _, rows in _by_pair(batches, ("side", "node", "fp")):
+            sides = np.array([r[0] for r in rows])
+            if (sides == 0).any() and len(rows) > 1:
+                yield _links_out(np.array([r[1] for r in rows], np.int64), tile_links([r[2] for r in rows], sides, radius, first_radius))
+
+    return kernel
 
-        def links() -> pa.RecordBatch:
+
+def _candidates(radius: int, first_radius: int | None):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nodes of each pair that lie within the radius of another one go out."""
+        for pair, rows in _by_pair(batches, ("side", "node", "fp")):
             sides = np.array([r[0] for r in rows])
-            nodes = np.array([r[1] for r in rows], np.int64)
             if not (sides == 0).any() or len(rows) < 2:
-                return pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-            root = tile_links([r[2] for r in rows], sides, radius, first_radius)
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_pydict({"a": pa.array(nodes[moved]), "b": pa.array(nodes[root[moved]])})
+                continue
+            marks = _Marks(len(rows))
+            tile_links([r[2] for r in rows], sides, radius, first_radius, marks)
+            kept = np.flatnonzero(marks.linked)
+            if len(kept):
+                yield pa.RecordBatch.from_pydict({"pair": pa.array([pair] * len(kept), pa.int64()), "side": pa.array(sides[kept].astype(np.int32)), "node": pa.array([rows[k][1] for k in kept], pa.int64())})
+
+    return kernel
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("pair", "side", "node", "fp")]
-            for p, side, node, fp in zip(*columns, strict=True):
-                if p != pair:
-                    if rows:
-                        yield links()
-                    rows, pair = [], p
-                rows.append((side, node, fp))
-        if rows:
-            yield links()
+
+def _verified(radius: int, first_radius: int | None, similarity: float):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As for links, but the sets of shingles decide."""
+        for _, rows in _by_pair(batches, ("side", "node", "fp", "shingles")):
+            sides = np.array([r[0] for r in rows])
+            if (sides == 0).any() and len(rows) > 1:
+                forest = _SimilarSets([np.frombuffer(r[3], "<u8") for r in rows], similarity)
+                yield _links_out(np.array([r[1] for r in rows], np.int64), tile_links([r[2] for r in rows], sides, radius, first_radius, forest))
 
     return kernel
 
 
-def hamming_links(nodes: DataFrame, *, radius: int, offsets: list[tuple[int, int]], first_radius: int | None = None, tile: int = TILE) -> DataFrame:
-    """Links (a, b) of ``nodes`` (node, fp, x, y), enough to join all that lie within ``radius`` of each other.
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, width: int, words: int) -> DataFrame:
+    """(fp, shingles) of ``nodes`` (fp, id): the set of shingles is read again from a document that has the fingerprint."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column("text")]
+            fps = [fingerprint(h, words).astype(">u8").tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], ["fp", "shingles"])
+
+    ids = nodes.select("id").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("string").alias("text"))
+    found = rows.join(ids, F.col("own").eqNullSafe(F.col("id")), "left_semi").select("text").mapInArrow(kernel, "fp binary, shingles binary")
+    return found.join(nodes.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles"))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, width: int, words: int, radius: int, first_radius: int | None, similarity: float, offsets: list[tuple[int, int]]) -> DataFrame:
+    """Links (a, b) of ``nodes`` (node, fp, x, y, least), enough to join all whose sets of shingles have the similarity.
+
+    Fingerprints within the radius name the candidates of each pair of tiles; only their sets are read again, and go only to the pairs of tiles
+    that name them.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = cut(_dealt(nodes, offsets=offsets, tile=TILE // 2).mapInArrow(_candidates(radius, first_radius), "pair long, side int, node long"))
+    wanted = cut(named.select("node").distinct().join(nodes, "node").select("node", "fp", F.col("least.doc_id").alias("id")))
+    sets = _shingle_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width, words=words).join(wanted.select("node", "fp"), "fp")
+    dealt = named.join(sets, "node").select("pair", "side", "node", "fp", "shingles")
+    return dealt.repartition(n, "pair").sortWithinPartitions("pair", "side").mapInArrow(_verified(radius, first_radius, similarity), "a long, b long")
+
+
+def hamming_links(nodes: DataFrame, *, radius: int, offsets: list[tuple[int, int]], tile: int = TILE) -> DataFrame:
+    """Links (a, b) of ``nodes`` (node, fp, x, y), enough to join all that lie within ``radius`` of each other."""
+    return _dealt(nodes, offsets=offsets, tile=tile).mapInArrow(_linked(radius, None), "a long, b long")
+
+
+def _dealt(nodes: DataFrame, *, offsets: list[tuple[int, int]], tile: int) -> DataFrame:
+    """(pair, side, node, fp): the nodes of each pair of tiles, sorted by pair within partitions.
 
     ``offsets`` are the differences of cells that may hold a pair. Cells with many nodes are cut into sub-tiles by hash, and each
     node goes to the pairs of tiles that its own belongs to. The table of cells is bounded by the population counts
@@ -226,14 +324,14 @@ def hamming_links(nodes: DataFrame, *, radius: int, offsets: list[tuple[int, int
     )
     placed = nodes.join(cells, ["x", "y"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("k").cast("long")).cast("int")).drop("k")
     dealt = placed.join(sides, ["x", "y", "sub"]).select("pair", "side", "node", "fp")
-    return dealt.repartition(n, "pair").sortWithinPartitions("pair", "side").mapInArrow(_linked(radius, first_radius), "a long, b long")
+    return dealt.repartition(n, "pair").sortWithinPartitions("pair", "side")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1, radius: int = 3, first_radius: int | None = None, similarity: float = 0.8) -> DataFrame:
     """(doc_id, row, fp, component_id, keep_row) for each row of ``docs``.
 
-    Fingerprints link at ``radius`` or fewer differing bits, and components are all that is reachable; ``component_id``
-    is their smallest id (null if they have none), ``keep_row`` the row of it. A null text is an empty one: no shingle, fingerprint
+    Fingerprints of one word link at ``radius`` or fewer differing bits; wide ones if, within the radius, the sets of shingles have the
+    ``similarity``. Components are all that is reachable; ``component_id`` is their smallest id (null if they have none), ``keep_row`` the row of it. A null text is an empty one: no shingle, fingerprint
     zero, linked like any other. Rows with the same fingerprint are joined without being compared. An
     empty table gives no rows. Only the two named columns are read.
     """
@@ -244,7 +342,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, words=words, similarity=similarity))
     ranked = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
     nodes = cut(rows.groupBy("fp", "x", "y").agg(F.min(ranked).alias("least")).select(F.col("least.row").alias("node"), "fp", "x", "y", "least"))
-    found = components(hamming_links(nodes, radius=radius, first_radius=first_radius, offsets=offsets))
+    if words > 1:
+        links = similar_links(docs, nodes, id_col=id_col, text_col=text_col, width=width, words=words, radius=radius, first_radius=first_radius, similarity=similarity, offsets=offsets)
+    else:
+        links = hamming_links(nodes, radius=radius, offsets=offsets)
+    found = components(links)
     rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("best"))
     labelled = rooted.join(least, "root").select("fp", "x", "y", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row"))
@@ -254,7 +356,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one with the smallest id; the columns stay the same.
 
-    Near copies have sets of five-word shingles of a similarity of 0.8 or more, as 512-bit fingerprints measure it.
+    Near copies have sets of five-word shingles of a similarity of 0.8 or more. 512-bit fingerprints find the pairs, and the sets decide.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, words=WIDE_WORDS, radius=WIDE_RADIUS, first_radius=FIRST_RADIUS, similarity=similarity)
     keep = found.where("row = keep_row").select(F.col("doc_id").alias("__id")).distinct()

@@ -461,3 +461,15 @@ def test_exact_dedup(spark, docs):
     assert kept.columns == more.columns
     assert Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in kept.collect()) == Counter((best[h], h) for h in groups)
     assert exact.exact_dedup(empty(spark)).collect() == []
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from pagesieve.llm.common import drop_stored, stored
+
+    df = stored(spark.range(5))
+    path = df.inputFiles()[0]
+    assert df.count() == 5 and spark.sparkContext.applicationId in path
+    drop_stored(spark)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
