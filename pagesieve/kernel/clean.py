@@ -104,6 +104,10 @@ def converted(tree: Node, options: Options, base: str | None = None) -> Node:
         if tag in ("br", "hr"):
             return [Node("lb"), *kids]
         if tag == "pre":
+            for k in kids:  # names of highlighted tokens tell nothing about the page
+                for span in k.walk() if not isinstance(k, str) else ():
+                    if span.tag == "span" and span.get("class").startswith("hljs"):
+                        span.attrs = {}
             return [Node("code" if _is_code(n) else "quote", dict(n.attrs), kids)]
         if tag in ("blockquote", "q"):
             return [Node("quote", dict(n.attrs), kids)]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Container
 
 from . import vocab as V
 from .clean import cleaned, converted, selected
-from .dom import Node, from_xml, parse, to_xml, unwrapped, without
+from .dom import Node, body_of, from_xml, head_of, parse, to_xml, unwrapped, without
 from .extract import block_text, body_text, comments, content
 from .fallback import by_stop_words, compared
 from .fingerprint import fingerprint
@@ -31,13 +31,20 @@ def load(page: str | bytes | None) -> Node | None:
     tree = parse(repair(html))
     if tree is None:
         return None
-    if dubious:
-        top = [n for part in tree.nodes for n in (part.nodes if part.tag in ("head", "body") else [part])]
-        if len(top) < 2 and len(tree.nodes) < 2:
-            return None
+    if dubious and _branches(tree) < 2:
+        return None
     return tree
 
 
+def _branches(tree: Node) -> int:
+    """Elements side by side in what was given: a lone element of a fragment counts by its children."""
+    body = body_of(tree)
+    if body is None or head_of(tree) is not None:
+        return len(tree.nodes) + (len(body.nodes) if body else 0)
+    loose = any(isinstance(k, str) and k.strip() for k in body.kids)
+    return len(body.nodes[0].nodes) if len(body.nodes) == 1 and not loose else len(body.nodes) + loose
+
+
 def page_language_fits(tree: Node, wanted: str, strict: bool = False) -> bool:
     """What meta elements (and with ``strict`` the html element) say about the language; True if they say nothing."""
     for name, value in (("http-equiv", "content-language"), ("property", "og:locale")):

@@ -67,7 +67,7 @@ class BlockReader:
         elif n.tag in INLINE:
             found = self.paragraph(Node("p", {}, [n.copy()]))
         elif n.tag == "div" and "w3-code" in n.get("class"):
-            found = Node("code", {}, [n.text()])
+            found = Node("code", {}, _verbatim(n))
         elif n.tag == "div" and self.loose_divs and has_chars(n.lead):
             self._loose_div(n)
         else:
@@ -106,7 +106,7 @@ class BlockReader:
                     out.add(k)
             elif kid.tag in INLINE:
                 attrs = {k: v for k, v in kid.attrs.items() if k == "target" or k == "rend" and kid.tag == "hi"}
-                inner = [kid.text()] if kid.tag == "code" else self.inline(kid)
+                inner = _verbatim(kid) if kid.tag == "code" else self.inline(kid)
                 if inner:
                     out.add(Node(kid.tag, attrs, inner))
             elif kid.tag in ("span", "a"):
@@ -139,9 +139,13 @@ class BlockReader:
 
     def list(self, n: Node) -> Node | None:
         out = Node("list", {"rend": n.attrs["rend"]} if "rend" in n.attrs else {})
-        if has_chars(n.lead):
-            out.add(Node("item", {}, [trim(n.lead)]))
         for item in _items(n):
+            if isinstance(item, str):  # loose text belongs to the item before it
+                if out.kids:
+                    _append_text(out.kids[-1], trim(item))
+                else:
+                    out.add(Node("item", {}, [trim(item)]))
+                continue
             made = self._item(item)
             if made is not None:
                 out.add(made)
@@ -173,8 +177,8 @@ class BlockReader:
         inner = n.nodes
         lone_code = len(inner) == 1 and inner[0].tag == "code" and not trim("".join(k for k in n.kids if isinstance(k, str)))
         if n.tag == "code" or n.get("lang") or lone_code or n.parent is not None and "highlight" in n.parent.get("class"):
-            text = re.sub(r"^\n", "", _verbatim(n))
-            return Node("code", {}, [text]) if has_chars(text) else None
+            code = Node("code", {}, _verbatim(n))
+            return code if has_chars(code.text()) else None
         out, run = Node("quote"), []
 
         def flush() -> None:
@@ -282,9 +286,12 @@ def _up_to(n: Node, top: Node):
 
 
 def _items(n: Node):
-    """Items of a list that are not items of a list inside of it."""
-    for kid in n.nodes:
-        if kid.tag == "item":
+    """Items of a list that are not items of a list inside of it, and loose text between them."""
+    for kid in n.kids:
+        if isinstance(kid, str):
+            if has_chars(kid):
+                yield kid
+        elif kid.tag == "item":
             yield kid
         elif kid.tag != "list":
             yield from _items(kid)
@@ -292,8 +299,25 @@ def _items(n: Node):
             yield Node("item", {}, [kid.copy()])
 
 
-def _verbatim(n: Node) -> str:
-    return "".join(k if isinstance(k, str) else "\n" if k.tag == "lb" else _verbatim(k) for k in n.kids)
+def _append_text(item: Node, text: str) -> None:
+    """Adds text to what an item ends with, before a list inside of it."""
+    at = next((i for i, k in enumerate(item.kids) if not isinstance(k, str) and k.tag == "list"), len(item.kids))
+    if at and isinstance(item.kids[at - 1], str):
+        item.kids[at - 1] = f"{item.kids[at - 1]} {text}"
+    else:
+        item.kids.insert(at, f" {text}" if at else text)
+
+
+def _verbatim(n: Node) -> list:
+    """The text and the line breaks of a code block, as they are."""
+    out = Node("_")
+    for k in n.kids:
+        for piece in [k] if isinstance(k, str) else [Node("lb")] if k.tag == "lb" else _verbatim(k):
+            out.add(piece)
+    if out.kids and isinstance(out.kids[0], str) and out.kids[0].startswith("\n"):
+        out.kids[0] = out.kids[0][1:]
+        out.kids = [x for x in out.kids if x != ""]
+    return out.kids
 
 
 def _span(c: Node, name: str) -> int:
@@ -368,7 +392,7 @@ def _rescued(tree: Node, body: Node, options: Options, loose: bool) -> Node:
 
     def found(n: Node, after: str = ""):
         if n.tag in wanted and n.tag != "div" or n.tag == "div" and ("w3-code" in n.get("class") or "div" in wanted and has_chars(n.lead)):
-            yield Node("_", {}, [n.copy(), after])
+            yield Node("_", {"class": n.parent.get("class") if n.parent is not None else ""}, [n.copy(), after])
         else:
             for kid, then in zip(n.kids, [*n.kids[1:], ""], strict=False):
                 if not isinstance(kid, str):
@@ -402,12 +426,11 @@ def without_repeats(body: Node) -> Node:
 
 
 def content(tree: Node, options: Options) -> tuple[Node, str]:
-    """(body, text) of a converted tree."""
+    """(body, text) of a converted tree. The text still holds repeats, as it is what the page offers that decides on further attempts."""
     body, loose = main_body(tree, options)
     if not body.kids or len(body_text(body)) < options.min_extracted_size:
         body = _rescued(tree, body, options, loose)
-    body = without_repeats(body)
-    return body, body_text(body)
+    return without_repeats(body), body_text(body)
 
 
 def comments(tree: Node, options: Options) -> tuple[Node, str, Node]:

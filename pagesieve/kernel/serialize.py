@@ -73,6 +73,10 @@ def cell_text(text: str) -> str:
     return text.replace("|", "\\|").replace("\n", " ")
 
 
+def code_text(n: Node) -> str:
+    return "".join(k if isinstance(k, str) else "\n" if k.tag == "lb" else code_text(k) for k in n.kids)
+
+
 def image_link(n: Node) -> str:
     return link(f"{n.get('title')} {n.get('alt')}".strip(), n.get("src"), image=True)
 
@@ -113,7 +117,7 @@ class TextWriter:
         if n.tag == "graphic":
             return f" {image_link(n)} " if self.in_cell else image_link(n)
         if n.tag == "code":
-            return marked(n.text(), "") if not self.formatting else self._code(n.text())
+            return self._code(code_text(n)) if self.formatting else code_text(n)
         if n.tag in ("list", "table", "p", "head", "quote"):
             return "\n" + self.block(n)
         rend = n.get("rend")
@@ -150,7 +154,7 @@ class TextWriter:
         if n.tag == "table":
             return self._table(n)
         if n.tag == "code":
-            return self._code(n.text()) if self.formatting else n.text()
+            return self._code(code_text(n)) if self.formatting else code_text(n)
         if n.tag == "graphic":
             return image_link(n)
         if n.tag == "quote":
