@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -32,6 +32,8 @@ SIZE_STEPS = 4
 #: it. The first word alone is tested first.
 WIDE_WORDS, WIDE_RADIUS, FIRST_RADIUS = 8, 110, 26
 SEED = 42
+#: Bits of the filter of ids, and the blocks that it is united in.
+FILTER_BITS, FILTER_BLOCKS = 1 << 24, 64
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -260,19 +262,55 @@ def _verified(radius: int, first_radius: int | None, similarity: float):
     return kernel
 
 
+def _hashed(column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS).cast("long"))
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the hashed ids: 2 MB whatever their number. Tasks set bits, blocks of bits are united, and the blocks reach the driver."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[batch.column("h").to_numpy()] = True
+        blocks = np.packbits(bits).reshape(FILTER_BLOCKS, -1)
+        there = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(there, pa.int64()), "bits": pa.array([blocks[b].tobytes() for b in there], pa.binary())})
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _by_pair(batches, ("bits",)):
+            found = np.bitwise_or.reduce([np.frombuffer(r[0], np.uint8) for r in rows])
+            yield pa.RecordBatch.from_pydict({"pair": pa.array([block], pa.int64()), "bits": pa.array([found.tobytes()], pa.binary())})
+
+    schema = "pair long, bits binary"
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = ids.select(_hashed("id").alias("h")).mapInArrow(mark, schema)
+    out = np.zeros((FILTER_BLOCKS, FILTER_BITS // 8 // FILTER_BLOCKS), np.uint8)
+    for r in marked.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(unite, schema).collect():
+        out[r["pair"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, width: int, words: int) -> DataFrame:
-    """(fp, shingles) of ``nodes`` (fp, id): the set of shingles is read again from a document that has the fingerprint."""
+    """(fp, shingles) of ``nodes`` (fp, id): the set of shingles is read again from a document that has the fingerprint.
+
+    A bitmap of the ids keeps other texts from being read further, so no text is shuffled; the fingerprint decides.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(nodes))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column("text")]
-            fps = [fingerprint(h, words).astype(">u8").tobytes() for h in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], ["fp", "shingles"])
-
-    ids = nodes.select("id").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(ids, F.col("own").eqNullSafe(F.col("id")), "left_semi").select("text").mapInArrow(kernel, "fp binary, shingles binary")
-    return found.join(nodes.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles"))
+            h = batch.column("h").to_numpy()
+            wanted = np.flatnonzero(bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1)
+            for at in range(0, len(wanted), 256):
+                sets = [np.unique(shingle_hashes(batch.column("text")[int(i)].as_py(), width)) for i in wanted[at : at + 256]]
+                fps = [fingerprint(x, words).astype(">u8").tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
+
+    rows = docs.select(_hashed(F.col(id_col).cast("long")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    found = rows.mapInArrow(kernel, "fp binary, shingles binary")
+    return found.join(nodes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, width: int, words: int, radius: int, first_radius: int | None, similarity: float, offsets: list[tuple[int, int]]) -> DataFrame:
