@@ -291,6 +291,35 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(data).collect()) == [*range(30), 90, 92]
 
 
+def test_near_groups_equal_those_of_the_sets(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(r.choice([30, 80, 200, 400]))]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(r.choice([0, 1, 2, 4, 8])):
+                own[r.randrange(len(own))] = word()
+            texts.append(" ".join(own[: r.choice([len(own), len(own) - 5])]))
+    data = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "one two"])], "doc_id long, text string").repartition(4)
+    found = simhash.near_duplicates(data, width=5, words=simhash.WIDE_WORDS, radius=simhash.WIDE_RADIUS, first_radius=simhash.FIRST_RADIUS, similarity=0.8)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in [*texts, None, "", "one two"]]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert {x.doc_id: x.component_id for x in found.collect()} == {i: find(i) for i in range(len(sets))}
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
