@@ -128,12 +128,17 @@ def frontier_step(frontier: DataFrame, pages: DataFrame, rules: DataFrame | None
 
 
 def crawl(start: DataFrame, fetch: Fetch, *, max_rounds: int = MAX_SEEN, per_host: int = 1, max_known: int = MAX_KNOWN, rules: DataFrame | None = None, checkpoint: bool = True) -> DataFrame:
-    """The frontier after rounds of: pick ``per_host`` unvisited URLs of each site (navigation first), fetch, add their links."""
+    """The frontier after rounds of: pick ``per_host`` unvisited URLs of each site (navigation first), fetch, add their links.
+
+    A site of which ``max_known`` URLs are known after a round gets no further one; the others go on.
+    """
     reference = F.when(F.length("url") - F.length(F.replace("url", F.lit("/"), F.lit(""))) >= 3, F.regexp_replace("url", r"/[^/]*$", "")).otherwise(F.col("url"))
     frontier = start.select("url").distinct().select("url", F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("base"), reference.alias("reference"), F.lit(False).alias("visited"), F.lit(0).alias("depth"), F.lit(False).alias("is_nav"))
+    going = None  # sites with URLs to visit and room for more
     for _ in range(max_rounds):
         own = Window.partitionBy("base").orderBy(F.desc("is_nav"), "depth", "url")
-        todo = frontier.where(~F.col("visited")).withColumn("__at", F.row_number().over(own)).where(F.col("__at") <= per_host).select("url")
+        todo = frontier.where(~F.col("visited")).withColumn("__at", F.row_number().over(own)).where(F.col("__at") <= per_host).select("base", "url")
+        todo = (todo if going is None else todo.join(going, "base", "left_semi")).select("url")
         fetched = fetch(todo).persist(StorageLevel.DISK_ONLY)  # read twice, fetched once
         frontier = frontier_step(frontier, fetched, rules)
         if checkpoint:
@@ -142,7 +147,7 @@ def crawl(start: DataFrame, fetch: Fetch, *, max_rounds: int = MAX_SEEN, per_hos
                 spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
             frontier = frontier.checkpoint()
             fetched.unpersist()
-        state = frontier.agg(F.count("*"), F.count_if(~F.col("visited"))).first()
-        if state[0] >= max_known or not state[1]:
+        going = frontier.groupBy("base").agg(F.count("*").alias("known"), F.count_if(~F.col("visited")).alias("left")).where((F.col("known") < max_known) & (F.col("left") > 0)).select("base")
+        if going.isEmpty():
             break
     return frontier

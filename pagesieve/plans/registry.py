@@ -409,9 +409,9 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds over the pages themselves as the web."""
+    """A crawl of each host, of as many rounds as the operator has by default, over the pages themselves as the web."""
     web = pages(spark, sf_dir).select("url", "html").dropDuplicates(["url"])
-    return O.crawl(web.select("url"), lambda todo: web.join(todo, "url", "left_semi"), max_rounds=3)
+    return O.crawl(web.select("url"), lambda todo: web.join(todo, "url", "left_semi"))
 
 
 # ---- scalar functions -----------------------------------------------------------------------------------------------------

@@ -148,6 +148,21 @@ def test_crawl_and_discovery(spark, pages):
     assert [r.link for r in O.discover_feeds(feeds).collect()] == ["https://x.org/news/1"]
 
 
+def test_crawl_stops_only_the_sites_at_the_cap(spark):
+    links = lambda h, ns: "<html><body>" + "".join(f'<a href="https://{h}.org/p/{n}">{n}</a>' for n in ns) + "</body></html>"
+    web = spark.createDataFrame([*((f"https://a.org/p/{i}", links("a", range(10 * i, 10 * i + 10))) for i in range(9)), *((f"https://b.org/p/{i}", links("b", [i + 1])) for i in range(9))], "url string, html string")
+    start = spark.createDataFrame([("https://a.org/p/0",), ("https://b.org/p/0",)], "url string")
+    frontier = O.crawl(start, lambda todo: web.join(todo, "url", "left_semi"), max_rounds=5, max_known=10).collect()
+    assert {r.url for r in frontier if r.visited} == {"https://a.org/p/0", *(f"https://b.org/p/{i}" for i in range(5))}
+    assert sorted(r.url for r in frontier) == sorted([*(f"https://a.org/p/{i}" for i in range(10)), *(f"https://b.org/p/{i}" for i in range(6))])
+
+
+def test_crawl_query_goes_on_for_all_rounds(spark, tmp_path):
+    rows = [(i, f"https://a.org/en/{i:02}", "<html><body><p>x</p></body></html>") for i in range(12)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert registry.QUERIES["crawl_frontier"](spark, str(tmp_path)).where("visited").count() == 10
+
+
 def test_evaluation(spark):
     gold = spark.createDataFrame([("u1", ["good one", "good two"], ["bad"]), ("u2", ["x"], ["y"])], "url string, `with` array<string>, `without` array<string>")
     texts = spark.createDataFrame([("u1", "has  good\none and bad things"), ("u2", None)], "url string, text string")
