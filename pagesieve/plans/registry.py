@@ -105,6 +105,31 @@ def main_text_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _body(spark, sf_dir, Options.of(fast=True, favor_recall=True, include_comments=False))
 
 
+def _body_of_all(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
+    """As the queries above, for every page: also those of short documents and of documents with repeated lines, which their SQL leaves out."""
+    return PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id",), fields=("body_text",)).select("page_id", "body_text")
+
+
+@query()
+def all_main_text_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body_of_all(spark, sf_dir, Options.of(fast=True, include_comments=False))
+
+
+@query()
+def all_main_text_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body_of_all(spark, sf_dir, Options.of())
+
+
+@query()
+def all_main_text_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body_of_all(spark, sf_dir, Options.of(fast=True, favor_precision=True, include_comments=False))
+
+
+@query()
+def all_main_text_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _body_of_all(spark, sf_dir, Options.of(fast=True, favor_recall=True, include_comments=False))
+
+
 @query(
     r"""
 WITH d AS (SELECT page_id, unnest(regexp_extract_all(html, '<h1>(.*?)</h1>', 1)) AS raw FROM pages)
@@ -287,8 +312,17 @@ SELECT count(*) AS tp, 0::BIGINT AS fn, 0::BIGINT AS fp, count(*) AS tn, 1.0::DO
 """
 )
 def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir, table(spark, sf_dir, "documents").where("n_chars >= 250"))
+
+
+@query()
+def all_extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
+def _quality(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
     """Confusion of extraction against the documents behind the pages: the last line must be found, the footer's sign must not."""
-    docs = table(spark, sf_dir, "documents").where("n_chars >= 250").select("doc_id", F.element_at(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), -1).alias("last"))
+    docs = documents.select("doc_id", F.element_at(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), -1).alias("last"))
     own = pages(spark, sf_dir).select("page_id", page_doc_id().alias("doc_id")).join(docs, "doc_id")
     gold = own.select("page_id", F.array("last").alias("with"), F.array(F.lit("© th ")).alias("without"))
     found = PF.extract_pages(pages(spark, sf_dir), Options.of(fast=True, include_comments=False), keep=("page_id",), fields=("text",))

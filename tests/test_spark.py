@@ -163,6 +163,24 @@ def test_crawl_query_goes_on_for_all_rounds(spark, tmp_path):
     assert registry.QUERIES["crawl_frontier"](spark, str(tmp_path)).where("visited").count() == 10
 
 
+@pytest.mark.parametrize("mode", ["fast", "default", "precision", "recall"])
+def test_main_text_of_all_pages(spark, tmp_path, mode):
+    line = "Line {} of this document is long enough to count as a paragraph of its own, and says something."
+    bodies = [["A short text."], [line.format(i) for i in range(8)], [line.format(i) for i in (0, 1, 1, 2, 3, 4, 5)]]
+    html = lambda ps: "<html><body><article>" + "".join(f"<p>{x}</p>" for x in ps) + "</article></body></html>"
+    spark.createDataFrame([(i, f"https://x.org/en/{i}", html(ps)) for i, ps in enumerate(bodies)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r.page_id: r.body_text for r in registry.QUERIES[f"all_main_text_{mode}"](spark, str(tmp_path)).collect()}
+    without_repeats = [[x for i, x in enumerate(ps) if not i or x != ps[i - 1]] for ps in bodies]
+    assert found == {i: " ".join(ps) for i, ps in enumerate(without_repeats)}
+
+
+def test_quality_counts_all_pages(spark, tmp_path):
+    for name, rows, kind in (("pages", [(0, "https://x.org/en/0", "<html><body><article><p>A short text.</p></article></body></html>")], "page_id long, url string, html string"), ("documents", [(0, "A short text.", 13)], "doc_id long, text string, n_chars long")):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = registry.QUERIES["all_extraction_quality"](spark, str(tmp_path)).first()
+    assert (found.tp, found.fn, found.fp, found.tn) == (1, 0, 0, 1)
+
+
 def test_evaluation(spark):
     gold = spark.createDataFrame([("u1", ["good one", "good two"], ["bad"]), ("u2", ["x"], ["y"])], "url string, `with` array<string>, `without` array<string>")
     texts = spark.createDataFrame([("u1", "has  good\none and bad things"), ("u2", None)], "url string, text string")
