@@ -7,6 +7,7 @@ the sum of what the lists can still give cannot reach its k-th score.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ BLOCK, QUERY_BLOCK = 1024, 512
 FIRST_STEP = 16
 
 
-def threshold_top(matrix: np.ndarray, lists: np.ndarray, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, scores) of ``matrix`` whose product with ``query`` is at least the k-th highest; ``own`` counts for none of the k.
+def threshold_top(matrix: np.ndarray, lists: np.ndarray, query: np.ndarray, k: int, own: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, scores) of ``matrix`` whose product with ``query`` is at least the k-th highest; the rows ``own`` count for none of the k.
 
     ``lists[d]`` holds the rows sorted by component ``d``, ascending. Rows that tie with the k-th are all returned.
     """
@@ -46,7 +47,7 @@ def threshold_top(matrix: np.ndarray, lists: np.ndarray, query: np.ndarray, k: i
         new = np.flatnonzero(new & ~seen)
         seen[new] = True
         rows, scores = np.concatenate([rows, new]), np.concatenate([scores, matrix[new] @ query])
-        ranked = np.sort(scores[rows != own])[::-1]
+        ranked = np.sort(scores[~np.isin(rows, own)] if len(own) else scores)[::-1]
         if len(ranked) >= k:
             kth = ranked[k - 1]
             good = scores >= kth
@@ -66,7 +67,7 @@ def _block_top(k: int):
         pair, held = None, ([], [])
 
         def top() -> pa.RecordBatch:
-            (ids, vectors), queries = zip(*held[0], strict=True) if held[0] else ((), ()), held[1]
+            (ids, only, vectors), queries = zip(*held[0], strict=True) if held[0] else ((), (), ()), held[1]
             out: list[tuple[int, int, int]] = []
             if ids and queries:
                 width = max(len(v) for v in (*vectors, *(v for _, _, v in queries)))
@@ -74,24 +75,25 @@ def _block_top(k: int):
                 for row, v in enumerate(vectors):
                     matrix[row, : len(v)] = v
                 lists = np.ascontiguousarray(np.argsort(matrix, axis=0, kind="stable").T)
-                place = {c: row for row, c in enumerate(ids)}
-                for query_id, own, v in queries:
+                of_id = defaultdict(list)  # rows of the classes that have this id only
+                for row, i in enumerate(only):
+                    of_id[i].append(row)
+                for ask, query_id, v in queries:
                     query = np.zeros(width, np.int64)
                     query[: len(v)] = v
-                    rows, scores = threshold_top(matrix, lists, query, k, place.get(own, -1))
-                    out += [(query_id, ids[r], int(s)) for r, s in zip(rows, scores, strict=True)]
-            return pa.RecordBatch.from_pydict({"query_id": pa.array([o[0] for o in out], pa.int64()), "class_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.int64())})
+                    own = np.array(of_id.get(query_id, ()), np.int64)
+                    rows, scores = threshold_top(matrix, lists, query, k, own)
+                    own = set(own.tolist())
+                    out += [(ask, query_id, ids[r], int(s)) for r, s in zip(rows.tolist(), scores, strict=True) if r not in own]
+            return pa.RecordBatch.from_pydict({"ask": pa.array([o[0] for o in out], pa.int64()), "query_id": pa.array([o[1] for o in out], pa.int64()), "class_id": pa.array([o[2] for o in out], pa.int64()), "score": pa.array([o[3] for o in out], pa.int64())})
 
         for batch in batches:
-            for p, kind, query_id, class_id, v in zip(*(batch.column(c).to_pylist() for c in ("pair", "kind", "query_id", "class_id", "v")), strict=True):
+            for p, kind, number, i, v in zip(*(batch.column(c).to_pylist() for c in ("pair", "kind", "number", "id", "v")), strict=True):
                 if p != pair:
                     if pair is not None:
                         yield top()
                     pair, held = p, ([], [])
-                if kind:
-                    held[1].append((query_id, class_id, v))
-                else:
-                    held[0].append((class_id, v))
+                held[kind].append((number, i, v))
         if pair is not None:
             yield top()
 
@@ -101,39 +103,40 @@ def _block_top(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of ``queries`` its k highest inner products with ``vectors``.
 
-    Components become ``floor(scale * x)``. A candidate with the query's own id doesn't count; ties go to the smaller id, and
+    Components become ``floor(scale * x)``. Candidates with the query's own id don't count; ties go to the smaller id, and
     queries with fewer candidates get all of them. Rows whose vector is null, or holds a null or non-finite component, or
-    whose id is null take no part; shorter vectors count as filled up with zeros. Of rows that repeat an id the one with the
-    smallest vector takes part.
+    whose id is null take no part; shorter vectors count as filled up with zeros. Rows that repeat an id
+    are candidates each; what queries that repeat one find is ranked together.
     An empty table gives no rows.
     """
 
     def whole(df: DataFrame) -> DataFrame:
         x = F.col(vector_col)
         bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
-        return df.where(F.col(id_col).isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+        return df.where(F.col(id_col).isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
 
     spark = vectors.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = cut(whole(vectors))
-    classes = cut(members.groupBy("v").agg(F.min("id").alias("class_id")))
-    # k + 1 members of a class are enough: one of them may be the query itself.
-    joined = members.join(classes, "v").select("class_id", "id")
-    first = cut(joined.withColumn("at", F.row_number().over(Window.partitionBy("class_id").orderBy("id"))).where(F.col("at") <= k + 1).drop("at"))
-    asked = cut(whole(queries).join(classes, "v", "left").select(F.col("id").alias("query_id"), "v", "class_id"))
-    single = first.groupBy("class_id").count().where("count = 1").select("class_id", F.lit(True).alias("single"))
-    asked = asked.join(single, "class_id", "left")
+    classes = cut(members.groupBy("v").agg(F.lit(0)).select("v", F.monotonically_increasing_id().alias("class_id")))
+    # k + 1 ids of a class are enough, as one of them may be the query's, and k rows of each.
+    joined = members.join(classes, "v").groupBy("class_id", "id").agg(F.count("*").alias("n"))
+    first = cut(joined.withColumn("at", F.row_number().over(Window.partitionBy("class_id").orderBy("id"))).where(F.col("at") <= k + 1).select("class_id", "id", F.least("n", F.lit(k)).alias("n")))
+    ids = first.groupBy("class_id").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("class_id", F.get("ids", F.lit(0)).alias("least"), F.get("ids", F.lit(1)).alias("second"))
+    asked = cut(whole(queries).select(F.monotonically_increasing_id().alias("ask"), F.col("id").alias("query_id"), "v"))
     blocks, query_blocks = max(1, -(-classes.count() // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
     block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m).cast("long"))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    candidates = classes.select(block("class_id", blocks).alias("b"), every(query_blocks).alias("q"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_id"), "class_id", "v")
-    # A query's own class counts for none of the k if the query is its only member.
-    own = F.when(F.coalesce("single", F.lit(False)), F.col("class_id"))
-    questions = asked.select(every(blocks).alias("b"), block("query_id", query_blocks).alias("q"), F.lit(1).alias("kind"), "query_id", own.alias("class_id"), "v")
-    dealt = candidates.unionByName(questions).select((F.col("b") * query_blocks + F.col("q")).alias("pair"), "kind", "query_id", "class_id", "v")
-    found = dealt.repartition(n, "pair").sortWithinPartitions("pair", "kind").mapInArrow(_block_top(k), "query_id long, class_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "class_id")
-    # k + 1 classes, as the query's own may fall out; then their members.
-    kept = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    # A class counts for none of a query's k if it has no other id than the query's.
+    only = F.when(F.col("second").isNull(), F.col("least"))
+    candidates = classes.join(ids, "class_id").select(block("class_id", blocks).alias("b"), every(query_blocks).alias("q"), F.lit(0).alias("kind"), F.col("class_id").alias("number"), only.alias("id"), "v")
+    questions = asked.select(every(blocks).alias("b"), block("ask", query_blocks).alias("q"), F.lit(1).alias("kind"), F.col("ask").alias("number"), F.col("query_id").alias("id"), "v")
+    dealt = candidates.unionByName(questions).select((F.col("b") * query_blocks + F.col("q")).alias("pair"), "kind", "number", "id", "v")
+    found = dealt.repartition(n, "pair").sortWithinPartitions("pair", "kind").mapInArrow(_block_top(k), "ask long, query_id long, class_id long, score long")
+    # k classes, by the least id in them that is not the query's; then their members.
+    other = F.when(F.col("least") == F.col("query_id"), F.col("second")).otherwise(F.col("least"))
+    best = Window.partitionBy("ask").orderBy(F.desc("score"), other)
+    kept = found.join(ids, "class_id").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("query_id", "class_id", "score")
+    copies = kept.join(first, "class_id").where("id <> query_id").select("query_id", "id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return kept.join(first, "class_id").where("id <> query_id").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return copies.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -398,6 +398,17 @@ def test_top_k(spark):
     assert topk.top_k(two.limit(0), two.limit(0)).collect() == []
 
 
+def test_top_k_with_repeated_ids(spark):
+    r = random.Random(8)
+    vectors = [(r.randrange(90), [r.choice([-2.0, 0.0, 1.0]) for _ in range(3)]) for _ in range(400)] + [(0, [float(i), 5.0, 5.0]) for i in range(9)] + [(7, [9.0, 9.0, 9.0])] * 3 + [(60, [3.0, 3.0, 3.0])] * 2
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    want = []
+    for q in {q for q, _ in vectors if q % 20 == 0}:
+        ranked = sorted((-sum(int(a * b) * 256 * 256 for a, b in zip(x, y, strict=True)), c) for p, x in vectors if p == q for c, y in vectors if c != q)[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(ranked)]
+    assert sorted(tuple(x) for x in topk.top_k(df, df.where("vec_id % 20 = 0")).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_threshold_stops_with_the_right_rows(seed):
     r = np.random.default_rng(seed)
