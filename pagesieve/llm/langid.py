@@ -263,12 +263,16 @@ def detect(docs: DataFrame, sample, *, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_known_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents whose language stays unknown, with the same columns. Learns from their own labels."""
+    """``docs`` without the documents whose language stays unknown, with the same columns. Learns from their own labels.
+
+    Without a labelled row to learn from, only null texts and those without letters go.
+    """
     sample = training_sample(docs.where(in_training(F.col(id_col))), text_col=text_col, lang_col=lang_col)
     at = docs.columns.index(text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([lang != UNKNOWN for lang, _ in predictions(sample, batch.column(at).to_pylist())], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([lang != UNKNOWN for lang, _ in predictions(sample, texts)] if sample else [bool(normalized(t)) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(kernel, docs.schema)

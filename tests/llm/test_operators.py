@@ -469,6 +469,13 @@ def test_language(spark, docs):
     assert {x.lang_pred for x in langid.detect(docs, ()).collect()} == {"und"}
 
 
+def test_known_languages_without_labels(spark):
+    in_fold = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2][:3]
+    for lang, ids in ((None, range(3)), ("en", in_fold)):
+        df = spark.createDataFrame([*((i, "the of and", lang) for i in ids), (1000, None, None), (1001, "12 ... ²", None)], "doc_id long, text string, lang string")
+        assert {x.doc_id for x in langid.keep_known_languages(df).collect()} == set(ids)
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 
 
