@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 #: One word: a run of anything but ASCII space and U+0009 to U+000D. ``bytes.split()`` cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only by a session of one machine that names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Groups that may count as hot: at most so many can hold one part in so many of all rows.
+HOT_GROUPS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, else one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The shared folder that the cluster names; a session on one machine may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = LOCAL_CHECKPOINTS
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -65,3 +72,15 @@ def id_text_crc(doc_id: Column) -> Column:
 def null_salt(key: Column) -> Column:
     """A second join key that spreads null keys, which match nothing, over the partitions."""
     return F.when(key.isNull(), F.rand(7)).otherwise(F.lit(0.0))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row for each combination of ``keys`` and its number of rows in ``size``.
+
+    Groups that hold a thousandth of all rows or more, of which there are a thousand at most, are broadcast, so their
+    rows stay where they are; the others are joined by a shuffle, none of whose keys is hot. Keys are not null, and both sides are read twice.
+    """
+    least = -(-(groups.agg(F.sum(size)).first()[0] or 0) // HOT_GROUPS)
+    hot = groups.where(F.col(size) >= least).limit(HOT_GROUPS)
+    cold = groups.where(F.col(size) < least)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_groups
 
 #: Live digests that one index may hold before it gives its groups on; digests of one bucket on average.
 LIVE_LIMIT, BUCKET_ROWS = 200_000, 20_000
@@ -102,18 +102,16 @@ class CuckooIndex:
             self.insert(digest, payload)
 
 
-PARTIAL = "digest binary, keep_id long, keep_row long, group_size long, bucket long"
-
-
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of equal digests. Rows of one bucket follow each other; an index lives as long as its bucket and its room."""
+    kind = None
 
     def out(index: CuckooIndex, bucket: int) -> pa.RecordBatch:
         rows = [(d, *p) for d, p in index.items()]
         return pa.RecordBatch.from_pydict(
             {
                 "digest": pa.array([r[0] for r in rows], pa.binary()),
-                "keep_id": pa.array([r[1] for r in rows], pa.int64()),
+                "keep_id": pa.array([r[1] for r in rows], kind),
                 "keep_row": pa.array([r[2] for r in rows], pa.int64()),
                 "group_size": pa.array([r[3] for r in rows], pa.int64()),
                 "bucket": pa.array([bucket] * len(rows), pa.int64()),
@@ -122,6 +120,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     index, current = CuckooIndex(), None
     for batch in batches:
+        kind = batch.schema.field("keep_id").type
         for digest, doc_id, row, n, bucket in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "keep_row", "group_size", "bucket")), strict=True):
             if index.size and (bucket != current or bucket is None and index.size >= LIVE_LIMIT):
                 yield out(index, current)
@@ -132,42 +131,53 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index.insert(digest, (doc_id, row, n))
                 continue
             # The live entry is replaced: the largest id stays, nulls last, then the first row.
-            best = max(old[:2], (doc_id, row), key=lambda k: (k[0] is not None, k[0] or 0, -k[1]))
+            best = (doc_id, row) if _stays(doc_id, row, *old[:2]) else old[:2]
             index.delete(digest)
             index.insert(digest, (*best, old[2] + n))
     if index.size:
         yield out(index, current)
 
 
+def _stays(doc_id, row: int, other_id, other_row: int) -> bool:
+    """Whether a row stays rather than the other one: a larger id, any id rather than none, then the earlier row."""
+    if doc_id is None or other_id is None or doc_id == other_id:
+        return row < other_row if doc_id == other_id else other_id is None
+    return doc_id > other_id
+
+
 def exact_groups(rows: DataFrame) -> DataFrame:
     """(digest, keep_id, keep_row, group_size), a row for each digest of ``rows`` (doc_id, row, digest)."""
+    partial_type = f"digest binary, keep_id {rows.schema['doc_id'].dataType.simpleString()}, keep_row long, group_size long, bucket long"
     single = rows.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("long").alias("bucket"))
-    partial = cut(single.mapInArrow(_grouped, PARTIAL))
+    partial = cut(single.mapInArrow(_grouped, partial_type))
     buckets = max(1, -(-partial.count() // BUCKET_ROWS))
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # Buckets are ranges of the digest, at least a few for each partition.
     dealt = partial.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(max(buckets, 4 * n)).cast("long")))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped, PARTIAL).drop("bucket")
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped, partial_type).drop("bucket")
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; a null text counts as empty. Of equal texts the row with the largest id stays, null ids
-    last; of rows that agree in id and text exactly one is kept. An empty table gives no rows. Only the two named
+    last; of rows that agree in id and text exactly one is kept. Ids keep their type, which may be any that can be ordered. An empty table gives no rows. Only the two named
     columns are read, so others may have any name; texts are read once, for their digest, and never shuffled.
     """
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(sha).alias("digest")))
-    groups = exact_groups(rows)
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(sha).alias("digest")))
+    groups = cut(exact_groups(rows))
+    return join_groups(rows, groups, ["digest"], "group_size").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without exact copies, with the same columns; which row stays is told at :func:`exact_dedup`."""
-    keep = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    names = docs.columns
-    hashed = docs.withColumn("__own", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    found = hashed.join(keep, (F.col("__own") == F.col("__sha")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    """``docs`` without exact copies, with the same columns; which row stays is told at :func:`exact_dedup`.
+
+    A null text counts as empty, as there; of rows that agree in id and text one stays. Columns may have any names. An empty table gives no rows.
+    """
+    keep = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("id_hash"), F.unhex("text_sha256").alias("digest"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("own_id"), F.xxhash64(id_col).alias("id_hash"), digest.alias("digest"))
+    found = whole.join(keep, ["digest", "id_hash"]).where(F.col("own_id").eqNullSafe(F.col("id")))
     # Rows with the same id and text, if any, lie in one partition already.
-    return found.dropDuplicates(["__own", "__id"]).select(*names)
+    return found.dropDuplicates(["digest", "id_hash"]).select("whole.*")

@@ -16,6 +16,8 @@ from .common import WORD, cut
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
 #: Rows that one range of keys holds on average, at most.
 ROWS_PER_RANGE = 512
+#: Ranges whose sums are added up in one task; the sums of such blocks are added up for each source.
+RANGES_PER_BLOCK = 4096
 SEED = "mix-1"
 
 
@@ -62,19 +64,27 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     A null source is a source of its own; a null id has a key like any other; ties of keys go by id and size, and rows that agree in
     all of them are interchangeable. Sources without words have target 0. An empty table gives no rows.
     """
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    # A row without an id has the hash of its text instead, so that such rows don't share one key.
+    named = F.when(F.col(id_col).isNull(), F.concat_ws(":", F.lit(seed), F.lit("null"), F.xxhash64(F.col(text_col).cast("string")).cast("string"))).otherwise(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
+    key = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = cut(source_targets(sources, weights=weights, share=share, max_epochs=max_epochs)).select(F.col("source").alias("s"), "source_size", "n_docs", "target")
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
     ranges = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / ROWS_PER_RANGE))
     keyed = cut(
         rows.join(targets, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("key", key)
         .withColumn("range", F.floor(F.col("key") / F.ceil(F.lit(float(1 << 60)) / ranges)).cast("int"))
         .select("doc_id", "source", "size", "source_size", "target", "key", "range")
     )
-    sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
-    before = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("in_range").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_range"))
+    # Prefix sums in two steps, so that no task adds up all ranges of a large source.
+    sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("in_range")).withColumn("block", F.floor(F.col("range") / RANGES_PER_BLOCK))
+    earlier = lambda total, *by: F.coalesce(F.sum(total).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("source", "block").agg(F.sum("in_range").alias("in_block")).select(F.col("source").alias("s"), F.col("block").alias("b"), earlier("in_block", "source", "block").alias("before_block"))
+    before = (
+        sums.withColumn("in_block_before", earlier("in_range", "source", "block", "range"))
+        .join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+        .select("s", F.col("range").alias("r"), (F.col("before_block") + F.col("in_block_before")).alias("before_range"))
+    )
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = keyed.withColumn("before", F.sum("size").over(inside) - F.col("size"))
     budget = F.floor("target")
@@ -90,11 +100,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: each document as often as its epochs say, the one at the cut as a whole copy.
 
-    Keeps the columns of ``docs``. Rows are matched to the mix by id; of ids that repeat, the copies of all go by the
-    first of the decisions. Documents without words are kept once, as they cost nothing of any budget.
+    Keeps the columns of ``docs``, whatever their names. Rows are matched to the mix by id; of ids that repeat, the copies of all go by the
+    largest of the decisions. Documents without words are kept once, as they cost nothing of any budget. An empty table gives no rows.
     """
     id_col = options.get("id_col", "doc_id")
-    copies = mix(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs"))).cast("int").alias("__copies")).where("__copies > 0")
-    names = docs.columns
-    kept = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__id")))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    copies = mix(docs, **options).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs"))).cast("int").alias("copies")).where("copies > 0")
+    kept = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("own_id")).join(copies, F.col("own_id").eqNullSafe(F.col("id")))
+    return kept.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")

@@ -18,22 +18,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_groups
 from .graph import components
 
-#: Fingerprints of one tile on average; most sub-tiles of a cell (beyond that, tiles grow).
-TILE, MAX_SUBTILES = 8192, 8000
+#: Fingerprints of one tile, and bytes of the sets of shingles behind a tile of wide ones, both on average.
+TILE, TILE_BYTES = 8192, 1 << 25
 #: Pairs below which two tiles are compared without further splitting.
 SMALL = 1 << 16
 #: Cells per factor 1 / similarity of the number of shingles.
 SIZE_STEPS = 4
 #: Wide fingerprints: 512 bits. Sets of similarity (Jaccard) 0.8 have an angle whose expected share of differing bits is 0.151, or 77
 #: bits; the radius lies four standard deviations above, so it misses next to none, and the sets themselves are compared within
-#: it. The first word alone is tested first.
+#: it. The first word alone is tested first. Among sets of up to FEW_SHINGLES, ties of the majority raise that share to up to
+#: 0.1875, or 96 bits: there both radii lie some six deviations above it.
 WIDE_WORDS, WIDE_RADIUS, FIRST_RADIUS = 8, 110, 26
+FEW_SHINGLES, FEW_RADIUS, FEW_FIRST_RADIUS = 32, 160, 31
 SEED = 42
-#: Bits of the filter of ids, and the blocks that it is united in.
-FILTER_BITS, FILTER_BLOCKS = 1 << 24, 64
+#: Bits of the filter of texts: at least so many, at most so many (16 MB), for each text, and of one block of them. With more texts than
+#: the most bits serve, a join takes the place of the filter.
+LEAST_BITS, MOST_BITS, BITS_PER_TEXT, BLOCK_BITS = 1 << 20, 1 << 27, 16, 1 << 18
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -73,7 +76,7 @@ def _size_cell(n: int, similarity: float) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, row, fp binary, x, y): the fingerprint of each row, words big-endian, and its cell.
+    """(doc_id, row, text_hash, fp binary, x, y): the fingerprint of each row, words big-endian, and its cell.
 
     With one word, repeats of a shingle count and the cell holds the population counts of the halves; with more,
     shingles count once and x is the scaled logarithm of their number.
@@ -94,10 +97,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 else:
                     xs.append((int(fp[0]) >> 32).bit_count())
                     ys.append((int(fp[0]) & 0xFFFFFFFF).bit_count())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fps, pa.binary()), pa.array(xs, pa.int32()), pa.array(ys, pa.int32())], ["doc_id", "row", "fp", "x", "y"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.binary()), pa.array(xs, pa.int32()), pa.array(ys, pa.int32())], ["doc_id", "row", "text_hash", "fp", "x", "y"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(kernel, "doc_id long, row long, fp binary, x int, y int")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(kernel, f"doc_id {docs.schema[id_col].dataType.simpleString()}, row long, text_hash long, fp binary, x int, y int")
 
 
 class _Forest:
@@ -135,19 +139,39 @@ class _SimilarSets(_Forest):
 
     def __init__(self, sets: list[np.ndarray], similarity: float):
         super().__init__(len(sets))
-        self.sets, self.similarity = sets, similarity
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        known, place = np.unique(np.concatenate(sets), return_inverse=True)
+        self.place, self.marked, self.similarity = place.astype(np.int32), np.zeros(len(known), bool), similarity
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        apart = self.root[i] != self.root[j]
-        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-            if self.root[a] != self.root[b] and jaccard(self.sets[a], self.sets[b]) >= self.similarity:
-                super().link(np.array([a]), np.array([b]))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """The similarity of two sorted arrays without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+        small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        may = np.flatnonzero((self.root[i] != self.root[j]) & (small + 1e-9 >= self.similarity * large))
+        may = may[np.argsort(i[may], kind="stable")]
+        i, j = i[may], j[may]
+        ends = np.flatnonzero(np.diff(i, append=-1)) + 1
+        for at, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+            one, others = i[at], j[at:end]
+            others = others[self.root[others] != self.root[one]]
+            near = others[self._similar(one, others)]
+            super().link(np.full(len(near), one), near)
+
+    def _similar(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` have a similar set: the elements of one are marked, and marks are counted in all others at once."""
+        own = self.place[self.start[one] : self.start[one] + self.size[one]]
+        self.marked[own] = True
+        out, at = np.zeros(len(others), bool), 0
+        total = np.cumsum(self.size[others])
+        while at < len(others):  # a few million elements at a time
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 22), "right")))
+            size = self.size[others[at:end]]
+            first = np.cumsum(size) - size
+            element = np.arange(size.sum()) + np.repeat(self.start[others[at:end]] - first, size)
+            both = np.add.reduceat(self.marked[self.place[element]], first, dtype=np.int64)
+            out[at:end] = both + 1e-9 >= self.similarity * (self.size[one] + size - both)
+            at = end
+        self.marked[own] = False
+        return out
 
 
 def _segment_counts(fp: np.ndarray, bits: int) -> np.ndarray:
@@ -223,180 +247,196 @@ def _links_out(nodes: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(nodes[moved], pa.int64()), "b": pa.array(nodes[root[moved]], pa.int64())})
 
 
-def _linked(radius: int, first_radius: int | None):
+def _linked(radius: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The fingerprints of each pair are compared, and links to roots go out."""
         for _, rows in _by_pair(batches, ("side", "node", "fp")):
             sides = np.array([r[0] for r in rows])
             if (sides == 0).any() and len(rows) > 1:
-                yield _links_out(np.array([r[1] for r in rows], np.int64), tile_links([r[2] for r in rows], sides, radius, first_radius))
+                yield _links_out(np.array([r[1] for r in rows], np.int64), tile_links([r[2] for r in rows], sides, radius))
 
     return kernel
 
 
-def _candidates(radius: int, first_radius: int | None):
+def _radii(few: bool, radius: int, first_radius: int) -> tuple[int, int]:
+    return (max(radius, FEW_RADIUS), max(first_radius, FEW_FIRST_RADIUS)) if few else (radius, first_radius)
+
+
+def _candidates(radius: int, first_radius: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The nodes of each pair that lie within the radius of another one go out."""
-        for pair, rows in _by_pair(batches, ("side", "node", "fp")):
+        for pair, rows in _by_pair(batches, ("side", "node", "fp", "few")):
             sides = np.array([r[0] for r in rows])
             if not (sides == 0).any() or len(rows) < 2:
                 continue
             marks = _Marks(len(rows))
-            tile_links([r[2] for r in rows], sides, radius, first_radius, marks)
+            tile_links([r[2] for r in rows], sides, *_radii(rows[0][3], radius, first_radius), marks)
             kept = np.flatnonzero(marks.linked)
             if len(kept):
-                yield pa.RecordBatch.from_pydict({"pair": pa.array([pair] * len(kept), pa.int64()), "side": pa.array(sides[kept].astype(np.int32)), "node": pa.array([rows[k][1] for k in kept], pa.int64())})
+                columns = ([pair] * len(kept), sides[kept], [rows[k][1] for k in kept], [rows[k][3] for k in kept])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["pair", "side", "node", "few"])
 
     return kernel
 
 
-def _verified(radius: int, first_radius: int | None, similarity: float):
+def _verified(radius: int, first_radius: int, similarity: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """As for links, but the sets of shingles decide."""
-        for _, rows in _by_pair(batches, ("side", "node", "fp", "shingles")):
+        for _, rows in _by_pair(batches, ("side", "node", "fp", "few", "shingles")):
             sides = np.array([r[0] for r in rows])
             if (sides == 0).any() and len(rows) > 1:
-                forest = _SimilarSets([np.frombuffer(r[3], "<u8") for r in rows], similarity)
-                yield _links_out(np.array([r[1] for r in rows], np.int64), tile_links([r[2] for r in rows], sides, radius, first_radius, forest))
+                forest = _SimilarSets([np.frombuffer(r[4], "<u8") for r in rows], similarity)
+                yield _links_out(np.array([r[1] for r in rows], np.int64), tile_links([r[2] for r in rows], sides, *_radii(rows[0][3], radius, first_radius), forest))
 
     return kernel
 
 
-def _hashed(column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS).cast("long"))
-
-
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of the hashed ids: 2 MB whatever their number. Tasks set bits, blocks of bits are united, and the blocks reach the driver."""
+def _text_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` bits, those at ``text_hash`` modulo bits being set. Each block of it is made in one place and reaches the driver."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[batch.column("h").to_numpy()] = True
-        blocks = np.packbits(bits).reshape(FILTER_BLOCKS, -1)
-        there = np.flatnonzero(blocks.any(1))
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(there, pa.int64()), "bits": pa.array([blocks[b].tobytes() for b in there], pa.binary())})
-
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _by_pair(batches, ("bits",)):
-            found = np.bitwise_or.reduce([np.frombuffer(r[0], np.uint8) for r in rows])
-            yield pa.RecordBatch.from_pydict({"pair": pa.array([block], pa.int64()), "bits": pa.array([found.tobytes()], pa.binary())})
-
-    schema = "pair long, bits binary"
-    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = ids.select(_hashed("id").alias("h")).mapInArrow(mark, schema)
-    out = np.zeros((FILTER_BLOCKS, FILTER_BITS // 8 // FILTER_BLOCKS), np.uint8)
-    for r in marked.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(unite, schema).collect():
+        for block, rows in _by_pair(batches, ("bit",)):
+            found = np.zeros(BLOCK_BITS, bool)
+            found[[r[0] for r in rows]] = True
+            yield pa.RecordBatch.from_pydict({"pair": pa.array([block], pa.int64()), "bits": pa.array([np.packbits(found).tobytes()], pa.binary())})
+
+    n = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bit = F.pmod("text_hash", F.lit(bits).cast("long"))
+    placed = hashes.select(F.floor(bit / BLOCK_BITS).alias("pair"), (bit % BLOCK_BITS).alias("bit")).repartition(n, "pair").sortWithinPartitions("pair")
+    out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for r in placed.mapInArrow(mark, "pair long, bits binary").collect():
         out[r["pair"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
-def _shingle_sets(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, width: int, words: int) -> DataFrame:
-    """(fp, shingles) of ``nodes`` (fp, id): the set of shingles is read again from a document that has the fingerprint.
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, *, text_col: str, width: int, words: int) -> DataFrame:
+    """(fp, shingles) of ``nodes`` (fp, text_hash): the set of shingles is read again from a text that has the fingerprint.
 
-    A bitmap of the ids keeps other texts from being read further, so no text is shuffled; the fingerprint decides.
+    A bitmap of the texts' hashes, sized by their number, keeps other texts from being read further, so no text is shuffled. With more
+    texts than a broadcast bitmap serves, a join on the hash does the same. The fingerprint decides in either case.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(nodes))
+    hashes = cut(nodes.select("text_hash").distinct())
+    wanted = BITS_PER_TEXT * hashes.count()
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    if wanted > 2 * MOST_BITS:
+        shared, bits = None, 0
+        rows = rows.join(hashes, "text_hash", "left_semi")
+    else:
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (wanted - 1).bit_length()))
+        shared = docs.sparkSession.sparkContext.broadcast(_text_filter(hashes, bits))
+        rows = rows.select(F.pmod("text_hash", F.lit(bits).cast("long")).alias("text_hash"), "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            wanted = np.flatnonzero(bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1)
-            for at in range(0, len(wanted), 256):
-                sets = [np.unique(shingle_hashes(batch.column("text")[int(i)].as_py(), width)) for i in wanted[at : at + 256]]
-                fps = [fingerprint(x, words).astype(">u8").tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
-
-    rows = docs.select(_hashed(F.col(id_col).cast("long")).alias("h"), F.col(text_col).cast("string").alias("text"))
+            at = batch.column("text_hash").to_numpy()
+            there = np.arange(len(at)) if shared is None else np.flatnonzero(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            held, size = [], 0
+            for i in there:
+                held.append(np.unique(shingle_hashes(batch.column("text")[int(i)].as_py(), width)))
+                size += held[-1].nbytes
+                if size > 1 << 22:
+                    yield out(held)
+                    held, size = [], 0
+            if held:
+                yield out(held)
+
+    def out(sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([fingerprint(x, words).astype(">u8").tobytes() for x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
+
     found = rows.mapInArrow(kernel, "fp binary, shingles binary")
     return found.join(nodes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, width: int, words: int, radius: int, first_radius: int | None, similarity: float, offsets: list[tuple[int, int]]) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, *, text_col: str, width: int, words: int, radius: int, first_radius: int, similarity: float, offsets: list[tuple[int, int]]) -> DataFrame:
     """Links (a, b) of ``nodes`` (node, fp, x, y, least), enough to join all whose sets of shingles have the similarity.
 
     Fingerprints within the radius name the candidates of each pair of tiles; only their sets are read again, and go only to the pairs of tiles
-    that name them.
+    that name them. Tiles of long texts hold fewer nodes, so the sets behind a pair of tiles have a bounded size.
     """
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = cut(_dealt(nodes, offsets=offsets, tile=TILE // 2).mapInArrow(_candidates(radius, first_radius), "pair long, side int, node long"))
-    wanted = cut(named.select("node").distinct().join(nodes, "node").select("node", "fp", F.col("least.doc_id").alias("id")))
-    sets = _shingle_sets(docs, wanted, id_col=id_col, text_col=text_col, width=width, words=words).join(wanted.select("node", "fp"), "fp")
-    dealt = named.join(sets, "node").select("pair", "side", "node", "fp", "shingles")
+    largest = F.pow(F.lit(1 / similarity), (F.col("x") + 1) / SIZE_STEPS)  # of the sets of a cell
+    tile = F.least(F.lit(TILE // 2), F.greatest(F.lit(1), F.floor(TILE_BYTES / (8 * largest))))
+    few = F.col("x") <= _size_cell(FEW_SHINGLES, similarity)
+    named = cut(_dealt(nodes, offsets=offsets, tile=tile, few=few).mapInArrow(_candidates(radius, first_radius), "pair long, side int, node long, few boolean"))
+    wanted = cut(named.select("node").distinct().join(nodes, "node").select("node", "fp", F.col("least.text_hash").alias("text_hash")))
+    sets = _shingle_sets(docs, wanted, text_col=text_col, width=width, words=words).join(wanted.select("node", "fp"), "fp")
+    dealt = named.join(sets, "node").select("pair", "side", "node", "fp", "few", "shingles")
     return dealt.repartition(n, "pair").sortWithinPartitions("pair", "side").mapInArrow(_verified(radius, first_radius, similarity), "a long, b long")
 
 
 def hamming_links(nodes: DataFrame, *, radius: int, offsets: list[tuple[int, int]], tile: int = TILE) -> DataFrame:
     """Links (a, b) of ``nodes`` (node, fp, x, y), enough to join all that lie within ``radius`` of each other."""
-    return _dealt(nodes, offsets=offsets, tile=tile).mapInArrow(_linked(radius, None), "a long, b long")
+    return _dealt(nodes, offsets=offsets, tile=F.lit(tile), few=F.lit(False)).mapInArrow(_linked(radius), "a long, b long")
 
 
-def _dealt(nodes: DataFrame, *, offsets: list[tuple[int, int]], tile: int) -> DataFrame:
-    """(pair, side, node, fp): the nodes of each pair of tiles, sorted by pair within partitions.
+def _dealt(nodes: DataFrame, *, offsets: list[tuple[int, int]], tile: Column, few: Column) -> DataFrame:
+    """(pair, side, node, fp, few): the nodes of each pair of tiles, sorted by pair within partitions.
 
-    ``offsets`` are the differences of cells that may hold a pair. Cells with many nodes are cut into sub-tiles by hash, and each
-    node goes to the pairs of tiles that its own belongs to. The table of cells is bounded by the population counts
+    ``offsets`` are the differences of cells that may hold a pair. Cells with more than ``tile`` nodes are cut into sub-tiles by hash, and each
+    node goes to the pairs of tiles that its own belongs to; ``few`` tells of each cell whether a pair begins with it. The table of cells is bounded by the population counts
     (33 x 33) or by the logarithm of the number of shingles.
     """
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = F.least(F.lit(MAX_SUBTILES), F.ceil(F.col("count") / tile)).cast("int")
-    cells = cut(nodes.groupBy("x", "y").count().select("x", "y", tiles.alias("k")))
+    cells = cut(nodes.groupBy("x", "y").count().select("x", "y", F.ceil(F.col("count") / tile).alias("k"), few.alias("few")))
     forward = sorted({max((dx, dy), (-dx, -dy)) for dx, dy in offsets})
-    at = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(o).alias("o")) for o, (dx, dy) in enumerate(forward)]))
+    at = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in forward]))
     other = cells.select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("k").alias("bk"))
     pairs = (
-        cells.select("x", "y", "k", at.alias("at"))
-        .select("x", "y", "k", (F.col("x") + F.col("at.dx")).alias("bx"), (F.col("y") + F.col("at.dy")).alias("by"), F.col("at.o").alias("o"))
+        cells.select("x", "y", "k", "few", at.alias("at"))
+        .select("x", "y", "k", "few", (F.col("x") + F.col("at.dx")).alias("bx"), (F.col("y") + F.col("at.dy")).alias("by"))
         .join(other, ["bx", "by"])
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("bk") - 1)).alias("j"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bk") - 1)).alias("j"))
         .where("x <> bx OR y <> by OR i <= j")
     )
-    packed = ((((F.col("x") + 1).cast("long") * 64 + F.col("y")) * 8192 + F.col("i")) * 128 + F.col("o")) * 8192 + F.col("j")
-    pairs = cut(pairs.withColumn("pair", packed))
+    pairs = cut(pairs.withColumn("pair", F.monotonically_increasing_id()))
     own = (F.col("x") == F.col("bx")) & (F.col("y") == F.col("by")) & (F.col("i") == F.col("j"))
-    sides = pairs.select("x", "y", F.col("i").alias("sub"), "pair", F.lit(0).alias("side")).unionByName(
-        pairs.where(~own).select(F.col("bx").alias("x"), F.col("by").alias("y"), F.col("j").alias("sub"), "pair", F.lit(1).alias("side"))
+    sides = pairs.select("x", "y", F.col("i").alias("sub"), "pair", F.lit(0).alias("side"), "few").unionByName(
+        pairs.where(~own).select(F.col("bx").alias("x"), F.col("by").alias("y"), F.col("j").alias("sub"), "pair", F.lit(1).alias("side"), "few")
     )
-    placed = nodes.join(cells, ["x", "y"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("k").cast("long")).cast("int")).drop("k")
-    dealt = placed.join(sides, ["x", "y", "sub"]).select("pair", "side", "node", "fp")
+    placed = nodes.join(cells.drop("few"), ["x", "y"]).withColumn("sub", F.pmod(F.xxhash64("fp"), "k")).drop("k")
+    dealt = placed.join(sides, ["x", "y", "sub"]).select("pair", "side", "node", "fp", "few")
     return dealt.repartition(n, "pair").sortWithinPartitions("pair", "side")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1, radius: int = 3, first_radius: int | None = None, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, row, fp, component_id, keep_row) for each row of ``docs``.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1, radius: int = 3, first_radius: int = 3, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, row, text_hash, fp, component_id, keep_row) for each row of ``docs``.
 
     Fingerprints of one word link at ``radius`` or fewer differing bits; wide ones if, within the radius, the sets of shingles have the
-    ``similarity``. Components are all that is reachable; ``component_id`` is their smallest id (null if they have none), ``keep_row`` the row of it. A null text is an empty one: no shingle, fingerprint
+    ``similarity``. Components are all that is reachable; ``component_id`` is their smallest id (null if they have none), ``keep_row`` the row
+    of it, of rows that repeat it the first. Ids keep their type, which may be any that can be ordered. A null text is an empty one: no shingle, fingerprint
     zero, linked like any other. Rows with the same fingerprint are joined without being compared. An
-    empty table gives no rows. Only the two named columns are read.
+    empty table gives no rows. Only the two named columns are read, so others may have any name.
     """
     if words > 1:
         offsets = [(d, 0) for d in range(SIZE_STEPS + 1)]
     else:
         offsets = [(dx, dy) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if abs(dx) + abs(dy) <= radius]
     rows = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, words=words, similarity=similarity))
-    ranked = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
-    nodes = cut(rows.groupBy("fp", "x", "y").agg(F.min(ranked).alias("least")).select(F.col("least.row").alias("node"), "fp", "x", "y", "least"))
+    ranked = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row", "text_hash")
+    nodes = cut(rows.groupBy("fp", "x", "y").agg(F.min(ranked).alias("least"), F.count("*").alias("n")).select(F.col("least.row").alias("node"), "fp", "x", "y", "least", "n"))
     if words > 1:
-        links = similar_links(docs, nodes, id_col=id_col, text_col=text_col, width=width, words=words, radius=radius, first_radius=first_radius, similarity=similarity, offsets=offsets)
+        links = similar_links(docs, nodes, text_col=text_col, width=width, words=words, radius=radius, first_radius=first_radius, similarity=similarity, offsets=offsets)
     else:
         links = hamming_links(nodes, radius=radius, offsets=offsets)
     found = components(links)
-    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    labelled = rooted.join(least, "root").select("fp", "x", "y", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row"))
-    return rows.join(labelled, ["fp", "x", "y"]).select("doc_id", "row", "fp", "component_id", "keep_row")
+    rooted = cut(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("best"), F.sum("n").alias("in_root"))
+    labelled = cut(join_groups(rooted, least, ["root"], "in_root").select("fp", "x", "y", "n", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row")))
+    return join_groups(rows, labelled, ["fp", "x", "y"], "n").select("doc_id", "row", "text_hash", "fp", "component_id", "keep_row")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of near copies, the one with the smallest id; the columns stay the same.
+    """``docs`` with one row of each group of near copies, the one with the smallest id; the columns stay the same, whatever their names.
 
-    Near copies have sets of five-word shingles of a similarity of 0.8 or more. 512-bit fingerprints find the pairs, and the sets decide.
+    Near copies have sets of five-word shingles of a similarity of 0.8 or more. 512-bit fingerprints find the pairs, and the sets decide. Null texts
+    and texts without words are one group; ids that are null come last; of rows that agree in id and text one stays, while another text under the same id
+    is judged for itself. An empty table gives no rows.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, words=WIDE_WORDS, radius=WIDE_RADIUS, first_radius=FIRST_RADIUS, similarity=similarity)
-    keep = found.where("row = keep_row").select(F.col("doc_id").alias("__id")).distinct()
-    names = docs.columns
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi").select(*names)
+    # Texts are told by their hash within one id, so row numbers needn't be the same when the table is read again.
+    keep = found.where("row = keep_row").select("text_hash", F.xxhash64("doc_id").alias("id_hash"))
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.xxhash64(id_col).alias("id_hash"))
+    return whole.join(keep, ["text_hash", "id_hash"]).dropDuplicates(["text_hash", "id_hash"]).select("whole.*")

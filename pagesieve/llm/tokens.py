@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
 #: Bytes of one batch for the library, and of a piece of a long text, about.
 BATCH_BYTES, PIECE_CHARS = 1 << 20, 1 << 16
-#: A pre-token never holds a blank after a printable ASCII character, and what is before it is cut alike without what follows.
-SAFE = re.compile(r"(?<=[!-~])[ \n]")
+#: Where a pre-token ends whatever is around: before a blank or newline that follows anything but white space (whitespace is the start
+#: of a pre-token or one of its own, never inside), and after a full-width or CJK mark that a CJK letter follows, as marks and letters
+#: never share a pre-token. What is on either side is cut alike without the other. Characters whose class changed between
+#: versions of Unicode, and the apostrophe, which begins contractions, are left out.
+SAFE = re.compile(r"(?<=[^\s\u180e\u200b\ufeff])(?=[ \n])|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])")
 
 
 @cache
@@ -51,7 +54,10 @@ def lengths(name: str, texts: list[str]) -> list[int]:
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
-    """``text`` in pieces of ``size`` characters or somewhat more, cut at safe boundaries only."""
+    """``text`` in pieces of ``size`` characters or somewhat more, cut at safe boundaries only.
+
+    A run of letters without any blank or mark is one pre-token to the library, and stays one piece.
+    """
     at = 0
     while len(text) - at > size and (cut := SAFE.search(text, at + size)):
         yield text[at : cut.start()]
@@ -78,7 +84,7 @@ def _counted(name: str, limit: int):
                 n_bytes.append(len(text.encode()))
                 for piece in pieces(text) if splits else [text]:
                     waiting.append((row, piece))
-                    held += len(piece)
+                    held += len(piece.encode())
                     if held >= BATCH_BYTES:
                         encode()
                         held = 0

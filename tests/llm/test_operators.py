@@ -320,6 +320,64 @@ def test_near_groups_equal_those_of_the_sets(spark):
     assert {x.doc_id: x.component_id for x in found.collect()} == {i: find(i) for i in range(len(sets))}
 
 
+def test_near_copies_under_the_same_id(spark):
+    r = random.Random(9)
+    base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    near, other = " ".join([*base[:-1], "changed"]), " ".join(base[::-1])
+    data = spark.createDataFrame([(1, " ".join(base)), (2, near), (2, other), (2, other), (None, near), (None, None)], "doc_id long, text string")
+    assert Counter((x.doc_id, x.text) for x in simhash.drop_near_duplicates(data).collect()) == {(1, " ".join(base)): 1, (2, other): 1, (None, None): 1}
+
+
+def test_near_copies_of_any_type_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    names = ["doc_id", "text", "row", "h", "fp", "whole", "text_hash", "id_hash", "component_id", "own_id", "copies", "id", "digest"]
+    data = spark.createDataFrame([("b", text, *range(11)), ("a", text + " end", *range(11)), ("c", "x", *range(11)), (None, "", *range(11))], ", ".join(f"{c} {'string' if i < 2 else 'int'}" for i, c in enumerate(names)))
+    for found, want in ((simhash.drop_near_duplicates(data), {"a", "c", None}), (exact.drop_exact_duplicates(data), {"a", "b", "c", None}), (langid.keep_known_languages(data.withColumn("lang", data.text)), {"a", "b", "c"})):
+        assert found.columns[:13] == names and {x.doc_id for x in found.collect()} == want
+    assert {x.doc_id: x.component_id for x in simhash.near_duplicates(data).collect()}.keys() == {"a", "b", "c", None}
+    assert {x.keep_id for x in exact.exact_dedup(data.union(data.selectExpr("'z'", *names[1:]))).collect()} == {"z"}
+    mixed = mixing.mixed_documents(data.withColumn("source", data.doc_id))
+    assert mixed.columns == [*names, "source"] and {x.doc_id for x in mixed.collect()} >= {None}
+
+
+def test_stages_take_empty_tables(spark):
+    for stage in (langid.keep_known_languages, exact.drop_exact_duplicates, simhash.drop_near_duplicates, mixing.mixed_documents):
+        found = stage(empty(spark))
+        assert found.columns == empty(spark).columns and found.collect() == []
+
+
+def similar(a, b, width=5, least=0.8):
+    a, b = (set(simhash.shingle_hashes(t, width).tolist()) for t in (a, b))
+    return len(a & b) + 1e-9 >= least * len(a | b)
+
+
+def test_short_texts_are_compared_whole(spark):
+    """Sets of 4 and 5 shingles that share 4 are 0.8 alike, and their fingerprints differ in up to a quarter of the bits."""
+    r = random.Random(10)
+    texts = []
+    for _ in range(400):
+        words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(r.choice([8, 8, 9, 16, 17]))]
+        texts += [" ".join(words), " ".join([*words, "more"])]
+    found = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=5, words=simhash.WIDE_WORDS, radius=simhash.WIDE_RADIUS, first_radius=simhash.FIRST_RADIUS).collect()}
+    assert found == {i: i - 1 if i % 2 and similar(texts[i - 1], texts[i]) else i for i in range(800)}
+    assert sum(found[i] < i for i in found) > 300
+
+
+@pytest.mark.parametrize("most", [simhash.MOST_BITS, 1])
+def test_a_family_below_the_similarity_stays(spark, monkeypatch, most):
+    """Many documents of one template, each 0.7 like the others: none is a copy, though all are candidates of each other."""
+    monkeypatch.setattr(simhash, "MOST_BITS", most)  # 1: the join instead of the bitmap
+    monkeypatch.setattr(simhash, "TILE_BYTES", 1 << 16)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(90)]
+    texts = [" ".join([*shared, *(word() for _ in range(18))]) for _ in range(300)]
+    texts += [texts[5] + " x", texts[7] + " y"]
+    assert not similar(texts[0], texts[1]) and similar(texts[5], texts[300])
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(data).collect()) == list(range(300))
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -363,7 +421,11 @@ def test_token_counts(spark, docs):
 def test_pieces_and_remembered_ids_agree_with_the_library():
     t = tokens.load(tokens.TOKENIZER)
     encode = tokens.IdEncoder()
-    for text in [*TEXTS, "a  b\n\n c \u2003 d\t\te", "don't  we'll 've <|endoftext|>x", "日本語 text ½ ² ٣", "  lead", "trail  "]:
+    r = random.Random(13)
+    marks = ["。", "、", "あ", "日本", "漢", "é", "ß", " ", "  ", "\n", "\u3000", "\u00a0", "\x1c", "\u200b", "'s", "’", "a", "1", "²", "!", "<|endoftext|>", "한", "Ж", "\u0301", "🙂"]
+    fuzz = ["".join(r.choice(marks) for _ in range(r.choice([5, 60, 300]))) for _ in range(300)]
+    assert len(list(tokens.pieces("日本語の文です。" * 5000, 1000))) > 20
+    for text in [*TEXTS, *fuzz, "a  b\n\n c \u2003 d\t\te", "don't  we'll 've <|endoftext|>x", "日本語 text ½ ² ٣", "  lead", "trail  "]:
         text = text or ""
         ids = t.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encode(text), "<u4").tolist() == ids
