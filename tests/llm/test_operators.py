@@ -471,6 +471,22 @@ def test_top_k_with_repeated_ids(spark):
     assert sorted(tuple(x) for x in topk.top_k(df, df.where("vec_id % 20 = 0")).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("block", [1, 7, 2048])
+def test_top_k_over_many_blocks(spark, monkeypatch, block):
+    """Blocks by signs, a k-th score that travels between them, vectors of unequal length, ids of another type."""
+    monkeypatch.setattr(topk, "BLOCK", block)
+    r = random.Random(14)
+    vectors = [(f"v{i:03}", [r.gauss(0, 1) for _ in range(r.choice([3, 5, 5]))]) for i in range(150)] + [("v200", [0.0] * 5), ("v201", [])]
+    df = spark.createDataFrame(vectors, "vec_id string, embedding array<double>")
+    good = {i: [math.floor(256 * x) for x in v] for i, v in vectors}
+    want = []
+    for q in list(good)[::9]:
+        ranked = sorted((-sum(a * b for a, b in zip(good[q], good[c], strict=False)), c) for c in good if c != q)[:5]
+        want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(ranked)]
+    found = topk.top_k(df, df.where(df.vec_id.isin(list(good)[::9])))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_threshold_stops_with_the_right_rows(seed):
     r = np.random.default_rng(seed)
@@ -480,6 +496,8 @@ def test_threshold_stops_with_the_right_rows(seed):
     got, scores = topk.threshold_top(m, lists, q, 5)
     every = m @ q
     kth = np.sort(every)[-5]
+    above, _ = topk.threshold_top(m, lists, q, 5, (), int(kth) + 1)
+    assert set(above) == set(np.flatnonzero(every > kth)) and len(topk.threshold_top(m, lists, q, 5, (), 10**6)[0]) == 0
     assert set(np.flatnonzero(every > kth)) <= set(got) and (every >= kth).sum() >= 5 and set(np.flatnonzero(every >= kth)) == set(got) and list(every[got]) == list(scores)
 
 
