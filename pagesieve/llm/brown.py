@@ -1,10 +1,10 @@
 """LM scoring by a class bigram model of Brown clusters.
 
-Counts of all training words come first. The most frequent words are clustered by the exchange algorithm on their bigram
-counts; further frequent words take the class that fits their neighbours best, in one distributed pass; all other words
-share classes by their last letters. A text's probability is the product of smoothed class transitions and of
-word emissions within the class. It splits into a part that depends on the order of classes, which bounded tables
-give, and a sum over words, for which rare words are joined with their counts.
+Counts of all training words come first. The most frequent words are clustered by the exchange algorithm on their bigram counts, one word
+at a time. Then all words of the dictionary are exchanged in distributed rounds: class counts are held, every word moves to the class that
+raises the likelihood most given its neighbours' classes, and the counts are taken anew. Words beyond the dictionary, of any number, get
+their class by the same rule in one pass that meets their neighbours' classes by word, and are joined back by word, so every training word
+has a class of its own. A text's probability is the product of smoothed class transitions and of word emissions within the class.
 """
 
 from __future__ import annotations
@@ -16,21 +16,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text_crc, stored
 
-#: Words in the exchange, words that get a class of their own by their neighbours, exchange classes, classes by ending, words whose
-#: counts are broadcast. All other words are counted and scored by joins.
-EXCHANGE_WORDS, CLASSED_WORDS, CLASSES, ENDINGS, DICTIONARY = 1024, 8192, 64, 128, 1 << 18
-EXCHANGE_ROUNDS = 8
-#: Added to word counts; weight of the class's own frequency in a transition.
-ADDED, PRIOR = 0.1, 50.0
+#: Words whose exchange is sequential, classes, words of the dictionary that is broadcast. All other words are counted, classed and looked up by joins.
+EXCHANGE_WORDS, CLASSES, DICTIONARY = 1024, 64, 1 << 18
+#: Sequential rounds, at most; distributed rounds over the whole dictionary.
+EXCHANGE_ROUNDS, SHARED_ROUNDS = 8, 2
+#: Added to word counts; to the class bigrams that words are moved by; weight of the class's own frequency in a transition.
+ADDED, ADDED_PAIRS, PRIOR = 0.1, 0.1, 50.0
 #: Held-out rows: crc32 of the id modulo 10 is 0.
 FOLDS = 10
-#: Words that a task counts before it gives its counts on; rows of one block of a count matrix.
-COUNTED, BLOCK_ROWS = 500_000, 64
+#: Words that a task counts before it gives its counts on; tokens whose contexts it counts together; rows of one block of a matrix and words of one block of contexts.
+COUNTED, TOGETHER, BLOCK_ROWS, BLOCK_WORDS = 500_000, 1 << 21, 64, 1024
+#: In a sequence of classes: a word beyond the dictionary, and a word that training doesn't hold.
+HOLE, UNKNOWN = 255, 254
 END = b""
 
 
@@ -43,10 +46,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def ending_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % ENDINGS
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
@@ -64,7 +63,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Vocabulary:
-    """What the kernels need of the frequent words: counts of the dictionary, ranks of the classed words."""
+    """What the kernels need of the dictionary: counts and places of its words."""
 
     def __init__(self, words: bytes, counts: bytes):
         self.words = words.split(b"\n") if counts else []
@@ -90,24 +89,21 @@ class _Broadcast:
         return self.held.value
 
 
-def _encoder(shared):
+def _encoder(shared, end: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Codes: rank of a classed word, else CLASSED_WORDS + its ending class, CLASSED_WORDS + ENDINGS for the end."""
+        """Codes: place of a word of the dictionary, ``end`` for the end, ``end`` + 1 + its place in ``rare`` for any other word."""
         vocabulary = _vocabulary(shared)
-        get, counts = vocabulary.place.get, vocabulary.counts
-        logs = np.log10(counts + ADDED)
+        place = vocabulary.place
+        logs = np.log10(vocabulary.counts + ADDED)
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for text in batch.column("text"):
                 words = words_of(text.as_py())
-                places = np.array([get(w, -1) for w in words], np.int64)
-                there = places >= 0
-                codes = np.where(places < CLASSED_WORDS, places, -1)
-                other = np.flatnonzero(codes < 0)
-                if len(other):
-                    codes[other] = [CLASSED_WORDS + ending_class(words[i]) for i in other]
-                rare = Counter(words[i] for i in np.flatnonzero(~there))
-                for column, value in zip(out, (len(words) + 1, int(there.sum()), float(logs[places[there]].sum()), np.append(codes, CLASSED_WORDS + ENDINGS).astype("<u2").tobytes(), list(rare), list(rare.values())), strict=True):
+                rare: dict[bytes, int] = {}
+                codes = np.array([place[w] if w in place else end + 1 + rare.setdefault(w, len(rare)) for w in words] + [end], np.int64)
+                there = codes[codes < end]
+                n = np.bincount(codes[codes > end] - end - 1, minlength=len(rare))
+                for column, value in zip(out, (len(words) + 1, len(there), float(logs[there].sum()), codes.astype("<u4").tobytes(), list(rare), n), strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "held_out")), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "row", "held_out", "n_tokens", "known", "logs", "codes", "rare", "rare_n"])
@@ -115,11 +111,16 @@ def _encoder(shared):
     return kernel
 
 
-ENCODED = "doc_id long, row long, held_out boolean, n_tokens long, known long, logs double, codes binary, rare array<binary>, rare_n array<long>"
+ENCODED = "row long, held_out boolean, n_tokens long, known long, logs double, codes binary, rare array<binary>, rare_n array<long>"
+
 
+def _classes_of(codes: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+    """Classes of codes; words beyond the dictionary have -1, as have its words without a class. The last entry of ``class_of`` is the end's."""
+    return np.where(codes < len(class_of), class_of[np.minimum(codes, len(class_of) - 1)], -1)
 
-def _matrix_blocks(height: int, width: int, keys):
-    """A kernel that counts ``keys`` (row * width + column) of each document and gives on blocks of rows."""
+
+def _matrix_blocks(height: int, width: int, kind: str, keys):
+    """A kernel that counts ``keys`` (row * width + column) of each sequence and gives on blocks of rows."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(height * width, np.int64)
@@ -132,10 +133,10 @@ def _matrix_blocks(height: int, width: int, keys):
                 waiting.clear()
 
         for batch in batches:
-            for value in batch.column("codes"):
-                waiting.append(keys(np.frombuffer(value.as_py(), "<u2").astype(np.int64)))
+            for value in batch.column(0):
+                waiting.append(keys(np.frombuffer(value.as_py(), kind).astype(np.int64)))
                 size += len(waiting[-1])
-                if size > 1 << 21:
+                if size > TOGETHER:
                     add()
                     size = 0
         add()
@@ -163,11 +164,11 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": [block], "cells": pa.array([total.tobytes()], pa.binary())})
 
 
-def _matrix(coded: DataFrame, height: int, width: int, keys) -> np.ndarray:
-    """The count matrix over all of ``coded``; its size is set by the parameters, not by the corpus."""
-    n = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _matrix(sequences: DataFrame, height: int, width: int, kind: str, keys) -> np.ndarray:
+    """The count matrix over all ``sequences`` (one binary column); its size is set by the parameters, not by the corpus."""
+    n = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "block long, cells binary"
-    blocks = coded.select("codes").mapInArrow(_matrix_blocks(height, width, keys), schema)
+    blocks = sequences.mapInArrow(_matrix_blocks(height, width, kind, keys), schema)
     # Partial sums over half the tasks at a time would save nothing: blocks are few and small, and each is summed in one task.
     summed = blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_summed, schema).collect()
     out = np.zeros((-(-height // BLOCK_ROWS) * BLOCK_ROWS, width), np.int64)
@@ -221,34 +222,236 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
     return of
 
 
+class Preference:
+    """How much better each class fits a word with the given numbers of neighbours, in log likelihood, while class counts are held.
+
+    Moving a word changes the likelihood of the class bigrams, to first order, by the sum over its left neighbours of log p(class | theirs) and over
+    its right neighbours of log p(theirs | class), both relative to how frequent the classes are.
+    """
+
+    def __init__(self, pairs: np.ndarray):
+        pairs = pairs + ADDED_PAIRS
+        self.k = len(pairs) - 1  # the last class is the end's, which no word moves to
+        self.common = int(np.argmax(pairs.sum(0)[: self.k]))
+        into = np.log(pairs / pairs.sum(0, keepdims=True))[:, : self.k]
+        onto = np.log(pairs / pairs.sum(1, keepdims=True))[: self.k]
+        self.gain = np.concatenate([into, onto.T])
+
+    def best(self, contexts: np.ndarray, default: np.ndarray) -> np.ndarray:
+        """The best class for each row of counts (left classes, then right classes); ``default`` where there is no neighbour. Ties go to the lower class."""
+        return np.where(contexts.any(1), np.argmax(np.round(contexts @ self.gain, 6), 1), default)
+
+
+def _slots(codes: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the class of its left and of its right neighbour, -1 if it has none; before the first token is an end."""
+    c = _classes_of(codes, class_of)
+    return np.append(class_of[-1], c[:-1]), np.append(c[1:], -1)
+
+
+def _contexts(class_of: np.ndarray, width: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of (word of the dictionary, class beside it) in blocks of words: ``cells`` holds the places in the block, ``n`` the counts."""
+        waiting, size, words = [], 0, len(class_of) - 1
+
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
+            blocks = np.unique(keys // (BLOCK_WORDS * width))
+            cuts = np.searchsorted(keys, np.append(blocks, blocks[-1:] + 1) * BLOCK_WORDS * width)
+            cells = [(keys[a:z] % (BLOCK_WORDS * width)).astype("<u4").tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+            counts = [n[a:z].astype("<u4").tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["block", "cells", "n"])
+
+        for batch in batches:
+            for value in batch.column(0):
+                codes = np.frombuffer(value.as_py(), "<u4").astype(np.int64)
+                left, right = _slots(codes, class_of)
+                known = codes < words
+                for side, slot in enumerate((left, right)):
+                    there = known & (slot >= 0)
+                    waiting.append(codes[there] * width + slot[there] + side * (width // 2))
+                size += len(codes)
+                if size > TOGETHER:
+                    yield out()
+                    waiting, size = [], 0
+        if waiting:
+            yield out()
+
+    return kernel
+
+
+def _moved(prefers: Preference, default: np.ndarray, width: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The new classes of the words of each block; rows come sorted by block."""
+        current, total = None, None
+
+        def out() -> pa.RecordBatch:
+            own = default[current * BLOCK_WORDS : (current + 1) * BLOCK_WORDS]
+            best = prefers.best(total.reshape(-1, width)[: len(own)], own)
+            return pa.RecordBatch.from_pydict({"block": pa.array([current], pa.int64()), "classes": pa.array([best.astype("u1").tobytes()], pa.binary())})
+
+        for batch in batches:
+            for block, cells, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "n")), strict=True):
+                if block != current:
+                    if current is not None:
+                        yield out()
+                    current, total = block, np.zeros(BLOCK_WORDS * width, np.int64)
+                total[np.frombuffer(cells, "<u4")] += np.frombuffer(n, "<u4")
+        if current is not None:
+            yield out()
+
+    return kernel
+
+
+def _exchanged(learnt: DataFrame, class_of: np.ndarray) -> np.ndarray:
+    """``class_of`` after one distributed round: all words move at once, by class counts as they were. A byte a word reaches the driver."""
+    k, words = CLASSES, len(class_of) - 1
+    width, n = 2 * (k + 1), int(learnt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prefers = Preference(_pairs(learnt, class_of))
+    default = np.where(class_of[:-1] < 0, np.arange(words) % k, class_of[:-1])
+    contexts = learnt.select("codes").mapInArrow(_contexts(class_of, width), "block long, cells binary, n binary")
+    moved = contexts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_moved(prefers, default, width), "block long, classes binary")
+    out = np.append(default, k)
+    for r in moved.collect():
+        at = r["block"] * BLOCK_WORDS
+        out[at : at + len(r["classes"])] = np.frombuffer(r["classes"], "u1")
+    return out
+
+
+def _pairs(learnt: DataFrame, class_of: np.ndarray) -> np.ndarray:
+    """How often a class follows another one, over neighbours that both have a class."""
+    width = CLASSES + 1
+
+    def keys(codes: np.ndarray) -> np.ndarray:
+        c = _classes_of(codes, class_of)
+        before = np.append(class_of[-1], c[:-1])
+        there = (c >= 0) & (before >= 0)
+        return before[there] * width + c[there]
+
+    return _matrix(learnt.select("codes"), width, width, "<u4", keys)
+
+
+def _tail_contexts(class_of: np.ndarray):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, n, slots) for each word beyond the dictionary in each text: left neighbours' classes, and right ones' plus the number of classes."""
+        end, width = len(class_of) - 1, CLASSES + 1
+        for batch in batches:
+            words, counts, slots, lengths = [], [], [], []
+            for codes, rare, n in zip(batch.column("codes"), batch.column("rare"), batch.column("rare_n"), strict=True):
+                if not len(rare):
+                    continue
+                codes = np.frombuffer(codes.as_py(), "<u4").astype(np.int64)
+                left, right = _slots(codes, class_of)
+                at = np.flatnonzero(codes > end)
+                word, slot = np.tile(codes[at] - end - 1, 2), np.concatenate([left[at], np.where(right[at] < 0, -1, right[at] + width)])
+                there = np.flatnonzero(slot >= 0)
+                there = there[np.argsort(word[there], kind="stable")]
+                words += rare.as_py()
+                counts += n.as_py()
+                slots.append(slot[there].astype("u1"))
+                lengths.append(np.bincount(word[there], minlength=len(rare)))
+            if words:
+                offsets = np.append(0, np.cumsum(np.concatenate(lengths))).astype("<i4")
+                binary = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(slots).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), binary], ["word", "n", "slots"])
+
+    return kernel
+
+
+def _tail_classes(prefers: Preference):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, c, k) of the words beyond the dictionary; rows come sorted by word, and a word's counts go on into the next batch."""
+        width = 2 * (CLASSES + 1)
+        word, count, total = None, 0, np.zeros(width, np.int64)
+
+        def out(words: list, counts: np.ndarray, totals: np.ndarray) -> pa.RecordBatch:
+            best = prefers.best(totals, np.full(len(words), prefers.common))
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(best.astype(np.int32))], ["word", "c", "k"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            coded = pc.dictionary_encode(batch.column("word"))
+            of, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()  # in order of appearance, hence sorted
+            column = batch.column("slots")
+            offsets = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset)
+            slots = np.frombuffer(column.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
+            flat = np.repeat(of.astype(np.int64), np.diff(offsets)) * width + slots
+            totals = np.bincount(flat, minlength=len(words) * width).reshape(-1, width)
+            counts = np.bincount(of, batch.column("n").to_numpy(), len(words)).astype(np.int64)
+            if word == words[0]:
+                totals[0] += total
+                counts[0] += count
+            elif word is not None:
+                yield out([word], np.array([count]), total[None])
+            word, count, total = words[-1], counts[-1], totals[-1]
+            if len(words) > 1:
+                yield out(words[:-1], counts[:-1], totals[:-1])
+        if word is not None:
+            yield out([word], np.array([count]), total[None])
+
+    return kernel
+
+
+def _classed(class_of: np.ndarray):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A class byte for each token, HOLE for words beyond the dictionary, whose places in ``rare`` follow in order in ``holes``."""
+        end = len(class_of) - 1
+        for batch in batches:
+            classes, holes = [], []
+            for value in batch.column("codes"):
+                codes = np.frombuffer(value.as_py(), "<u4").astype(np.int64)
+                classes.append(np.where(codes > end, HOLE, class_of[np.minimum(codes, end)]).astype("u1").tobytes())
+                holes.append((codes[codes > end] - end - 1).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(classes, pa.binary()), pa.array(holes, pa.binary())], [*batch.schema.names[:-1], "classes", "holes"])
+
+    return kernel
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class bytes with the holes filled from ``found``, the classes of the document's rare words in their order."""
+    for batch in batches:
+        out = []
+        for classes, holes, found in zip(batch.column("classes"), batch.column("holes"), batch.column("found"), strict=True):
+            c = np.frombuffer(classes.as_py(), "u1")
+            if len(found):
+                c = c.copy()
+                c[c == HOLE] = np.array(found.as_py(), np.uint8)[np.frombuffer(holes.as_py(), "<u4")]
+            out.append(c.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.binary())], [*batch.schema.names[:-3], "classes"])
+
+
 class ClassModel:
-    """The fitted model: bounded tables, besides the counts of rare words, which stay a DataFrame (``rare_counts``)."""
+    """Transitions between classes and what emissions are divided by; the counts of words are the numerators.
+
+    ``steps[a, b]`` counts class b after class a, ``inside`` the distinct words of a class. A class keeps room for one word more, the
+    unknown one; an unknown word takes the class in which it is likeliest.
+    """
 
-    def __init__(self, n_tokens: int, n_distinct: int, class_of: np.ndarray, steps: np.ndarray, inside: np.ndarray):
-        self.n_tokens, self.n_distinct, self.class_of = n_tokens, n_distinct, class_of
+    def __init__(self, steps: np.ndarray, inside: np.ndarray):
         size = steps.sum(0)
         own = (size + ADDED) / (size.sum() + ADDED * len(size))
         self.transition = np.log10((steps + PRIOR * own[None, :]) / (steps.sum(1, keepdims=True) + PRIOR))
-        self.emission = np.log10(size + ADDED * (inside + 1))  # what the counts of the words in a class are divided by
+        self.emission = np.log10(size + ADDED * (inside + 1))
+        self.unknown = int(np.argmax(np.round(np.log10(own) - self.emission, 9)[:-1]))
 
-    def order_part(self, codes: np.ndarray) -> float:
+    def order_part(self, classes: np.ndarray) -> float:
         """Log10 of the transitions, less the log10 of the emissions' denominators."""
-        c = self.class_of[codes]
+        c = np.where(classes == UNKNOWN, self.unknown, classes)
         return float(self.transition[np.append(len(self.transition) - 1, c[:-1]), c].sum() - self.emission[c].sum())
 
-    def base_denominator(self) -> float:
-        return math.log10(self.n_tokens + ADDED * (self.n_distinct + 1))
-
 
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows that are not held out, scores all. A null text is empty: one token, its end. A null id counts as the empty
-    text and is held out. Repeated rows are learnt and scored like others. Without training rows every word is unknown. Rare
-    words, of any number, are counted and looked up by joins on the word; only tables bounded by the parameters reach the driver.
+    text and is held out. Repeated rows are learnt and scored like others; ids keep their type. Without training rows every word is unknown; an empty
+    table gives no rows. Words beyond the dictionary, of any number, are counted, classed and looked up by joins on the word; only tables bounded
+    by the parameters reach the driver. Only the two named columns are read, so others may have any name.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    id_type = docs.schema[id_col].dataType.simpleString()
     counts = stored(rows.where(~F.col("held_out")).select("text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     n_tokens, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
@@ -264,77 +467,55 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     end_count = next((c for w, c in top if w == END), 0) or (counts.where(F.col("word") == F.lit(b"")).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     top = [x for x in top if x[0] != END]
     shared = _Broadcast(spark, (b"\n".join(w for w, _ in top), np.array([c for _, c in top], np.int64).tobytes()))
-    coded = stored(rows.mapInArrow(_encoder(shared), ENCODED))
+    coded = stored(rows.mapInArrow(_encoder(shared, len(top)), f"doc_id {id_type}, {ENCODED}"))
     learnt = coded.where(~F.col("held_out"))
 
-    # Classes: exchange on the most frequent words, then the class that fits the neighbours for the rest of the classed words.
-    ranked = min(len(top), CLASSED_WORDS)
-    core = min(ranked, EXCHANGE_WORDS)
+    # Classes: exchange of the most frequent words one by one, of the whole dictionary at once, of all other words by their neighbours.
+    core = min(len(top), EXCHANGE_WORDS)
 
     def bigram_keys(codes: np.ndarray) -> np.ndarray:
         a, b = codes[:-1], codes[1:]
         both = (a < core) & (b < core)
         return a[both] * core + b[both]
 
-    of = exchange_classes(_matrix(learnt, core, core, bigram_keys)) if core else np.zeros(0, np.int64)
-    k = CLASSES
-    neighbour = np.full(CLASSED_WORDS + ENDINGS + 1, -1)  # the class of exchange words, else -1
-    neighbour[:core] = of
-
-    def neighbour_keys(codes: np.ndarray) -> np.ndarray:
-        c = neighbour[codes]
-        left = (codes[1:] < ranked) & (c[:-1] >= 0)
-        right = (codes[:-1] < ranked) & (c[1:] >= 0)
-        return np.concatenate([codes[1:][left] * 2 * k + c[:-1][left], codes[:-1][right] * 2 * k + k + c[1:][right]])
-
-    class_of = np.concatenate([np.zeros(CLASSED_WORDS, np.int64), k + np.arange(ENDINGS + 1)])
-    if ranked:
-        near = _matrix(learnt, ranked, 2 * k, neighbour_keys)
-        member = np.eye(k)[of]
-        pairs = member.T @ near[:core, k:] + 0.1  # class followed by class
-        into = np.log(pairs / pairs.sum(0, keepdims=True))
-        onto = np.log(pairs / pairs.sum(1, keepdims=True))
-        class_of[:ranked] = np.argmax(near[:, :k] @ into + near[:, k:] @ onto.T, 1)
-        class_of[:core] = of
-    total = k + ENDINGS + 1
-
-    def step_keys(codes: np.ndarray) -> np.ndarray:
-        c = class_of[codes]
-        return np.append(total - 1, c[:-1]) * total + c
-
-    steps = _matrix(learnt, total, total, step_keys)
-    ranks = {w: i for i, (w, _) in enumerate(top[:CLASSED_WORDS])}
-    inside = np.bincount(class_of[:ranked], minlength=total)
-    inside[total - 1] = 1
-
-    def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            found.update(ending_class(w) for w in batch.column("word").to_pylist() if w and w not in ranks)
-        yield pa.RecordBatch.from_pydict({"e": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
-
-    for r in counts.select("word").mapInArrow(endings, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).collect():
-        inside[k + r["e"]] += r["n"]
-    model = ClassModel(n_tokens, n_distinct, class_of, steps, inside)
+    class_of = np.full(len(top) + 1, -1)
+    class_of[-1] = CLASSES
+    if core:
+        class_of[:core] = exchange_classes(_matrix(learnt.select("codes"), core, core, "<u4", bigram_keys), CLASSES)
+        for _ in range(SHARED_ROUNDS):
+            class_of = _exchanged(learnt, class_of)
+    prefers = Preference(_pairs(learnt, class_of))
+    contexts = learnt.select("codes", "rare", "rare_n").mapInArrow(_tail_contexts(class_of), "word binary, n long, slots binary")
+    tail = stored(contexts.repartition(n_parts, "word").sortWithinPartitions("word").mapInArrow(_tail_classes(prefers), "word binary, c long, k int"))
+    inside = np.bincount(class_of, minlength=CLASSES + 1)
+    for r in tail.groupBy("k").count().collect():
+        inside[r["k"]] += r["count"]
+
+    # Each document's rare words with their counts and classes; they meet by word, and come back together by document.
+    rare = coded.select("row", F.posexplode(F.arrays_zip("rare", "rare_n")).alias("at", "r")).select("row", "at", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))
+    c = F.coalesce("c", F.lit(0))
+    found = F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("k", F.lit(UNKNOWN)).alias("k")))), lambda x: x["k"])
+    rare = rare.join(tail, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(c + ADDED)).alias("rare_logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"), found.alias("found"))
+    columns = ["doc_id", "row", "held_out", "n_tokens", "known", "logs"]
+    kinds = f"doc_id {id_type}, row long, held_out boolean, n_tokens long, known long, logs double"
+    classed = coded.select(*columns, "codes").mapInArrow(_classed(class_of), f"{kinds}, classes binary, holes binary")
+    whole = classed.join(rare, "row", "left").select("doc_id", "row", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("known"), (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))).alias("logs"), "classes", "holes", F.coalesce("found", F.array().cast("array<int>")).alias("found"))
+    filled = stored(whole.mapInArrow(_filled, f"{kinds}, classes binary"))
+    width = CLASSES + 1
+    model = ClassModel(_matrix(filled.where(~F.col("held_out")).select("classes"), width, width, "u1", lambda c: np.append(width - 1, c[:-1]) * width + c), inside)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = [model.order_part(np.frombuffer(v.as_py(), "<u2")) for v in batch.column("codes")]
+            part = [model.order_part(np.frombuffer(v.as_py(), "u1").astype(np.int64)) for v in batch.column("classes")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(part, pa.float64())], [*batch.schema.names[:-1], "part"])
 
-    ordered = coded.select("doc_id", "row", "held_out", "n_tokens", "known", "logs", "codes").mapInArrow(scored, "doc_id long, row long, held_out boolean, n_tokens long, known long, logs double, part double")
-    # Words outside the dictionary, summed for each document before the join.
-    low = counts.where((F.col("c") < least) | ~F.lit(bool(least))).where(F.col("word") != F.lit(b""))
-    rare = coded.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.join(low, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(c + ADDED)).alias("rare_logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) + math.log10(end_count + ADDED)
-    return ordered.join(rare, "row", "left").select(
+    logs = F.col("logs") + math.log10(end_count + ADDED)
+    return filled.mapInArrow(scored, f"{kinds}, part double").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0)) + int(end_count > 0)).cast("long").alias("n_known"),
+        (F.col("known") + int(end_count > 0)).cast("long").alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * model.base_denominator()).alias("base_score"),
+        (logs - F.col("n_tokens") * math.log10(n_tokens + ADDED * (n_distinct + 1))).alias("base_score"),
         (logs + F.col("part")).alias("score"),
     )

@@ -145,6 +145,96 @@ def brute_base(texts_by_id):
     return out
 
 
+def plain_class_lm(docs, dictionary, core, classes, rounds):
+    """The scores by plain Python: {(doc_id, text): score}."""
+    split = lambda t: [*(t or "").encode().lower().split()]
+    train = [split(t) for d, t in docs if zlib.crc32(str("" if d is None else d).encode()) % 10]
+    count = Counter(w for t in train for w in t)
+    steps = defaultdict(list)
+    for w, c in [*count.items(), (b"", len(train))]:
+        if c:
+            steps[math.floor(math.log2(c) * 16)].append((w, c))
+    chosen = []
+    for s in sorted(steps, reverse=True):
+        if len(chosen) + len(steps[s]) > dictionary:
+            break
+        chosen += steps[s]
+    ranked = [w for w, c in sorted(chosen, key=lambda x: (-x[1], x[0])) if w]
+    top = ranked[:core]
+    bigrams = np.zeros((len(top), len(top)), np.int64)
+    for t in train:
+        for a, b in zip(t, t[1:], strict=False):
+            if a in top and b in top:
+                bigrams[top.index(a), top.index(b)] += 1
+    end = classes
+    of = dict(zip(top, brown.exchange_classes(bigrams, classes).tolist(), strict=True)) if top else {}
+
+    def neighbours(t):
+        for left, w, right in zip([b"", *t], t, [*t[1:], b""], strict=False):
+            yield w, end if left == b"" else of.get(left), end if right == b"" else of.get(right)
+
+    def gains():
+        pairs = np.full((classes + 1, classes + 1), brown.ADDED_PAIRS)
+        for t in train:
+            for a, b in zip([b"", *t], [*t, b""], strict=True):
+                x, y = (end if w == b"" else of.get(w) for w in (a, b))
+                if x is not None and y is not None:
+                    pairs[x, y] += 1
+        return np.log(pairs / pairs.sum(0)), np.log(pairs / pairs.sum(1)[:, None]), pairs
+
+    def best(words, default):
+        into, onto, pairs = gains()
+        score = {w: np.zeros(classes) for w in words}
+        met = set()
+        for t in train:
+            for w, left, right in neighbours(t):
+                if w in score:
+                    for k in range(classes):
+                        score[w][k] += (into[left, k] if left is not None else 0) + (onto[k, right] if right is not None else 0)
+                    if left is not None or right is not None:
+                        met.add(w)
+        common = int(np.argmax(pairs.sum(0)[:classes]))
+        return {w: int(np.argmax(np.round(x, 6))) if w in met else default(w, common) for w, x in score.items()}
+
+    if top:
+        for _ in range(rounds):
+            of = best(ranked, lambda w, _: of.get(w, ranked.index(w) % classes))
+    of |= best([w for w in count if w not in of], lambda w, common: common)
+    n = np.zeros((classes + 1, classes + 1))
+    for t in train:
+        c = [end, *(of[w] for w in t), end]
+        for a, b in zip(c, c[1:], strict=False):
+            n[a, b] += 1
+    size, inside = n.sum(0), Counter(of.values())
+    inside[end] = 1
+    own = (size + 0.1) / (size.sum() + 0.1 * len(size))
+    room = [size[k] + 0.1 * (inside[k] + 1) for k in range(classes + 1)]
+    unknown = max(range(classes), key=lambda k: (round(math.log10(own[k] / room[k]), 9), -k))
+    out = {}
+    for d, t in docs:
+        last, total = end, 0.0
+        for w in [*split(t), b""]:
+            k = end if w == b"" else of.get(w, unknown)
+            c = len(train) if w == b"" else count[w]
+            total += math.log10((n[last, k] + 50 * own[k]) / (n[last].sum() + 50)) + math.log10((c + 0.1) / room[k])
+            last = k
+        out[d, t] = total
+    return out
+
+
+@pytest.mark.parametrize(("dictionary", "core", "classes"), [(1 << 18, 1024, 64), (9, 4, 3), (30, 8, 5), (0, 4, 3)])
+def test_class_lm_equals_a_plain_model(spark, docs, monkeypatch, dictionary, core, classes):
+    for name, value in (("DICTIONARY", dictionary), ("EXCHANGE_WORDS", core), ("CLASSES", classes), ("BLOCK_WORDS", 4), ("TOGETHER", 500)):
+        monkeypatch.setattr(brown, name, value)
+    r = random.Random(21)
+    more = spark.createDataFrame([(1000 + i, " ".join(f"w{int(r.expovariate(0.1))}" for _ in range(r.choice([1, 5, 40]))), None, None, 0, 7, "p", 1) for i in range(120)], DOCS)
+    docs = docs.unionByName(more)
+    want = plain_class_lm([(x.doc_id, x.text) for x in docs.collect()], dictionary, core, classes, brown.SHARED_ROUNDS)
+    found = sorted(((str(x.doc_id), x.n_tokens), x.score) for x in brown.score_texts(docs).collect())
+    for (key, score), (other, plain) in zip(found, sorted(((str(d), word_count(t) + 1), x) for (d, t), x in want.items() for _ in range(docs.where(docs.doc_id.eqNullSafe(d) & docs.text.eqNullSafe(t)).count() if d in (3, None) else 1)), strict=True):
+        assert key == other and math.isclose(score, plain, rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("dictionary", [1 << 18, 5])
 def test_class_lm(spark, docs, monkeypatch, dictionary):
     monkeypatch.setattr(brown, "DICTIONARY", dictionary)
