@@ -3,7 +3,8 @@
 Documents become token ids once. Document frequencies and lengths over all documents give the BM25 weights. Documents are
 dealt by their heaviest terms, so that lexical neighbours meet, and each partition is cut into shards with an inverted
 index of their own. A seed document opens a window; the index returns unused neighbours in the order of their BM25
-score, which greedily fill it; the last one is cut where the window ends and its rest stays in the index.
+score over all terms of the seed, which greedily fill it; the last one is cut where the window ends and its rest stays in the index.
+Neighbours in other shards are not returned. When none with a common term is left, the unused documents of the shard follow in their order.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from .tokens import TOKENIZER, IdEncoder, load
 
 WINDOW, END_ID = 1024, 0
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up, its heaviest; neighbours that are asked for at once.
-QUERY_TERMS, NEIGHBOURS = 24, 24
+#: Neighbours that are asked for at once; if none of them fits into a window whole, the nearest is cut.
+NEIGHBOURS = 24
 #: One shard of the index ends at so many documents or ids.
 SHARD_DOCS, SHARD_IDS = 2048, 1 << 21
-#: Documents of one heaviest term that a task sends to the same place; its next ones go to the next place.
-TOGETHER = 4
+#: Documents of one heaviest term that are dealt to the same place; a term that more documents have gets as many places as they ask for.
+PLACE_DOCS = 256
 
 
 def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -41,8 +42,8 @@ def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             ids = pa.array([encode(t.as_py() or "") + end for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), ids], ["doc_id", "row", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(kernel, "doc_id long, row long, ids binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(kernel, f"doc_id {docs.schema[id_col].dataType.simpleString()}, row long, ids binary")
 
 
 def id_width(tokenizer: str) -> int:
@@ -65,34 +66,41 @@ def _frequencies(width: int):
     return kernel
 
 
-def term_weights(rows: DataFrame, width: int) -> tuple[np.ndarray, float]:
-    """(idf of each id, average length) over all documents. The table is bounded by the vocabulary."""
+def term_weights(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(idf of each id, documents that hold it, average length) over all documents. The tables are bounded by the vocabulary."""
     found = rows.select("ids").mapInArrow(_frequencies(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     n = {r["id"]: r["n"] for r in found}
     docs = max(1, n.pop(-1, 0))
     mean = max(1.0, n.pop(-2, 0) / docs)
     df = np.zeros(max(n, default=0) + 1)
     df[list(n)] = list(n.values())
-    return np.log(1 + (docs - df + 0.5) / (df + 0.5)), mean
+    return np.log(1 + (docs - df + 0.5) / (df + 0.5)), df, mean
 
 
 class ShardIndex:
-    """The BM25 inverted index of one shard."""
+    """The BM25 inverted index of one shard, over the documents ``docs`` that are still unused."""
 
     def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray]):
-        self.n = len(terms)
-        owner = np.repeat(np.arange(self.n), [len(t) for t in terms])
+        self.docs = np.arange(len(terms))
+        owner = np.repeat(self.docs, [len(t) for t in terms])
         flat = np.concatenate(terms)
         order = np.argsort(flat, kind="stable")
         self.owner, self.weight = owner[order], np.concatenate(weights)[order]
-        self.known, self.start = np.unique(flat[order], return_index=True)
-        self.end = np.append(self.start[1:], len(flat))
+        self.known, start = np.unique(flat[order], return_index=True)
+        self.ends = np.append(start, len(flat))
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        """The sum of the weights of the ``query`` terms in each document."""
+        """For each of ``docs`` the sum of its weights of the ``query`` terms."""
         at = np.searchsorted(self.known, query)
-        parts = [slice(self.start[i], self.end[i]) for i in at]
-        return np.bincount(np.concatenate([self.owner[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
+        parts = [slice(a, z) for a, z in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate([self.owner[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), len(self.docs))
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Takes the postings of used documents out."""
+        here = unused[self.docs]
+        posted = here[self.owner]
+        self.ends = np.append(0, np.cumsum(posted))[self.ends]
+        self.owner, self.weight, self.docs = (np.cumsum(here) - 1)[self.owner[posted]], self.weight[posted], self.docs[here]
 
 
 def pack_shard(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -104,26 +112,29 @@ def pack_shard(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.nd
     start = lengths // window * window
     rest = lengths - start
     index = ShardIndex(terms, weights)
-    heavy = [t[np.argsort(-w, kind="stable")[:QUERY_TERMS]] for t, w in zip(terms, weights, strict=True)]
     unused = rest > 0
-    seed, last = 0, []
-    while True:
-        while seed < len(rest) and not unused[seed]:
-            seed += 1
-        if seed == len(rest):
-            break
+    index.keep(unused)
+    last: list[tuple[int, int, int]] = []
+    for seed in range(len(rest)):
+        if not unused[seed]:
+            continue
         pieces, room = [(seed, int(start[seed]), int(rest[seed]))], window - int(rest[seed])
         unused[seed] = False
-        score = index.scores(heavy[seed])
+        if 8 * np.count_nonzero(unused) < 7 * len(index.docs):
+            index.keep(unused)
+        score = index.scores(terms[seed])
         while room:
-            free = np.flatnonzero(unused)
-            if not len(free):
+            here = np.flatnonzero(unused[index.docs])
+            if not len(here):
                 break
-            near = score[free]
+            free, near = index.docs[here], score[here]
             if len(free) > NEIGHBOURS:
-                top = np.argpartition(-near, NEIGHBOURS)[:NEIGHBOURS]
+                top = np.argpartition(-near, NEIGHBOURS - 1)
+                top = np.flatnonzero(near >= near[top[NEIGHBOURS - 1]])  # all ties, of which the first documents count
                 free, near = free[top], near[top]
-            for d in free[np.lexsort((free, -near))]:
+            order = np.lexsort((free, -near))[:NEIGHBOURS]
+            free = free[order]
+            for d in free:
                 if rest[d] <= room:
                     pieces.append((int(d), int(start[d]), int(rest[d])))
                     room -= int(rest[d])
@@ -131,7 +142,7 @@ def pack_shard(lengths: np.ndarray, terms: list[np.ndarray], weights: list[np.nd
             if room and not unused[free].all():
                 continue
             if room:  # none of the nearest fits whole
-                d = free[np.lexsort((free, -near))][0]
+                d = free[0]
                 pieces.append((int(d), int(start[d]), room))
                 start[d], rest[d], room = start[d] + room, rest[d] - room, 0
         if room:
@@ -168,33 +179,32 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids on request).
 
     A null text is an empty document of the end id alone. Each id of a document lies in exactly one piece; long documents fill whole
-    windows first. Repeated rows and null ids are packed like others; an empty table gives no rows. Ids are written once to the shared
-    folder, and a group of copies, or of documents about one term, of any size is dealt over the partitions.
+    windows first. Repeated rows and null ids are packed like others; ids of documents keep their type; an empty table gives no rows. Token ids are written once to the shared
+    folder, and a group of copies, or of documents about one term, of any size is dealt over the partitions. Only the two named columns are read, so others may have any name.
     """
     width = id_width(tokenizer)
     rows = stored(encoded(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer))
-    idf, mean = term_weights(rows, width)
+    idf, df, mean = term_weights(rows, width)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((idf, mean))
+    # A term that one document has can't bring it together with another one.
+    shared = spark.sparkContext.broadcast((idf, np.where(df > 1, idf, 0.0), -(-df // PLACE_DOCS), mean))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = shared.value
-        seen: dict[int, int] = {}
+        _, common, places, mean = shared.value
         for batch in batches:
             first, second, place = [], [], []
-            for value in batch.column("ids"):
-                terms, weights = _weighted(np.frombuffer(value.as_py(), f"<u{width}"), idf, mean)
-                top = terms[np.argsort(-weights, kind="stable")[:2]]
-                one = int(top[0])
-                first.append(one)
-                second.append(int(top[-1]))
-                place.append(seen.get(one, 0) // TOGETHER)
-                seen[one] = seen.get(one, 0) + 1
+            for value, row in zip(batch.column("ids"), batch.column("row").to_pylist(), strict=True):
+                terms, weights = _weighted(np.frombuffer(value.as_py(), f"<u{width}"), common, mean)
+                one = int(np.argmax(weights))
+                first.append(int(terms[one]))
+                weights[one] = -1
+                second.append(int(terms[np.argmax(weights)]))
+                place.append((row * 0x9E3779B97F4A7C15 >> 20 & 0xFFFFFF) % int(places[first[-1]]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int32()) for c in (first, second, place))], [*batch.schema.names, "first", "second", "place"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = shared.value
+        idf, _, _, mean = shared.value
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         size = 0
@@ -212,10 +222,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
                         column.append(value)
                     offset += length
                 sequence += 1
-            kinds = [pa.int64()] * 7 + [pa.binary()]
+            kinds = [id_kind, *[pa.int64()] * 6, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: 7 + with_ids], names)
 
         for batch in batches:
+            id_kind = batch.schema.field("doc_id").type
             for doc_id, value in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
                 ids = np.frombuffer(value.as_py(), f"<u{width}")
                 held.append((doc_id.as_py(), ids))
@@ -227,5 +238,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             yield shard()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
-    dealt = rows.mapInArrow(keyed, "doc_id long, row long, ids binary, first int, second int, place int").repartition(n, "first", "place").sortWithinPartitions("first", "second", "row")
-    return dealt.select("doc_id", "ids").mapInArrow(packed, ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in names))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    dealt = rows.mapInArrow(keyed, f"doc_id {id_type}, row long, ids binary, first int, second int, place int").repartition(n, "first", "place").sortWithinPartitions("first", "second", "row")
+    kinds = {"doc_id": id_type, "ids": "binary"}
+    return dealt.select("doc_id", "ids").mapInArrow(packed, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in names))

@@ -129,6 +129,62 @@ def test_pack_prefers_lexical_neighbours():
     assert [[d for d, _, _ in s] for s in found] == [[0, 2], [1, 3]]
 
 
+def plain_windows(lengths, terms, weights, window):
+    """The first windows' documents by comparing each seed with every unused document over all terms."""
+    weight = [dict(zip(t.tolist(), w.tolist(), strict=True)) for t, w in zip(terms, weights, strict=True)]
+    rest, unused, out = [n % window for n in lengths], {d for d, n in enumerate(lengths) if n % window}, []
+    for seed in range(len(lengths)):
+        if seed not in unused:
+            continue
+        unused.discard(seed)
+        score = {d: sum(weight[d].get(t, 0.0) for t in weight[seed]) for d in unused}
+        room, taken = window - rest[seed], [seed]
+        while room and unused:
+            nearest = sorted(unused, key=lambda d: (-score[d], d))[: packing.NEIGHBOURS]
+            fitted = False
+            for d in nearest:
+                if rest[d] <= room:
+                    taken.append(d)
+                    room -= rest[d]
+                    unused.discard(d)
+                    fitted = True
+            if room and not fitted:
+                taken.append(nearest[0])
+                rest[nearest[0]] -= room
+                room = 0
+        if not room:
+            out.append(taken)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pack_returns_neighbours_in_the_order_of_their_score(seed):
+    r = np.random.default_rng(seed)
+    lengths = r.integers(1, 300, 260)
+    terms = [np.unique(r.integers(0, 60, r.integers(1, 40))) for _ in lengths]
+    weights = [r.integers(1, 9, len(t)).astype(float) for t in terms]
+    found = packing.pack_shard(lengths, terms, weights, 256)
+    whole = sum(n // 256 for n in lengths)
+    want = plain_windows(lengths.tolist(), terms, weights, 256)
+    assert [[d for d, _, _ in s] for s in found[whole : whole + len(want)]] == want
+
+
+def test_pack_brings_neighbours_together(spark):
+    """Documents about the same rare word lie in different partitions of the input and meet in one window."""
+    r = random.Random(15)
+    common = ["the", "of", "and", "to", "in", "is", "was", "for", "on", "with"]
+    topics = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(r.choice(common) if r.random() < 0.7 else topic for _ in range(60)) for topic in topics for _ in range(5)]
+    order = random.Random(16).sample(range(300), 300)
+    found = packing.pack(spark.createDataFrame([(f"d{i}", texts[i]) for i in order], "doc_id string, text string").repartition(5)).collect()
+    together = defaultdict(set)
+    for x in found:
+        together[x.sequence_id].add(int(x.doc_id[1:]) // 5)
+    # 5 documents a topic: dealt at random, most windows would hold one of each of theirs.
+    per_topic = Counter(t for topics in together.values() for t in topics)
+    assert sum(per_topic.values()) / len(per_topic) < 2.5
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
