@@ -37,12 +37,12 @@ def _few_splits(rows: DataFrame) -> bool:
     return rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism
 
 
-def extract_pages(pages: DataFrame, options: Options | None = None, *, html_col: str = "html", url_col: str | None = "url", id_col: str | None = None, keep: tuple[str, ...] = (), fields: tuple[str, ...] | None = None, detect=None, spread: bool = True, **named) -> DataFrame:
+def extract_pages(pages: DataFrame, options: Options | None = None, *, html_col: str = "html", url_col: str | None = "url", id_col: str | None = None, keep: tuple[str, ...] = (), fields: tuple[str, ...] | None = None, detect=None, spread: bool = True, date_col: str | None = None, **named) -> DataFrame:
     """The kept columns of ``pages`` with the fields of the record of each page.
 
     ``named`` are the keyword options (output_format, fast, favor_precision, include_links, ...). Pages often lie in few large files; with
     ``spread`` they are dealt over all cores first when there are fewer partitions than that. A page that can't be read has a status
-    instead of a text and ends nothing.
+    instead of a text and ends nothing; ``stage`` then tells what went wrong. ``date_col`` names the latest date that a page may have, such as that of its file.
     """
     options = options or Options.of(**named)
     fields = fields or tuple(f.name for f in DOCUMENT_SCHEMA)
@@ -50,7 +50,8 @@ def extract_pages(pages: DataFrame, options: Options | None = None, *, html_col:
     spark = pages.sparkSession
     html, url = F.col(html_col).alias("__html"), (F.col(url_col) if url_col else F.lit(None)).cast("string").alias("__url")
     ident = (F.col(id_col) if id_col else F.lit(None)).cast("string").alias("__id")
-    rows = pages.select(*keep, html, url, ident)
+    latest = (F.col(date_col) if date_col else F.lit(None)).cast("string").alias("__latest")
+    rows = pages.select(*keep, html, url, ident, latest)
     if spread and not pages.isStreaming and _few_splits(rows):
         rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
     schema = T.StructType([*(pages.schema[k] for k in keep), *(DOCUMENT_SCHEMA[f] for f in fields)])
@@ -64,7 +65,10 @@ def extract_pages(pages: DataFrame, options: Options | None = None, *, html_col:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                found = [extract(h.as_py(), options, url=u.as_py(), record_id=i.as_py(), detect=detect, need=fields) for h, u, i in zip(batch.column("__html"), batch.column("__url"), batch.column("__id"), strict=True)]
+                found = [
+                    extract(h, options if latest is None else options.but(date_params={**(options.date_params or {}), "latest": latest}), url=u, record_id=i, detect=detect, need=fields)
+                    for h, u, i, latest in zip(*(batch.column(c).to_pylist() for c in ("__html", "__url", "__id", "__latest")), strict=True)
+                ]
                 arrays = [batch.column(k) for k in keep]
                 for f in fields:
                     if f == "blocks" and need_blocks:
@@ -236,42 +240,70 @@ def similar_domains(one: Column | str, other: Column | str, least: float = 0.5)
     return function(one, other)
 
 
-def page_links(html: Column | str, url: Column | str, external: bool | None = None) -> Column:
-    """Distinct clean links of a page, in order."""
+def page_links(html: Column | str, url: Column | str, external: bool | None = None, language: str | None = None, detect=None, prune: tuple[str, ...] = ()) -> Column:
+    """Distinct clean links of a page, in order.
+
+    With a ``language``, links that tell another one are left out, and a page whose text ``detect`` takes to be in another one has none. What the
+    expressions in ``prune`` select is cut out first.
+    """
 
     @F.pandas_udf("array<string>")
     def function(pages: pd.Series, addresses: pd.Series) -> pd.Series:
+        from pagesieve.kernel.core import load, selected
         from pagesieve.kernel.discovery import page_links as f
+        from pagesieve.kernel.dom import without
+        from pagesieve.kernel.simple import baseline
+
+        def links(page: str | None, address: str | None) -> list[str]:
+            tree = load(page) if page else None
+            if tree is not None and language and detect is not None and detect(baseline(tree)[1]) not in (None, language):
+                return []
+            for expression in prune if tree is not None else ():
+                tree = without(tree, selected(tree, expression))
+            return f(tree, address, external=external, language=language)
 
-        return pd.Series([f(p, u, external=external) for p, u in zip(pages, addresses, strict=True)])
+        return pd.Series([links(p, u) for p, u in zip(pages, addresses, strict=True)])
 
     return function(html, url)
 
 
+def language_fits(html: Column | str, language: Column | str, strict: bool = False) -> Column:
+    """Whether what meta elements of a page (and with ``strict`` its html element) say of the language allows the given one; a page that says nothing allows any."""
+
+    @F.pandas_udf("boolean")
+    def function(pages: pd.Series, languages: pd.Series) -> pd.Series:
+        from pagesieve.kernel.core import load, page_language_fits
+
+        trees = [load(p) if p else None for p in pages]
+        return pd.Series([None if t is None or lang is None else page_language_fits(t, lang, strict) for t, lang in zip(trees, languages, strict=True)], dtype="object")
+
+    return function(html, language)
+
+
+NODES = "page_id long, node_id int, parent_id int, depth int, pos int, tag string, id_attr string, class_attr string, text_len int, link_len int, commas int"
+
+
 def dom_nodes(pages: DataFrame, *, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """Pages as a table of their elements: (id, node_id, parent_id, depth, pos, tag, id_attr, class_attr, text_len, link_len)."""
+    """Pages as a table of their elements in the order of the document.
+
+    ``pos`` is the place among the elements of the parent; ``text_len`` counts characters of the text with white space collapsed, ``link_len`` those in links
+    below, ``commas`` the commas. One walk over the tree gives all of them.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..kernel.core import load
-        from ..kernel.text import trim
+        from ..kernel.dom import measured
 
-        names = ["page_id", "node_id", "parent_id", "depth", "pos", "tag", "id_attr", "class_attr", "text_len", "link_len"]
+        kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.string()] * 3, *[pa.int32()] * 3]
+        names = [part.split()[0] for part in NODES.split(", ")]
         for batch in batches:
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 tree = load(html)
-                out: list[list] = [[] for _ in names]
-                number: dict[int, int] = {}
-                for n in tree.walk() if tree is not None else ():
-                    number[id(n)] = len(number)
-                    up = n.parent
-                    values = (page_id, number[id(n)], number.get(id(up), -1), sum(1 for _ in n.ancestors()), up.nodes.index(n) if up else 0, n.tag, n.attrs.get("id"), n.attrs.get("class"), len(trim(n.text())), sum(len(trim(a.text())) for a in n.below("a")))
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                found = [(page_id, *row) for row in measured(tree)] if tree is not None else []
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[]] * len(names), kinds, strict=True)], names)
 
-    return rows.mapInArrow(kernel, "page_id long, node_id int, parent_id int, depth int, pos int, tag string, id_attr string, class_attr string, text_len int, link_len int")
+    return rows.mapInArrow(kernel, NODES)
 
 
-__all__ = [n for n, f in list(globals().items()) if (callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_"))] + ["BLOCK", "DOCUMENT_SCHEMA"]
+__all__ = [n for n, f in list(globals().items()) if (callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_"))] + ["BLOCK", "DOCUMENT_SCHEMA", "NODES"]

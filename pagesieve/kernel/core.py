@@ -120,10 +120,8 @@ def extract(page: str | bytes | None, options: Options, *, url: str | None = Non
     """
     try:
         return _extract(page, options.but(url=url or options.url), record_id, detect, need)
-    except RecursionError:
-        return _rejected("error")
-    except Exception:  # noqa: BLE001 a page must not end the job; the status tells
-        return _rejected("error")
+    except Exception as e:  # noqa: BLE001 a page must not end the job; the status tells, and the stage tells why
+        return _rejected("error") | {"stage": f"{type(e).__name__}: {e}"[:200]}
 
 
 def _extract(page, options: Options, record_id: str | None, detect: Detector | None, need: Container[str] | None = None) -> dict:

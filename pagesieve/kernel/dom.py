@@ -317,3 +317,36 @@ def pretty(node: Node, depth: int = 0, void: frozenset | tuple = ()) -> str:
         return f"{pad}{to_xml(node, void)}\n"
     attrs = "".join(f' {k}="{escape(v, quote=True)}"' for k, v in node.attrs.items() if _NAME.fullmatch(k))
     return f"{pad}<{node.tag}{attrs}>\n" + "".join(pretty(k, depth + 1, void) for k in node.nodes) + f"{pad}</{node.tag}>\n"
+
+
+def _joined(one: tuple, other: tuple) -> tuple:
+    """Of two adjacent texts, each (length, blank at the start, blank at the end) with white space collapsed and trimmed, that of both."""
+    if not one[0] or not other[0]:
+        blank = (other if one[0] else one)[1]
+        kept = one if one[0] else other
+        return (kept[0], kept[1] or blank and not one[0], kept[2] or blank and not other[0]) if kept[0] else (0, one[1] or other[1], one[2] or other[2])
+    return one[0] + other[0] + (one[2] or other[1]), one[1], other[2]
+
+
+def measured(tree: Node) -> list[tuple]:
+    """(node_id, parent_id, depth, pos, tag, id, class, text_len, link_len, commas) of each element, from one walk in linear time."""
+    rows: list[list] = []
+
+    def visit(n: Node, parent: int, depth: int, pos: int) -> tuple:
+        own = len(rows)
+        rows.append([own, parent, depth, pos, n.tag, n.attrs.get("id"), n.attrs.get("class")])
+        text, links, commas, at = (0, False, False), 0, 0, 0
+        for k in n.kids:
+            if isinstance(k, str):
+                text = _joined(text, (len(" ".join(k.split())), k[:1].isspace(), k[-1:].isspace()))
+                commas += k.count(",")
+            else:
+                inner, linked, more = visit(k, own, depth + 1, at)
+                at += 1
+                text, commas = _joined(text, inner), commas + more
+                links += linked + (inner[0] if k.tag == "a" else 0)
+        rows[own] += [text[0], links, commas]
+        return text, links, commas
+
+    visit(tree, -1, 0, 0)
+    return [tuple(r) for r in rows]

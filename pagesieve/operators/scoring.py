@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 POSITIVE = r"(?i)article|body|content|entry|hentry|main|page|pagination|post|text|blog|story"
 NEGATIVE = (
     r"(?i)button|combx|comment|com-|contact|figure|foot|footer|footnote|form|input|masthead|media|meta|outbrain|promo|related|scroll|shoutbox"
@@ -22,11 +24,12 @@ def class_weight(*columns: str):
 
 
 def scored_candidates(nodes: DataFrame, min_text: int = 25) -> DataFrame:
-    """(page_id, node_id, score): what paragraphs give to their parents (whole) and grandparents (half), by length, less the share of links.
+    """(page_id, node_id, score): what paragraphs give to their parents (whole) and grandparents (half), by length and commas, less the share of links.
 
-    Commas are not in the table of elements, so the score counts length only: ``1 + min(length / 100, 3)`` for each paragraph.
+    ``nodes`` are read several times, so they are computed once and written first.
     """
-    p = nodes.where(F.col("tag").isin("p", "pre", "td") & (F.col("text_len") >= min_text)).select("page_id", F.col("parent_id").alias("up"), (1 + F.least(F.col("text_len") / 100, F.lit(3.0))).alias("gain"))
+    nodes = cut(nodes)
+    p = nodes.where(F.col("tag").isin("p", "pre", "td") & (F.col("text_len") >= min_text)).select("page_id", F.col("parent_id").alias("up"), (2 + F.col("commas") + F.least(F.col("text_len") / 100, F.lit(3.0))).alias("gain"))
     parents = nodes.select("page_id", F.col("node_id").alias("up"), F.col("parent_id").alias("upper"))
     half = p.join(parents, ["page_id", "up"]).where("upper >= 0").select("page_id", F.col("upper").alias("up"), (F.col("gain") / 2).alias("gain"))
     gains = p.where("up >= 0").unionByName(half).groupBy("page_id", "up").agg(F.sum("gain").alias("gain"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as PF
 from .. import operators as O
 from ..kernel.options import Options
+from ..streaming import session_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,32 +68,46 @@ def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- extraction ---------------------------------------------------------------------------------------------------------
 
-_BODY = f"""
-WITH {LINES.replace("FROM documents)", "FROM documents WHERE n_chars >= 250)")}, flagged AS (
-  SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM lines
-), body AS (
-  SELECT doc_id, string_agg(text, ' ' ORDER BY pos) AS body_text, bool_or(prev = text AND length(text) > 50) AS adjacent_repeat FROM flagged GROUP BY doc_id
-)
-SELECT p.page_id, b.body_text FROM pages p JOIN body b ON b.doc_id = CAST({DOC_OF_PAGE} AS BIGINT) WHERE NOT coalesce(b.adjacent_repeat, false)
-"""
+#: Pages hold a document each. What extraction must return is written from the document: its lines without those that repeat the line
+#: before them, below the heading of the page. ``k`` has the lines of each page, ``t`` what the page itself tells, ``b`` the lines
+#: without a first one that repeats the heading.
+_UNESCAPED = "trim(regexp_replace(replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_PARTS = "'^(.+)?\\s+[–•·—|⁄*⋆~‹«<›»>:-]\\s+(.+)$'"
+_OF_PAGES = f"""
+WITH {LINES}, flagged AS (
+  SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS prev, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nr FROM lines
+), k AS (
+  SELECT p.page_id, f.doc_id, f.pos, f.text, f.nr, regexp_extract_all(html, '<p>(<b>)?', 1)[f.nr] = '<b>' AS bold
+  FROM pages p JOIN flagged f ON f.doc_id = CAST({DOC_OF_PAGE} AS BIGINT) WHERE NOT coalesce(f.prev = f.text AND length(f.text) > 50, false)
+), h AS (
+  SELECT page_id, url, {_UNESCAPED.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS title, {_UNESCAPED.format("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS whole FROM pages
+), t AS (
+  SELECT page_id, url, title, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[0-9]*[.]', '') AS hostname,
+    CASE WHEN contains(regexp_extract(whole, {_PARTS}, 1), '.') THEN regexp_extract(whole, {_PARTS}, 1) WHEN contains(regexp_extract(whole, {_PARTS}, 2), '.') THEN regexp_extract(whole, {_PARTS}, 2)
+      ELSE regexp_extract(url, '^https?://(?:www[.]|w[0-9]+[.])?([^/]+)', 1) END AS sitename FROM h
+), b AS (
+  SELECT k.* FROM k JOIN t USING (page_id) WHERE NOT (nr = 1 AND text = title AND length(text) > 50)
+)"""
+_BODY = f"{_OF_PAGES} SELECT page_id, string_agg(text, ' ' ORDER BY pos) AS body_text FROM k GROUP BY page_id"
+#: However short a text is, it is taken as it is found.
+ANY_SIZE = {"min_extracted_size": 0, "min_output_size": 0}
 
 
 def _body(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
-    found = PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id", "url"), fields=("body_text",))
-    docs = table(spark, sf_dir, "documents").where("n_chars >= 250").select("doc_id")
-    repeats = O.adjacent_repeats(lines(spark, sf_dir).drop("lang", "source")).where("is_adjacent_repeat").select("doc_id").distinct()
-    own = found.withColumn("doc_id", page_doc_id())
-    return own.join(docs, "doc_id", "left_semi").join(repeats, "doc_id", "left_anti").select("page_id", "body_text")
+    return PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id",), fields=("body_text",)).select("page_id", "body_text")
 
 
 @query(_BODY)
 def main_text_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _body(spark, sf_dir, Options.of(fast=True, include_comments=False))
+    return _body(spark, sf_dir, Options.of(fast=True, include_comments=False, **ANY_SIZE))
 
 
-@query(_BODY)
+@query(f"SELECT b.page_id, CASE WHEN d.n_chars >= 100 THEN body_text END AS body_text FROM ({_BODY}) b JOIN pages p USING (page_id) JOIN documents d ON d.doc_id = CAST({DOC_OF_PAGE.replace('url', 'p.url')} AS BIGINT)")
 def main_text_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _body(spark, sf_dir, Options.of())
+    """Texts of under 100 characters are left to :func:`all_main_text_default`: beside those, what other extractors find on the page may win."""
+    found = PF.extract_pages(pages(spark, sf_dir), Options.of(**ANY_SIZE), keep=("page_id", "url"), fields=("body_text",))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return found.withColumn("doc_id", page_doc_id()).join(docs, "doc_id").select("page_id", F.when(F.col("n_chars") >= 100, F.col("body_text")).alias("body_text"))
 
 
 @query(_BODY)
@@ -102,32 +117,48 @@ def main_text_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BODY)
 def main_text_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _body(spark, sf_dir, Options.of(fast=True, favor_recall=True, include_comments=False))
+    return _body(spark, sf_dir, Options.of(fast=True, favor_recall=True, include_comments=False, **ANY_SIZE))
 
 
-def _body_of_all(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
-    """As the queries above, for every page: also those of short documents and of documents with repeated lines, which their SQL leaves out."""
-    return PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id",), fields=("body_text",)).select("page_id", "body_text")
+# With the usual thresholds, texts under 250 characters send extraction to look elsewhere on the page, which SQL can't express.
 
 
 @query()
 def all_main_text_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _body_of_all(spark, sf_dir, Options.of(fast=True, include_comments=False))
+    return _body(spark, sf_dir, Options.of(fast=True, include_comments=False))
 
 
 @query()
 def all_main_text_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _body_of_all(spark, sf_dir, Options.of())
+    return _body(spark, sf_dir, Options.of())
 
 
-@query()
+@query(_BODY)
 def all_main_text_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _body_of_all(spark, sf_dir, Options.of(fast=True, favor_precision=True, include_comments=False))
+    return _body(spark, sf_dir, Options.of(fast=True, favor_precision=True, include_comments=False))
 
 
 @query()
 def all_main_text_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _body_of_all(spark, sf_dir, Options.of(fast=True, favor_recall=True, include_comments=False))
+    return _body(spark, sf_dir, Options.of(fast=True, favor_recall=True, include_comments=False))
+
+
+def _built_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, html): a page of each document, with its longest line once more in a teaser and in a bordered box, which modes treat differently."""
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    own = lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("<p>"), escaped, F.lit("</p>")).alias("p")))), lambda x: x["p"]), "").alias("body"))
+    parts = ["<html><body><article>", F.col("body"), "<div class='teaser'><p>In short, teaser ", F.col("doc_id"), ".</p></div><div class='bottom'><p>In a box, box ", F.col("doc_id"), ".</p></div></article></body></html>"]
+    return own.select("doc_id", F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]).alias("html"))
+
+
+@query("SELECT doc_id, false AS precision_teaser, false AS precision_box, false AS default_teaser, true AS default_box, true AS recall_teaser, true AS recall_box FROM documents WHERE trim(text) <> ''")
+def modes_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of two doubtful elements each mode keeps."""
+    out = _built_pages(spark, sf_dir)
+    for mode, options in (("precision", {"favor_precision": True}), ("default", {}), ("recall", {"favor_recall": True})):
+        found = PF.extract_pages(out, Options.of(fast=True, include_comments=False, **options, **ANY_SIZE), url_col=None, keep=tuple(out.columns), fields=("body_text",))
+        out = found.select(*out.columns, F.contains("body_text", F.lit("teaser")).alias(f"{mode}_teaser"), F.contains("body_text", F.lit("In a box")).alias(f"{mode}_box"))
+    return out.drop("html")
 
 
 @query(
@@ -140,10 +171,10 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", PF.page_metadata("html", "url")["title"].alias("title"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, length(html)::BIGINT AS n_chars FROM pages WHERE html LIKE '%<html lang=%'")
+@query("SELECT page_id, lang, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) IN ('', lang) AS fits FROM pages, (VALUES ('en'), ('de'), ('fr'), ('es')) l(lang)")
 def page_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
-    return pages(spark, sf_dir).where(F.contains("html", F.lit("<html lang="))).select("page_id", lang.alias("lang"), F.length("html").cast("long").alias("n_chars"))
+    """Whether each page may be in each of four languages, by what it says of itself."""
+    return pages(spark, sf_dir).select("page_id", "html", F.explode(F.array(*map(F.lit, ("en", "de", "fr", "es")))).alias("lang")).select("page_id", "lang", PF.language_fits("html", "lang", strict=True).alias("fits"))
 
 
 @query(
@@ -156,9 +187,17 @@ def link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.element_link_stats(PF.dom_nodes(pages(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""{_OF_PAGES}, r AS (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY page_id, pos) AS occurrence FROM b
+), s AS (
+  SELECT page_id, string_agg(text, chr(10) ORDER BY pos) FILTER (NOT (length(text) > 100 AND occurrence > 3)) AS kept, count(*) FILTER (length(text) > 100 AND occurrence > 3) AS repeats FROM r GROUP BY page_id
+)
+SELECT page_id, t.title || coalesce(chr(10) || kept, '') AS text, coalesce(repeats, 0)::INTEGER AS repeats FROM t LEFT JOIN s USING (page_id)"""
+)
 def pages_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.extract_deduplicated(pages(spark, sf_dir), Options.of(fast=True, include_comments=False), key="page_id")
+    found = O.extract_deduplicated(pages(spark, sf_dir), Options.of(fast=True, include_comments=False, **ANY_SIZE), key="page_id")
+    return found.select("page_id", "text", "repeats")
 
 
 @query()
@@ -167,26 +206,99 @@ def readability_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("page_id", "node_id", "tag", F.round("score", 4).alias("score"))
 
 
-@query()
+_XML = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_NL = "chr(10)"
+_MARKED = f"""{_OF_PAGES}, m AS (
+  SELECT page_id, '# ' || any_value(title) || {_NL} || {_NL} || string_agg(CASE WHEN bold THEN '**' || text || '**' ELSE text END, {_NL} || {_NL} ORDER BY pos) AS marked FROM b JOIN t USING (page_id) GROUP BY page_id
+)"""
+_HEADED = f"""{_MARKED}
+SELECT page_id, 'ok' AS status, '---' || {_NL} || 'title: ' || title || {_NL} || 'url: ' || url || {_NL} || 'hostname: ' || hostname || {_NL} || 'sitename: ' || sitename || {_NL} || '---' || {_NL} || marked AS output FROM m JOIN t USING (page_id)"""
+
+
+def _formatted(spark: SparkSession, sf_dir: str, output: str) -> DataFrame:
+    options = Options.of(output_format=output, with_metadata=True, include_formatting=True, fast=True, include_comments=False, **ANY_SIZE)
+    return PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id",), fields=("status", "output"))
+
+
+@query(_HEADED)
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = Options.of(output_format="markdown", include_links=True, include_images=True, with_metadata=True)
-    return PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id",), fields=("status", "stage", "output"))
+    options = Options.of(output_format="markdown", include_links=True, include_images=True, with_metadata=True, fast=True, **ANY_SIZE)
+    return PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id",), fields=("status", "output"))
 
 
-def _as(output: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        options = Options.of(output_format=output, with_metadata=True, include_formatting=True, fast=True)
-        return PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id",), fields=("status", "output"))
+@query(_HEADED)
+def page_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formatted(spark, sf_dir, "txt")
 
-    run.__name__ = f"page_{output}"
-    return run
+
+@query(
+    f"""{_MARKED}
+SELECT page_id, 'ok' AS status, url, hostname, CASE WHEN contains(title, '"') THEN '"' || replace(title, '"', '""') || '"' ELSE title END AS title, '"' || replace(marked, '"', '""') || '"' AS text, 11 AS fields FROM m JOIN t USING (page_id)"""
+)
+def page_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the line of each page; the fingerprint, the third one, is left out."""
+    found = _formatted(spark, sf_dir, "csv").withColumn("f", F.split("output", "\t"))
+    return found.select("page_id", "status", *[F.get("f", F.lit(i)).alias(n) for i, n in ((0, "url"), (3, "hostname"), (4, "title"), (7, "text"))], F.size("f").alias("fields"))
 
 
-for _output in ("txt", "csv", "json", "html", "xml", "xmltei"):
-    query()(_as(_output))
+@query(
+    f"""{_OF_PAGES}
+SELECT page_id, 'ok' AS status, any_value(title) AS title, any_value(url) AS source, any_value(hostname) AS hostname, any_value(sitename) AS site, 
+  any_value(title) || ' ' || (SELECT string_agg(l.text, ' ' ORDER BY l.pos) FROM lines l WHERE l.doc_id = any_value(b.doc_id)) AS raw_text,
+  any_value(title) || {_NL} || string_agg(text, {_NL} ORDER BY pos) AS text FROM b JOIN t USING (page_id) GROUP BY page_id"""
+)
+def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the record of each page; the fingerprint is left out."""
+    found = _formatted(spark, sf_dir, "json").withColumn("f", F.from_json("output", "title string, source string, hostname string, `source-hostname` string, raw_text string, text string"))
+    return found.select("page_id", "status", "f.title", "f.source", "f.hostname", F.col("f.source-hostname").alias("site"), "f.raw_text", "f.text")
 
 
-@query()
+def _paragraphs(indent: int, mark: str, end: str, lb: str) -> str:
+    """SQL for the paragraphs of a page as elements, those in bold marked."""
+    pad, text = f"{_NL} || '{' ' * indent}'", _XML.format("text")
+    first = f"{pad} || '<p>' || {pad} || '  {mark}' || {text} || '{lb}{end}' || {pad} || '</p>'"
+    return f"string_agg(CASE WHEN bold THEN {first} ELSE {pad} || '<p>' || {text} || '</p>' END, '' ORDER BY pos)"
+
+
+_ATTRIBUTE = "replace({}, '\"', '&quot;')".format(_XML)
+
+
+@query(
+    f"""{_OF_PAGES}
+SELECT page_id, 'ok' AS status, '<html>' || {_NL} || '  <head>' || {_NL} || '    <meta name="sitename" content="' || any_value(sitename) || '"/>' || {_NL} || '    <meta name="title" content="' || any_value({_ATTRIBUTE.format("title")}) || '"/>' || {_NL}
+  || '    <meta name="url" content="' || any_value({_ATTRIBUTE.format("url")}) || '"/>' || {_NL} || '    <meta name="hostname" content="' || any_value(hostname) || '"/>' || {_NL} || '  </head>' || {_NL} || '  <body>' || {_NL}
+  || '    <h1>' || any_value({_XML.format("title")}) || '</h1>' || {_paragraphs(4, "<strong>", "</strong>", "<br/>")} || {_NL} || '  </body>' || {_NL} || '</html>' AS output FROM b JOIN t USING (page_id) GROUP BY page_id"""
+)
+def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page as HTML, without the line of its fingerprint."""
+    return _formatted(spark, sf_dir, "html").withColumn("output", F.regexp_replace("output", '\\n *<meta name="fingerprint"[^>]*>', ""))
+
+
+@query(
+    f"""{_OF_PAGES}
+SELECT page_id, 'ok' AS status, '<doc sitename="' || any_value(sitename) || '" title="' || any_value({_ATTRIBUTE.format("title")}) || '" url="' || any_value({_ATTRIBUTE.format("url")}) || '" hostname="' || any_value(hostname) || '">' || {_NL} || '  <main>' || {_NL}
+  || '    <head rend="h1">' || any_value({_XML.format("title")}) || '</head>' || {_paragraphs(4, '<hi rend="#b">', "</hi>", "<lb/>")} || {_NL} || '  </main>' || {_NL} || '  <comments/>' || {_NL} || '</doc>' AS output FROM b JOIN t USING (page_id) GROUP BY page_id"""
+)
+def page_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page as XML, without its fingerprint."""
+    return _formatted(spark, sf_dir, "xml").withColumn("output", F.regexp_replace("output", ' fingerprint="[0-9a-f]*"', ""))
+
+
+@query(
+    f"""{_OF_PAGES}
+SELECT page_id, 'ok' AS status, any_value({_XML.format("title")}) AS title, any_value({_XML.format("title")}) || ', ' || any_value(sitename) AS bibl, any_value(sitename) || ' (' || any_value(hostname) || ')' AS publisher, any_value({_ATTRIBUTE.format("url")}) AS target,
+  {_NL} || '        <ab rend="h1" type="header">' || any_value({_XML.format("title")}) || '</ab>' || {_paragraphs(8, '<hi rend="#b">', "</hi>", "<lb/>")} || {_NL} || '      ' AS entry FROM b JOIN t USING (page_id) GROUP BY page_id"""
+)
+def page_xmltei(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the TEI of each page says in its header, and the division of the text."""
+    part = lambda pattern: F.regexp_extract("output", pattern, 1)
+    return _formatted(spark, sf_dir, "xmltei").select(
+        "page_id", "status", part('<title type="main">(.*?)</title>').alias("title"), part("<bibl>(.*?)</bibl>").alias("bibl"), part("<publisher>(.*?)</publisher>").alias("publisher"), part('<ptr type="URL" target="(.*?)"/>').alias("target"),
+        part('(?s)<div type="entry">(.*?)</div>').alias("entry"),
+    )
+
+
+@query(f"{_OF_PAGES} SELECT page_id, title, NULL::VARCHAR AS author, url, hostname, sitename, NULL::VARCHAR AS date, NULL::VARCHAR AS license, '' AS categories, '' AS tags FROM t")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = pages(spark, sf_dir).select("page_id", PF.page_metadata("html", "url").alias("m"))
     return m.select("page_id", "m.title", "m.author", "m.url", "m.hostname", "m.sitename", "m.date", "m.license", F.array_join("m.categories", ";").alias("categories"), F.array_join("m.tags", ";").alias("tags"))
@@ -197,7 +309,14 @@ def baseline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", PF.baseline_text("html").alias("text"))
 
 
-@query()
+@query(
+    rf"""
+WITH b AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<head>.*?</head>|<script>.*?</script>|<style>.*?</style>|<footer>.*?</footer>', '', 'gs'), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS raw FROM pages
+)
+SELECT page_id, {_UNESCAPED.format("raw")} AS text FROM b
+"""
+)
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", PF.html_to_text("html").alias("text"))
 
@@ -213,9 +332,9 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", PF.text_fingerprint("text").alias("fingerprint"), PF.content_file_name("text").alias("file_name"))
 
 
-@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def unicode_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", PF.normalized_unicode("text").alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", PF.normalized_unicode("text").alias("text"))
 
 
 # ---- blocks and documents -------------------------------------------------------------------------------------------------
@@ -295,38 +414,50 @@ def token_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(PF.sample_tokens("text"), " ").alias("tokens"))
 
 
+#: Lines such as pages have beside their text, and some that only look like them.
+_SNIPPETS = ("Facebook", " E-Mail ", "Mehr zum Thema:", "More on this topic", "Print this", "twitter!", "WhatsApp", "Google", "the Reddit", "PDF", "Drucken", "mail it")
+
+
 @query(
-    r"""
-SELECT conv_id, turn FROM conversations
-WHERE text IS NULL OR trim(text) = '' OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)^[^\p{L}\p{N}_]*(drucken|e-?mail|facebook|flipboard|google|instagram|linkedin|mail|pdf|pinterest|pocket|print|qq|reddit|twitter|wechat|weibo|whatsapp|xing|mehr zum thema:?|more on this.{0,8})$'))) > 0
+    rf"""
+WITH l AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || chr(10) ELSE '' END || ([{", ".join(f"'{x}'" for x in _SNIPPETS)}])[(doc_id % {len(_SNIPPETS)} + 1)::INTEGER] AS line FROM documents)
+SELECT doc_id, line, len(list_filter(string_split(line, chr(10)), lambda x: regexp_matches(x, '(?i)^[^\p{{L}}\p{{N}}_]*(drucken|e-?mail|facebook|flipboard|google|instagram|linkedin|mail|pdf|pinterest|pocket|print|qq|reddit|twitter|wechat|weibo|whatsapp|xing|mehr zum thema:?|more on this.{{0,8}})$'))) > 0 AS noise FROM l WHERE line IS NOT NULL
 """
 )
-def noise_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(PF.is_noise_line("text")).select("conv_id", "turn")
+def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of some snippets, dealt to the documents, are noise."""
+    snippet = F.element_at(F.array(*map(F.lit, _SNIPPETS)), (F.col("doc_id") % len(_SNIPPETS) + 1).cast("int"))
+    line = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit("\n"))).otherwise(F.lit("")), snippet)
+    return table(spark, sf_dir, "documents").select("doc_id", line.alias("line")).where("line IS NOT NULL").withColumn("noise", PF.is_noise_line("line"))
 
 
 @query(
-    """
-WITH d AS (SELECT p.page_id, d.text, d.n_chars FROM pages p JOIN documents d ON d.doc_id = CAST(regexp_extract(p.url, '/[a-z]{2}/([0-9]+)', 1) AS BIGINT) WHERE d.n_chars >= 250)
-SELECT count(*) AS tp, 0::BIGINT AS fn, 0::BIGINT AS fp, count(*) AS tn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f_score FROM d
+    f"""{_OF_PAGES}, e AS (
+  SELECT page_id, CAST({DOC_OF_PAGE} AS BIGINT) % 3 = 0 AS lost, CAST({DOC_OF_PAGE} AS BIGINT) % 4 = 0 AS kept FROM pages
+), c AS (SELECT count(*)::BIGINT AS n, count(*) FILTER (lost)::BIGINT AS fn, count(*) FILTER (kept)::BIGINT AS fp FROM e)
+SELECT 2 * n - fn AS tp, fn, fp, 2 * n - fp AS tn, (2 * n - fn)::DOUBLE / (2 * n - fn + fp) AS precision, (2 * n - fn)::DOUBLE / (2 * n) AS recall, (4 * n - fn - fp)::DOUBLE / (4 * n) AS accuracy, 2 * precision * recall / (precision + recall) AS f_score FROM c
 """
 )
 def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir, table(spark, sf_dir, "documents").where("n_chars >= 250"))
+    """Confusion against gold segments that are known to be found or not: of documents whose id 3 divides one wanted segment is
+    nowhere, and of those whose id 4 divides an unwanted one is in the text."""
+    return _quality(spark, sf_dir, Options.of(fast=True, include_comments=False, **ANY_SIZE))
 
 
 @query()
 def all_extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quality(spark, sf_dir, table(spark, sf_dir, "documents"))
+    return _quality(spark, sf_dir, Options.of(fast=True, include_comments=False))
 
 
-def _quality(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
-    """Confusion of extraction against the documents behind the pages: the last line must be found, the footer's sign must not."""
-    docs = documents.select("doc_id", F.element_at(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), -1).alias("last"))
+def _quality(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
+    filled = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.element_at(filled, 1).alias("first"), F.element_at(filled, -1).alias("last"))
     own = pages(spark, sf_dir).select("page_id", page_doc_id().alias("doc_id")).join(docs, "doc_id")
-    gold = own.select("page_id", F.array("last").alias("with"), F.array(F.lit("© th ")).alias("without"))
-    found = PF.extract_pages(pages(spark, sf_dir), Options.of(fast=True, include_comments=False), keep=("page_id",), fields=("text",))
-    return O.confusion(O.segment_hits(found, gold, key="page_id"))
+    divides = lambda k: F.col("doc_id") % k == 0
+    wanted = F.array(F.when(divides(3), F.lit("# nowhere #")).otherwise(F.col("first")), "last")
+    unwanted = F.array(F.lit("© th "), F.when(divides(4), F.col("last")).otherwise(F.lit("# nowhere #")))
+    found = PF.extract_pages(pages(spark, sf_dir), options, keep=("page_id",), fields=("text",))
+    return O.confusion(O.segment_hits(found, own.select("page_id", wanted.alias("with"), unwanted.alias("without")), key="page_id"))
 
 
 # ---- addresses ----------------------------------------------------------------------------------------------------------
@@ -342,7 +473,10 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", PF.base_url("url").alias("base"), PF.host("url").alias("host"), PF.domain("url").alias("domain"), PF.stripped_url("url").alias("stripped"), PF.crawl_reference("url").alias("reference"))
 
 
-@query()
+_CLEANED = r"regexp_replace(regexp_replace(regexp_replace({}, '([?&])(utm_[a-z]+|ref)=[^&#]*', '\1', 'g'), '([?&])&+', '\1', 'g'), '[?&]+(#|$)', '\1')"
+
+
+@query(f"SELECT page_id, {_CLEANED.format('url')} AS url FROM pages")
 def url_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", PF.clean_url("url").alias("url"))
 
@@ -400,6 +534,7 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda before, after: F.array_join(F.transform("u", lambda x: F.concat(F.lit(before), x, F.lit(after))), "\n")
     return own.select(
         "host",
+        "u",
         F.concat(F.lit('<?xml version="1.0"?><urlset>'), joined("<url><loc>", "</loc></url>"), F.lit("</urlset>")).alias("sitemap"),
         F.concat(F.lit("<rss><channel>"), joined("<item><link>", "</link></item>"), F.lit("</channel></rss>")).alias("rss"),
         F.concat(F.lit("<feed>"), joined('<entry><link rel="alternate" href="', '"/></entry>'), F.lit("</feed>")).alias("atom"),
@@ -419,24 +554,83 @@ def listed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("host", F.explode("k").alias("k")).select("host", F.explode("k.u").alias("url"), "k.kind")
 
 
+_HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
+
+
 @query(
-    """
-WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages)
-SELECT host, true AS sitemap_ok, true AS rss_is_feed, true AS atom_is_feed, false AS robots_is_feed, false AS page_is_sitemap FROM h
+    f"""
+WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages), k AS (SELECT host, length(host) % 5 AS kind FROM h)
+SELECT host, kind IN (0, 4) AS is_sitemap, kind IN (0, 1, 2) AS is_feed FROM k
 """
 )
 def listing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _listings(spark, sf_dir)
-    return found.select("host", PF.is_sitemap(F.lit("http://x.org/sitemap.xml"), "sitemap").alias("sitemap_ok"), PF.is_feed("rss").alias("rss_is_feed"), PF.is_feed("atom").alias("atom_is_feed"), PF.is_feed("robots").alias("robots_is_feed"), PF.is_sitemap(F.lit("http://x.org/sitemap.xml"), F.lit("<html>")).alias("page_is_sitemap"))
+    """What kind of listing each host has, by its looks: a sitemap, one of two feeds, a robots file, or a sitemap with a byte order mark."""
+    text = F.element_at(F.array("sitemap", "rss", "atom", "robots", F.concat(F.lit("\ufeff"), "sitemap")), F.length("host") % 5 + 1)
+    return _listings(spark, sf_dir).select("host", text.alias("text")).select("host", PF.is_sitemap(F.lit("http://x.org/sitemap.xml"), "text").alias("is_sitemap"), PF.is_feed("text").alias("is_feed"))
 
 
-@query()
+@query(f"WITH h AS (SELECT DISTINCT {_HOST} AS host, {_CLEANED.format('url')} AS link FROM pages) SELECT 'http://' || host || '/feed' AS url, link FROM h")
 def feed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     feeds = _listings(spark, sf_dir).select(F.concat(F.lit("http://"), "host", F.lit("/feed")).alias("url"), F.col("rss").alias("html"))
     return O.discover_feeds(feeds)
 
 
-@query()
+def _canned(spark: SparkSession, sf_dir: str, *parts: tuple[str, Column, Column]) -> DataFrame:
+    """(url, html): for each host the files at some paths, where a condition on the host holds."""
+    own = _listings(spark, sf_dir)
+    found = [own.where(condition).select(F.concat(F.lit("http://"), "host", F.lit(path)).alias("url"), text.alias("html")) for path, condition, text in parts]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return O.cut(out)
+
+
+def _odd() -> Column:
+    return F.length("host") % 2 == 1
+
+
+@query(f"WITH h AS (SELECT DISTINCT {_HOST} AS host, {_CLEANED.format('url')} AS link FROM pages) SELECT 'http://' || host || CASE WHEN length(host) % 2 = 1 THEN '/gone/page' ELSE '/' END AS url, link FROM h")
+def feed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the feeds that homepages name. Half of the addresses lead nowhere, and their site's homepage is asked instead."""
+    page = F.lit('<html><head><link rel="alternate" type="application/rss+xml" href="/all.rss"><link rel="alternate" type="application/rss+xml" href="/comments/feed"></head><body><p>Home</p></body></html>')
+    web = _canned(spark, sf_dir, ("/", F.lit(True), page), ("", F.lit(True), page), ("/all.rss", F.lit(True), F.col("rss")), ("/comments/feed", F.lit(True), F.lit("<rss><link>http://never.example.org/asked</link></rss>")))
+    start = _listings(spark, sf_dir).select(F.concat(F.lit("http://"), "host", F.when(_odd(), F.lit("/gone/page")).otherwise(F.lit("/"))).alias("url"))
+    return O.find_feeds(start, lambda todo: web.join(todo, "url", "left_semi"))
+
+
+@query(f"WITH h AS (SELECT DISTINCT {_HOST} AS host, {_CLEANED.format('url')} AS link FROM pages) SELECT 'http://' || host || '/' AS url, link FROM h")
+def sitemap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the sitemaps of each host: half of the robots files name an index that names the sitemap, the others are found at a usual place."""
+    named = F.concat(F.lit("User-agent: *\nSitemap: http://"), "host", F.lit("/maps/index.xml # here\n"))
+    index = F.concat(F.lit('<?xml version="1.0"?><sitemapindex><sitemap><loc>http://'), "host", F.lit("/maps/1.xml</loc></sitemap><sitemap><loc>http://"), "host", F.lit("/maps/index.xml</loc></sitemap></sitemapindex>"))
+    web = _canned(spark, sf_dir, ("/robots.txt", _odd(), named), ("/maps/index.xml", _odd(), index), ("/maps/1.xml", _odd(), F.col("sitemap")), ("/sitemap_news.xml", ~_odd(), F.col("sitemap")))
+    start = _listings(spark, sf_dir).select(F.concat(F.lit("http://"), "host", F.lit("/")).alias("url"))
+    return O.find_sitemap_links(start, lambda todo: web.join(todo, "url", "left_semi"))
+
+
+@query(
+    f"""
+WITH h AS (SELECT DISTINCT {_HOST} AS host, regexp_replace({_CLEANED.format('url')}, '^https:', 'http:') AS link FROM pages), l AS (SELECT host, link, regexp_extract(link, '^http://[^/]+(.*)$', 1) AS path FROM h)
+SELECT 'http://' || host AS base, link AS url, false AS visited, 1 AS depth FROM l WHERE NOT starts_with(path, '/de/') AND (NOT starts_with(path, '/fr/') OR starts_with(path, '/fr/1')) AND NOT starts_with(path, '/fr/13')
+UNION ALL SELECT DISTINCT 'http://' || host, 'http://' || host || '/', true, 0 FROM h
+"""
+)
+def robots_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frontier of a crawl of each host after one round: its homepage links to all its pages, and the robots file shuts some out, the first rule that fits."""
+    rules = F.lit("User-agent: *\nDisallow: /de/\nDisallow: /fr/13\nAllow: /fr/1\nDisallow: /fr/\n")
+    home = F.concat(F.lit("<html><body>"), F.array_join(F.transform("u", lambda x: F.concat(F.lit('<a href="'), F.regexp_replace(x, "^https:", "http:"), F.lit('">x</a>'))), ""), F.lit("</body></html>"))
+    web = _canned(spark, sf_dir, ("/robots.txt", F.lit(True), rules), ("/", F.lit(True), home))
+    frontier = O.crawl(web.where(F.endswith("url", F.lit("/"))).select("url"), lambda todo: web.join(todo, "url", "left_semi"), max_rounds=1, ask_robots=True)
+    return frontier.select("base", "url", "visited", "depth")
+
+
+@query(
+    rf"""
+WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS n FROM pages),
+b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS link, min(n) AS n FROM a GROUP BY 1, 2)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INTEGER AS pos, link FROM b
+"""
+)
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", F.posexplode(PF.page_links("html", "url")).alias("pos", "link"))
 
@@ -457,12 +651,11 @@ SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g')))::INTEGER AS n
   length(CASE WHEN length(text) > 10000 THEN substr(text, 1, 9999) || '…' ELSE text END)::INTEGER AS n_clipped, replace(replace(text, '|', '\|'), chr(10), ' ') AS cell, NOT contains(lower(substr(text, 1, 50)), 'html') AS dubious,
   CASE WHEN source = 'src1' THEN 'a; c' ELSE 'a; ' || source || '; c' END AS authors, source || ' (' || lang || ')' AS publisher, repeat('#', CASE WHEN doc_id % 8 BETWEEN 1 AND 6 THEN doc_id % 8 ELSE 2 END) AS marks,
   least(doc_id + 1, 100)::INTEGER AS span, CASE WHEN doc_id = 0 THEN 0 WHEN doc_id > 990 THEN 126 ELSE 1 END AS code_of_1000
-FROM documents WHERE text IS NOT NULL AND source IS NOT NULL
+FROM documents
 """
 )
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL")
-    return d.select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.length(PF.trimmed("text")).alias("n_trimmed"),
         PF.looks_like_code("text").alias("code"),
@@ -479,14 +672,27 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.vec_id, b.vec_id))::INTEGER AS distance, ((64 - bit_count(xor(a.vec_id, b.vec_id))) / 64.0)::DOUBLE AS similarity
-FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 37
+WITH h AS (SELECT doc_id, lang, substr(md5(coalesce(text, '')), 1, 16) AS h FROM documents), v AS (SELECT *, CAST('0x' || h AS UBIGINT) AS bits FROM h)
+SELECT a.doc_id AS a, b.doc_id AS b, a.h AS fingerprint, bit_count(xor(a.bits, b.bits))::INTEGER AS distance, ((64 - bit_count(xor(a.bits, b.bits))) / 64.0)::DOUBLE AS similarity FROM v a JOIN v b ON b.doc_id = a.doc_id + 1
 """
 )
 def hash_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id")
-    pairs = v.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 37).alias("b")).join(v.select(F.col("vec_id").alias("b")), "b")
-    return pairs.select("a", "b", PF.hamming_distance("a", "b").alias("distance"), PF.hash_similarity(PF.hash_from_hex(PF.hash_to_hex("a")), "b").alias("similarity"))
+    """Distances of 64-bit fingerprints, given in hexadecimal, of documents that follow each other."""
+    v = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 16).alias("h")).withColumn("bits", PF.hash_from_hex("h"))
+    pairs = v.select(F.col("doc_id").alias("a"), "h", "bits", (F.col("doc_id") + 1).alias("b")).join(v.select(F.col("doc_id").alias("b"), F.col("bits").alias("other")), "b")
+    return pairs.select("a", "b", F.lpad(PF.hash_to_hex("bits"), 16, "0").alias("fingerprint"), PF.hamming_distance("bits", "other").alias("distance"), PF.hash_similarity("bits", "other").alias("similarity"))
+
+
+@query(
+    """
+WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS starts FROM events), s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS stop, count(*) AS n FROM s GROUP BY user_id, session
+"""
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch counterpart of the sessions of a stream."""
+    found = session_counts(table(spark, sf_dir, "events"), time_col="ts", by=("user_id",), gap="30 minutes")
+    return found.select("user_id", F.col("session.start").alias("start"), F.col("session.end").alias("stop"), "n")
 
 
 @query("SELECT event_type, time_bucket(INTERVAL '5 minutes', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")

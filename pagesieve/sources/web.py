@@ -58,6 +58,7 @@ class WebPagesReader(DataSourceReader):
         self.agents = [a for a in (get("user_agents") or "").splitlines() if a.strip()]
         self.cookie, self.sleep_time = get("cookie"), float(get("sleep_time") or 5.0)
         self.n = int(get("partitions") or 8)
+        self.last: dict[str, float] = {}  # when each host was asked, for as long as the reader lives
 
     def partitions(self) -> list[InputPartition]:
         dealt: list[list[str]] = [[] for _ in range(self.n)]
@@ -68,14 +69,13 @@ class WebPagesReader(DataSourceReader):
     def read(self, partition: _Hosts) -> Iterator[tuple]:
         from ..kernel.text import decode
 
-        last: dict[str, float] = {}
         for url in partition.urls:
             if self.fixtures is None:
                 host = urlsplit(url).netloc
-                wait = last.get(host, 0) + self.sleep_time - time.monotonic()
-                if wait > 0 and host in last:
+                wait = self.last.get(host, 0) + self.sleep_time - time.monotonic()
+                if wait > 0 and host in self.last:
                     time.sleep(wait)
-                last[host] = time.monotonic()
+                self.last[host] = time.monotonic()
             status, final, headers, data = self._fetch(url)
             fits = status == 200 and data is not None and self.min_size <= len(data) <= self.max_size
             html = decode(data) if fits and self.method == "GET" else None

@@ -1,5 +1,5 @@
 """The same work on streams of pages."""
 
-from .ingest import extract_stream, first_seen_pages, polite_schedule, repeated_texts, windowed_counts
+from .ingest import extract_stream, first_seen_pages, polite_schedule, repeated_texts, session_counts, windowed_counts
 
-__all__ = ["extract_stream", "first_seen_pages", "polite_schedule", "repeated_texts", "windowed_counts"]
+__all__ = ["extract_stream", "first_seen_pages", "polite_schedule", "repeated_texts", "session_counts", "windowed_counts"]

@@ -29,6 +29,11 @@ def windowed_counts(events: DataFrame, *, time_col: str, window: str = "5 minute
     return events.withWatermark(time_col, delay).groupBy(span, *by).agg(F.count("*").alias("n"))
 
 
+def session_counts(events: DataFrame, *, time_col: str, by: tuple[str, ...], gap: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Counts per session of a group: rows that follow one another within ``gap``. Works on batches as on streams."""
+    return events.withWatermark(time_col, delay).groupBy(F.session_window(time_col, gap).alias("session"), *by).agg(F.count("*").alias("n"))
+
+
 def repeated_texts(segments: DataFrame, *, text_col: str = "text", min_size: int = 100, max_repetitions: int = 2, timeout_ms: int | None = None) -> DataFrame:
     """(hash, text, occurrence, is_repeat): the running number of each text, kept as a count per hash.
 
@@ -54,20 +59,27 @@ def repeated_texts(segments: DataFrame, *, text_col: str = "text", min_size: int
     return rows.groupBy("hash").applyInPandasWithState(count, "hash string, text string, occurrence long, is_repeat boolean", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
-def polite_schedule(urls: DataFrame, *, url_col: str = "url", time_col: str = "ts", sleep_time: float = 5.0) -> DataFrame:
-    """(url, host, fetch_at): the earliest time for each URL so that fetches of one host lie ``sleep_time`` apart; the last one is the host's state."""
+def polite_schedule(urls: DataFrame, *, url_col: str = "url", time_col: str = "ts", sleep_time: float = 5.0, timeout_ms: int | None = None) -> DataFrame:
+    """(url, host, fetch_at): the earliest time for each URL so that fetches of one host lie ``sleep_time`` apart; the last one is the host's state.
+
+    The URLs of a host that one trigger brings are ordered by time. With ``timeout_ms`` hosts that long untouched are forgotten (see :func:`repeated_texts`).
+    """
 
     def schedule(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values("ts", kind="stable")
-            out = []
-            for at in pdf["ts"]:
-                last = at.timestamp() if last is None else max(at.timestamp(), last + sleep_time)
-                out.append(pd.Timestamp(last, unit="s"))
-            yield pd.DataFrame({"url": pdf["url"].values, "host": key[0], "fetch_at": out})
+        whole = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        out = []
+        for at in whole["ts"]:
+            last = at.timestamp() if last is None else max(at.timestamp(), last + sleep_time)
+            out.append(pd.Timestamp(last, unit="s"))
+        yield pd.DataFrame({"url": whole["url"].values, "host": key[0], "fetch_at": out})
         if last is not None:
             state.update((last,))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
 
     rows = urls.select(F.col(url_col).alias("url"), host(url_col).alias("host"), F.col(time_col).alias("ts"))
-    return rows.groupBy("host").applyInPandasWithState(schedule, "url string, host string, fetch_at timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("host").applyInPandasWithState(schedule, "url string, host string, fetch_at timestamp", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)

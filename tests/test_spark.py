@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pagesieve import functions as PF
 from pagesieve import operators as O
 from pagesieve.kernel.options import Options
 from pagesieve.plans import registry
-from pagesieve.sources import read_html_files, read_url_list, register, write_documents
+from pagesieve.operators.discovery import RULES
+from pagesieve.sources import read_html_files, read_url_list, register, write_documents, write_files
 
 ZERO = {"min_extracted_size": 0, "min_output_size": 0}
 
@@ -136,7 +138,7 @@ def test_crawl_and_discovery(spark, pages):
     start = spark.createDataFrame([("https://x.org/p/0",)], "url string")
     frontier = O.crawl(start, fetch, max_rounds=3)
     assert {r.url: (r.visited, r.depth) for r in frontier.collect()} == {"https://x.org/p/0": (True, 0), "https://x.org/p/1": (True, 1), "https://x.org/p/2": (True, 2), "https://x.org/p/3": (False, 3)}
-    rules = spark.createDataFrame([("https://x.org", ["/p/2"])], "base string, disallow array<string>")
+    rules = spark.createDataFrame([("https://x.org", [("/p/2", False)], None)], RULES)
     assert {r.url for r in O.crawl(start, fetch, max_rounds=3, rules=rules).collect()} == {"https://x.org/p/0", "https://x.org/p/1"}
     maps = spark.createDataFrame(
         [("https://x.org/sitemap.xml", '<?xml version="1.0"?><sitemapindex><loc>https://x.org/s2.xml</loc><loc>https://x.org/sitemap.xml</loc></sitemapindex>'), ("https://x.org/s2.xml", '<?xml version="1.0"?><urlset><loc>https://x.org/a</loc><loc>https://far-away.net/b</loc></urlset>')],
@@ -148,6 +150,126 @@ def test_crawl_and_discovery(spark, pages):
     assert [r.link for r in O.discover_feeds(feeds).collect()] == ["https://x.org/news/1"]
 
 
+def web_of(spark, files):
+    frame = spark.createDataFrame(list(files.items()), "url string, html string")
+    return lambda todo: frame.join(todo, "url", "left_semi")
+
+
+def test_find_feeds(spark):
+    rss = "<rss><link>{0}/news/1</link><link>{0}/news/2</link></rss>"
+    home = '<html><head><link rel="alternate" type="application/atom+xml" href="/f"></head><body><p>x</p></body></html>'
+    files = {
+        "https://feed.org/rss": rss.format("https://feed.org"),  # is a feed
+        "https://page.org/": home, "https://page.org/f": rss.format("https://page.org"),  # names a feed
+        "https://deep.org/news": home, "https://deep.org/f": rss.format("https://deep.org"),  # below a site: only links that hold the address
+        "https://lost.org": home, "https://lost.org/f": rss.format("https://lost.org"),  # asked for a page that isn't there
+        "https://none.org/": "<html><body>nothing</body></html>",
+        "https://news.google.com/rss/search?q=site:none.org&hl=fr&scoring=n&num=100": rss.format("https://none.org"),
+    }
+    start = spark.createDataFrame([(u,) for u in ("https://feed.org/rss", "https://page.org/", "https://deep.org/news", "https://lost.org/gone", "https://none.org/", "https://dead.org/", "no address", None)], "url string")
+    def got(**options):
+        out = {}
+        for r in O.find_feeds(start, web_of(spark, files), **options).collect():
+            out.setdefault(r.url, set()).add(r.link)
+        return out
+
+    found = got()
+    both = lambda site: {f"https://{site}/news/{i}" for i in (1, 2)}
+    assert found == {"https://feed.org/rss": both("feed.org"), "https://page.org/": both("page.org"), "https://deep.org/news": both("deep.org"), "https://lost.org/gone": both("lost.org")}
+    assert got(language="fr") == found | {"https://none.org/": both("none.org")}
+    files["https://deep.org/f"] += "<link>https://deep.org/other/3</link>"
+    assert got()["https://deep.org/news"] == both("deep.org")
+
+
+def test_find_sitemaps(spark):
+    head = '<?xml version="1.0"?>'
+    listing = lambda *links: head + "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in links) + "</urlset>"
+    files = {
+        "https://a.org": "<html>up</html>", "https://a.org/robots.txt": "Sitemap: /maps.xml\n", "https://a.org/maps.xml": listing("https://a.org/m1.xml", "https://a.org/m2.xml"),
+        "https://a.org/m1.xml": listing("https://a.org/news/1", "https://a.org/maps.xml"), "https://a.org/m2.xml": listing("https://a.org/news/2", "https://a.org/m3.xml"), "https://a.org/m3.xml": listing("https://a.org/y/3"),
+        "https://b.org": "<html>up</html>", "https://b.org/sitemap_index.xml": listing("https://b.org/1"),
+        "https://c.org/sitemap.xml": listing("https://c.org/1"),
+    }
+    fetch = web_of(spark, files)
+    start = spark.createDataFrame([("https://a.org/news",), ("https://b.org/",), ("https://c.org/",), ("https://a.org/m3.xml",), (None,)], "url string")
+    found = {(r.url, r.link) for r in O.find_sitemap_links(start, fetch).collect()}
+    assert found == {("https://a.org/news", "https://a.org/news/1"), ("https://a.org/news", "https://a.org/news/2"), ("https://b.org/", "https://b.org/1"), ("https://c.org/", "https://c.org/1"), ("https://a.org/m3.xml", "https://a.org/y/3")}
+    alive = O.find_sitemap_links(start, fetch, live=lambda urls: fetch(urls).select("url")).collect()
+    assert {(r.url, r.link) for r in alive} == {x for x in found if "c.org" not in x[0]}
+    few = O.find_sitemap_links(start.where("url = 'https://a.org/news'"), fetch, max_sitemaps=2).collect()
+    assert [r.link for r in few] == ["https://a.org/news/1"]
+    deep = {f"https://d.org/{i}.xml": listing(f"https://d.org/{i + 1}.xml", f"https://d.org/page/{i}") for i in range(25)}
+    assert O.discover_sitemaps(spark.createDataFrame([("https://d.org/0.xml",)], "url string"), web_of(spark, deep)).count() == 25
+
+
+def test_robots(spark):
+    text = "User-agent: other\nDisallow: /\n\nUser-agent: *\nCrawl-delay: 3\nAllow: /a/open\nDisallow: /a\nDisallow:\n"
+    rules = O.robots_rules(spark.createDataFrame([("https://x.org", text), ("https://y.org", "nothing here")], "base string, html string"))
+    found = {r.base: r for r in rules.collect()}
+    assert [(r.path, r.allow) for r in found["https://x.org"].rules] == [("/a/open", True), ("/a", False), ("", True)] and found["https://x.org"].delay == 3
+    assert found["https://y.org"].rules == [] and found["https://y.org"].delay is None
+    urls = spark.createDataFrame([("https://x.org/1",), ("https://x.org/2",), ("https://y.org/1",)], "url string")
+    assert {(r.url, r.not_before) for r in O.fetch_rounds(urls, sleep_time=5.0, rules=rules).collect()} == {("https://x.org/1", 0.0), ("https://x.org/2", 3.0), ("https://y.org/1", 0.0)}
+    links = "".join(f'<a href="{p}">x</a>' for p in ("/a/open/1", "/a/shut", "/b", "/login"))
+    web = web_of(spark, {"https://x.org/robots.txt": text, "https://x.org/": f"<html><body>{links}</body></html>"})
+    frontier = O.crawl(spark.createDataFrame([("https://x.org/",)], "url string"), web, max_rounds=1, ask_robots=True)
+    assert {r.url for r in frontier.collect()} == {"https://x.org/", "https://x.org/a/open/1", "https://x.org/b"}
+
+
+def test_crawl_follows_refreshes_and_languages(spark):
+    page = lambda links, text="": "<html><body>" + f"<p>{text}</p>" + "".join(f'<a href="{x}">x</a>' for x in links) + "</body></html>"
+    files = {
+        "https://r.org/": '<html><head><meta http-equiv="refresh" content="0; url=/start"></head><body></body></html>',
+        "https://r.org/start": page(["/1", "/de/2"]) + "<div class='box'><a href='/3'>x</a></div>",
+        "https://r.org/1": page(["/4"], "der die das und ist nicht mit von den auf " * 5),
+        "https://s.org/": '<html><head><meta http-equiv="refresh" content="0; url=https://s.org/nowhere"></head><body><a href="/lost">x</a></body></html>',
+    }
+    start = spark.createDataFrame([("https://r.org/",), ("https://s.org/",)], "url string")
+    found = {r.url: r.visited for r in O.crawl(start, web_of(spark, files), max_rounds=3).collect()}
+    assert found == {"https://r.org/": True, "https://r.org/start": True, "https://r.org/1": True, "https://r.org/de/2": False, "https://r.org/3": False, "https://r.org/4": False, "https://s.org/": True}
+    from pagesieve.kernel.fallback import guess_language
+
+    english = {r.url for r in O.crawl(start, web_of(spark, files), max_rounds=3, language="en", detect=guess_language, prune=["//div"]).collect()}
+    assert english == {"https://r.org/", "https://r.org/start", "https://r.org/1", "https://s.org/"}
+    known = spark.createDataFrame([("https://r.org/1",), ("https://r.org/old",)], "url string")
+    seen = {r.url: r.visited for r in O.crawl(start, web_of(spark, files), max_rounds=1, known=known).collect()}
+    assert seen["https://r.org/1"] and seen["https://r.org/old"] and not seen["https://r.org/3"]
+
+
+def test_numbers_within_a_key(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i % 7}", None if i % 50 == 0 else i % 40) for i in range(600)] + [(600 + i, None, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, k string, o int").repartition(7)
+    want, last = {}, {}
+    for i, k, _ in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+        want[i] = last[k] = last.get(k, 0) + 1
+    found = O.numbered(df, F.col("k"), ("o", "id"), "n")
+    assert found.columns == ["id", "k", "o", "n"] and {r.id: r.n for r in found.collect()} == want
+    assert O.numbered(df.limit(0), F.col("k"), ("o",), "n").collect() == []
+
+
+def extractions(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_pages_are_parsed_once(spark, pages):
+    """What is read several times is cut, so a plan holds the function at most once more, for the rendering."""
+    assert extractions(O.extract_deduplicated(pages, Options.of(fast=True, **ZERO), key="page_id")) <= 1
+    assert extractions(O.scored_candidates(PF.dom_nodes(pages))) == 0
+    once = PF.extract_pages(pages, keep=("page_id",), fields=("blocks",), fast=True, **ZERO)
+    assert extractions(O.without_repeated_segments(O.explode_blocks(once, "page_id"), order_by=("page_id", "pos"))) == 1
+    assert extractions(registry.flagship(spark, SF)) == 1
+
+
+def test_failures_tell_why(spark, pages, monkeypatch):
+    from pagesieve.kernel import core
+
+    monkeypatch.setattr(core, "cascade", lambda *a: 1 / 0)
+    assert core.extract("<html><body><p>x</p></body></html>", Options.of(**ZERO)) | {"status": "error", "stage": "ZeroDivisionError: division by zero"} == core.extract("<html><body><p>x</p></body></html>", Options.of(**ZERO))
+    monkeypatch.undo()
+    whole = spark.read.parquet(f"{SF}/pages.parquet")
+    assert PF.extract_pages(whole, keep=("page_id",), fields=("status", "stage")).where("status = 'error'").collect() == []
+
+
 def test_crawl_stops_only_the_sites_at_the_cap(spark):
     links = lambda h, ns: "<html><body>" + "".join(f'<a href="https://{h}.org/p/{n}">{n}</a>' for n in ns) + "</body></html>"
     web = spark.createDataFrame([*((f"https://a.org/p/{i}", links("a", range(10 * i, 10 * i + 10))) for i in range(9)), *((f"https://b.org/p/{i}", links("b", [i + 1])) for i in range(9))], "url string, html string")
@@ -175,10 +297,10 @@ def test_main_text_of_all_pages(spark, tmp_path, mode):
 
 
 def test_quality_counts_all_pages(spark, tmp_path):
-    for name, rows, kind in (("pages", [(0, "https://x.org/en/0", "<html><body><article><p>A short text.</p></article></body></html>")], "page_id long, url string, html string"), ("documents", [(0, "A short text.", 13)], "doc_id long, text string, n_chars long")):
+    for name, rows, kind in (("pages", [(0, "https://x.org/en/1", "<html><body><article><p>A short text.</p></article></body></html>")], "page_id long, url string, html string"), ("documents", [(1, "A short text.", 13)], "doc_id long, text string, n_chars long")):
         spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
     found = registry.QUERIES["all_extraction_quality"](spark, str(tmp_path)).first()
-    assert (found.tp, found.fn, found.fp, found.tn) == (1, 0, 0, 1)
+    assert (found.tp, found.fn, found.fp, found.tn) == (2, 0, 0, 2)
 
 
 def test_evaluation(spark):
@@ -192,6 +314,15 @@ def test_scoring(spark):
     html = "<html><body><div class='content'><p>" + "word " * 60 + "</p><p>" + "more " * 60 + "</p></div><div class='sidebar'><p>" + "less " * 20 + "</p></div></body></html>"
     nodes = PF.dom_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
     best = O.best_candidates(O.scored_candidates(nodes)).first()
+    from pagesieve.kernel.core import load
+    from pagesieve.kernel.fallback import Candidates
+
+    r = random.Random(12)
+    tag = lambda depth: f"<{(t := r.choice(['div', 'td', 'article', 'ul']))} class='{r.choice(['post', 'menu', 'x'])}'>" + "".join(tag(depth + 1) if depth < 3 and r.random() < 0.5 else f"<p>{'one, two three ' * r.randrange(20)}<a>{'link ' * r.randrange(9)}</a></p>" for _ in range(3)) + f"</{t}>"
+    some = [(i, f"<html><body>{tag(0)}{tag(0)}</body></html>") for i in range(20)]
+    scores = O.scored_candidates(PF.dom_nodes(spark.createDataFrame(some, "page_id long, html string")))
+    got = sorted((r.page_id, round(r.score, 6)) for r in scores.collect())
+    assert got == sorted((i, round(s, 6)) for i, html in some for s in Candidates(load(html)).score.values()) and len(got) > 100
     assert nodes.where(F.col("node_id") == best.node_id).first().class_attr == "content"
 
 
@@ -205,6 +336,10 @@ def test_sources(spark, tmp_path):
     out = PF.extract_pages(files, html_col="html", url_col=None, keep=("path",), fields=("output",), output_format="txt", **ZERO)
     write_documents(out, str(tmp_path / "out"), "txt")
     assert {r.output for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"Grüße aus dem Text.", "Packed été."}
+    names = {r.name: r.n_bytes for r in write_files(out, str(tmp_path / "files"), "txt", per_folder=1).collect()}
+    assert {(tmp_path / "files" / n).read_text(encoding="utf-8") for n in names} == {"Grüße aus dem Text.", "Packed été."} and all(n.endswith(".txt") for n in names)
+    mirrored = {r.name for r in write_files(out, f"file://{tmp_path}/mirror", "json", source_col="path", root=str(tmp_path)).collect()}
+    assert mirrored == {"in/a.json", "in/b.json"} and (tmp_path / "mirror" / "in" / "b.json").read_text(encoding="utf-8") == "Packed été."
     (tmp_path / "urls.txt").write_text("https://a.org\n\nhttps://b.org\nhttps://a.org\n")
     assert [r.url for r in read_url_list(spark, str(tmp_path / "urls.txt")).orderBy("line").collect()] == ["https://a.org", "https://b.org"]
     register(spark)
@@ -215,6 +350,23 @@ def test_sources(spark, tmp_path):
     assert rows["https://b.org"].final_url == "https://b.org/new" and rows["https://b.org"].headers == {"server": "s"} and rows["https://c.org"].status == 404
 
 
+def test_dates_within_the_bounds_of_files(spark):
+    dated = spark.createDataFrame([("<html><body><p>On 2019-03-04 and later text.</p></body></html>", d) for d in ("2020-01-01", "2018-01-01", None)], "html string, max_date string")
+    found = PF.extract_pages(dated, url_col=None, keep=("max_date",), fields=("date",), date_col="max_date", with_metadata=True, fast=True, **ZERO)
+    assert {r.max_date: r.date for r in found.collect()} == {"2020-01-01": "2019-03-04", "2018-01-01": None, None: "2019-03-04"}
+
+
+def test_pauses_last_from_batch_to_batch(monkeypatch):
+    from pagesieve.sources import web
+
+    reader, slept = web.WebPagesReader({"sleep_time": "2"}), []
+    monkeypatch.setattr(web.time, "sleep", slept.append)
+    monkeypatch.setattr(reader, "_request", lambda url: (200, url, {}, b"<html>" + b"x" * 20))
+    for url in ("https://a.org/1", "https://b.org/1", "https://a.org/2"):
+        list(reader.read(web._Hosts([url])))
+    assert len(slept) == 1 and 1.5 < slept[0] <= 2
+
+
 def test_fetch_pages(spark):
     from pagesieve.sources import fetch_pages
 
@@ -228,19 +380,37 @@ def test_command_line(spark, tmp_path, capsys):
     from pagesieve import cli
 
     fixtures = tmp_path / "f.json"
-    fixtures.write_text(json.dumps({"https://x.org/sitemap.xml": '<?xml version="1.0"?><urlset><loc>https://x.org/a</loc></urlset>', "https://x.org/a": "<html><body><article><p>The text of page a.</p></article></body></html>"}))
+    home = '<html><head><link rel="alternate" type="application/rss+xml" href="/rss"></head><body><a href="/a">a</a><a href="/shut/b">b</a></body></html>'
+    fixtures.write_text(json.dumps({"https://x.org": home, "https://x.org/": home, "https://x.org/rss": "<rss><link>https://x.org/a</link></rss>", "https://x.org/robots.txt": "User-agent: *\nDisallow: /shut\nSitemap: https://x.org/sitemap.xml", "https://x.org/sitemap.xml": '<?xml version="1.0"?><urlset><loc>https://x.org/a</loc></urlset>', "https://x.org/a": "<html><body><article><p>The text of page a.</p></article></body></html>"}))
     config = tmp_path / "c.cfg"
     config.write_text("[DEFAULT]\nMIN_EXTRACTED_SIZE = 0\n")
     common = ["--fixtures", str(fixtures), "--config-file", str(config), "--sleep-time", "0"]
     assert cli.run(spark, cli.parse(["-u", "https://x.org/sitemap.xml", "--sitemap", "--list", *common])) == 0
     assert capsys.readouterr().out == "https://x.org/a\n"
+    for mode in ("--feed", "--sitemap", "--explore"):
+        assert cli.run(spark, cli.parse(["-u", "https://x.org/", mode, "--list", *common])) == 0
+        assert capsys.readouterr().out == "https://x.org/a\n", mode
+    assert cli.run(spark, cli.parse(["-u", "https://x.org/", "--crawl", "--list", "--rounds", "2", *common])) == 0
+    assert capsys.readouterr().out == "https://x.org/\nhttps://x.org/a\n"
+    assert cli.run(spark, cli.parse(["-u", "https://x.org/a", "--files", "-v", "--prune-xpath", "//h9", "--parallel", "2", "-o", str(tmp_path / "files"), *common])) == 0
+    assert [p.read_text() for p in (tmp_path / "files").rglob("*.txt")] == ["The text of page a."]
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "deep" / "p.html").write_text("<html><body><article><p>A file below.</p></article></body></html>")
+    assert cli.run(spark, cli.parse(["--input-dir", str(tmp_path / "in"), "--keep-dirs", "-o", str(tmp_path / "kept"), *common])) == 0
+    assert (tmp_path / "kept" / "deep" / "p.txt").read_text() == "A file below."
     assert cli.run(spark, cli.parse(["-u", "https://x.org/a", "--fast", *common])) == 0
     assert capsys.readouterr().out == "The text of page a.\n"
     assert cli.run(spark, cli.parse(["-u", "https://x.org/a", "--json", "-o", str(tmp_path / "o"), *common])) == 0
     assert json.loads(spark.read.text(str(tmp_path / "o")).first()[0])["text"] == "The text of page a."
     assert cli.exit_status(0, 0) == 0 and cli.exit_status(1, 1) == 126 and cli.exit_status(1, 2) == 1
-    with pytest.raises(SystemExit):
-        cli.parse(["--feed"])
+    for wrong in (["--feed"], ["--files", "-u", "x"], ["--keep-dirs", "-u", "x"], ["--precision", "--recall"], ["--version"]):
+        with pytest.raises(SystemExit):
+            cli.parse(wrong)
+    capsys.readouterr()
+    archived = tmp_path / "old.json"
+    archived.write_text(json.dumps({"https://web.archive.org/web/20/https://x.org/gone": "<html><body><article><p>An older copy.</p></article></body></html>"}))
+    assert cli.run(spark, cli.parse(["-u", "https://x.org/gone", "--archived", "--fast", "--fixtures", str(archived), *common[2:]])) == 0
+    assert capsys.readouterr().out == "An older copy.\n"
 
 
 def test_streams(spark, tmp_path, pages):
@@ -272,6 +442,11 @@ def test_streams(spark, tmp_path, pages):
     q = S.windowed_counts(stream, time_col="ts").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").first().n == 3
+    events = spark.sql("SELECT 'u' AS who, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m) AS ts FROM VALUES (0), (3), (20) t(m)")
+    events.coalesce(1).write.parquet(str(tmp_path / "events"))
+    q = S.session_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")), time_col="ts", by=("who",)).writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.n for r in spark.table("sessions").collect()) == [1, 2]
 
 
 SF = "/root/testdata/sf0.001"
