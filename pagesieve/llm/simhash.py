@@ -149,6 +149,8 @@ class _SimilarSets(_Forest):
         may = np.flatnonzero((self.root[i] != self.root[j]) & (small + 1e-9 >= self.similarity * large))
         may = may[np.argsort(i[may], kind="stable")]
         i, j = i[may], j[may]
+        if not len(i):
+            return
         ends = np.flatnonzero(np.diff(i, append=-1)) + 1
         for at, end in zip(np.append(0, ends[:-1]), ends, strict=True):
             one, others = i[at], j[at:end]

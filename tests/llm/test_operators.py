@@ -497,6 +497,18 @@ def similar(a, b, width=5, least=0.8):
     return len(a & b) + 1e-9 >= least * len(a | b)
 
 
+def test_sets_link_only_what_is_similar():
+    sets = [np.arange(a, a + n).astype(np.uint64) for a, n in ((0, 10), (1, 10), (40, 10), (0, 3), (41, 9), (90, 0))]
+    forest = simhash._SimilarSets(sets, 0.8)
+    none = np.empty(0, np.int64)
+    forest.link(none, none)
+    forest.link(np.array([0, 0]), np.array([2, 3]))
+    assert forest.root.tolist() == [0, 1, 2, 3, 4, 5]
+    i, j = np.triu_indices(6, 1)
+    forest.link(i[::-1], j[::-1])
+    assert forest.root.tolist() == [0, 0, 2, 3, 2, 5]
+
+
 def test_short_texts_are_compared_whole(spark):
     """Sets of 4 and 5 shingles that share 4 are 0.8 alike, and their fingerprints differ in up to a quarter of the bits."""
     r = random.Random(10)
@@ -677,6 +689,29 @@ def test_all_texts_at_once_are_parsed_like_one(monkeypatch):
     assert langid.Parser(sample).counts(texts).tolist() == want
 
 
+def test_predictions_equal_brute_force():
+    """Greedy longest phrases under each language, counted by searching the sample; ties go to the language that sorts first."""
+    r = random.Random(17)
+    sample = tuple((lang, "".join(r.choice(letters) for _ in range(n))) for lang, letters, n in (("aa", "abc ", 90), ("bb", "abc ", 90), ("cc", "cde ", 70)))
+    sample = (*sample, ("dd", sample[0][1]))  # as "aa", so that the two always tie
+    texts = [None, "", "12 .", *("".join(r.choice("abcde XY") for _ in range(r.choice([1, 3, 30, 200]))) for _ in range(40))]
+
+    def phrases(known, text):
+        n, at = 0, 0
+        while at < len(text):
+            end = at + 1
+            while end <= len(text) and text[at:end] in known:
+                end += 1
+            at, n = max(at + 1, end - 1), n + 1
+        return n
+
+    for text, (lang, score) in zip(texts, langid.predictions(sample, texts), strict=True):
+        own = langid.normalized(text)
+        ranked = sorted((phrases(known, own) * math.log2(len(known) + 2) / len(own), name) for name, known in sample) if own else []
+        assert lang == (ranked[0][1] if ranked else "und") and lang != "dd"
+        assert math.isclose(score, 1 - ranked[0][0] / ranked[1][0] if ranked else 0.0, abs_tol=1e-12)
+
+
 def test_language(spark, docs):
     r = random.Random(4)
     say = {"en": "the and of to in that is was he for it with as his on be at by".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein".split(), "fr": "le de un être et à il avoir ne je son que se qui ce dans en du".split()}
