@@ -47,17 +47,28 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that :func:`stored` has written in this process, oldest first.
+_WRITTEN: list[str] = []
+
+
+def stored_tables() -> list[str]:
+    return list(_WRITTEN)
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/pagesieve-{spark.sparkContext.applicationId}"
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Deletes what :func:`stored` has written for this application. DataFrames that read it can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stored(spark: SparkSession, tables: list[str] | None = None) -> None:
+    """Deletes ``tables`` that :func:`stored` has written, or all of this application. DataFrames that read them can't be used any more."""
+    for name in [_own_folder(spark)] if tables is None else tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN[:] = [t for t in _WRITTEN if tables is not None and t not in tables]
 
 
 def lower_ascii(text: Column) -> Column:

@@ -128,10 +128,21 @@ def test_packing_stage(stages):
 
 
 def test_run(spark, stages):
+    from pagesieve.llm.common import stored_tables
+
+    before = stored_tables()
     found = corpus_pipeline.run(spark, stages[0])
+    assert len(set(stored_tables()) - set(before)) == 2  # what the last stage reads, and its ids
     assert Counter(r.doc_id for r in found.collect()).keys() == Counter(r.doc_id for r in stages[1][4][1].collect()).keys()
 
 
+def test_run_over_nothing(spark, tmp_path):
+    """No documents, or none that the first stage keeps, give no sequences."""
+    for name, rows in (("empty", []), ("unknown", [(1, None, None, None, 0), (2, "12 -- 3", "en", "a", 7)])):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / name / "documents.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).collect() == []
+
+
 def test_entry_lists_the_queries():
     import __spark_entry__ as e
 
