@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagesieve.llm import exact, langid, mixing, packing, simhash
-from pagesieve.llm.common import stored, table
+from pagesieve.llm.common import drop_stored, stored, stored_tables, table
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each on all that the one before it kept."""
+    """The stages over ``documents``, each on all that the one before it kept.
+
+    Tables between the stages are deleted as soon as the next one is written. What the last stage has written stays for the
+    result to be read from; ``pagesieve.llm.common.drop_stored`` deletes it.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = stored_tables()
     for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
             docs = stored(docs)
+            drop_stored(spark, [t for t in stored_tables()[:-1] if t not in before])
     return docs
