@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ ADDED, ADDED_PAIRS, PRIOR = 0.1, 0.1, 50.0
 #: Held-out rows: crc32 of the id modulo 10 is 0.
 FOLDS = 10
 #: Words that a task counts before it gives its counts on; tokens whose contexts it counts together; rows of one block of a matrix and words of one block of contexts.
-COUNTED, TOGETHER, BLOCK_ROWS, BLOCK_WORDS = 500_000, 1 << 21, 64, 1024
+COUNTED, TOGETHER, BLOCK_ROWS, BLOCK_WORDS = 500_000, 1 << 20, 64, 1024
 #: In a sequence of classes: a word beyond the dictionary, and a word that training doesn't hold.
 HOLE, UNKNOWN = 255, 254
 END = b""
@@ -119,7 +120,24 @@ def _classes_of(codes: np.ndarray, class_of: np.ndarray) -> np.ndarray:
     return np.where(codes < len(class_of), class_of[np.minimum(codes, len(class_of) - 1)], -1)
 
 
-def _matrix_blocks(height: int, width: int, kind: str, keys):
+def _salt(salts: int) -> int:
+    """Which of the partial sums of a block this task adds to."""
+    return TaskContext.get().partitionId() % salts
+
+
+def _salts(spark) -> int:
+    """Partial sums of a block: about as many as each of them, and their sum, has parts when tasks are as many as partitions."""
+    return max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _added(blocks: DataFrame, add, schema: str) -> DataFrame:
+    """Sums of the blocks with the same number by ``add``, in two steps, so that no task reads a block of every other task."""
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partial = blocks.repartition(n, "block", "salt").sortWithinPartitions("block", "salt").mapInArrow(add, schema)
+    return partial.withColumn("salt", F.lit(0)).repartition(n, "block").sortWithinPartitions("block").mapInArrow(add, schema)
+
+
+def _matrix_blocks(height: int, width: int, kind: str, keys, salts: int):
     """A kernel that counts ``keys`` (row * width + column) of each sequence and gives on blocks of rows."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,36 +161,37 @@ def _matrix_blocks(height: int, width: int, kind: str, keys):
         rows = total.reshape(height, width).astype("<i8")
         blocks = [(b, rows[b * BLOCK_ROWS : (b + 1) * BLOCK_ROWS]) for b in range(-(-height // BLOCK_ROWS))]
         blocks = [(b, x.tobytes()) for b, x in blocks if x.any()]
-        yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in blocks], pa.int64()), "cells": pa.array([x for _, x in blocks], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in blocks], pa.int64()), "salt": pa.array([_salt(salts)] * len(blocks), pa.int32()), "cells": pa.array([x for _, x in blocks], pa.binary())})
 
     return kernel
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks with the same number; rows come sorted by it."""
-    block, total = None, None
+    """Sums of the blocks with the same number and salt; rows come sorted by them."""
+    key, total = None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "salt", "cells"])
+
     for batch in batches:
-        for b, cells in zip(batch.column("block").to_pylist(), batch.column("cells"), strict=True):
+        for block, salt, cells in zip(batch.column("block").to_pylist(), batch.column("salt").to_pylist(), batch.column("cells"), strict=True):
             cells = np.frombuffer(cells.as_py(), "<i8")
-            if b != block:
-                if total is not None:
-                    yield pa.RecordBatch.from_pydict({"block": [block], "cells": pa.array([total.tobytes()], pa.binary())})
-                block, total = b, cells.copy()
-            else:
+            if (block, salt) == key:
                 total += cells
-    if total is not None:
-        yield pa.RecordBatch.from_pydict({"block": [block], "cells": pa.array([total.tobytes()], pa.binary())})
+                continue
+            if key is not None:
+                yield out()
+            key, total = (block, salt), cells.copy()
+    if key is not None:
+        yield out()
 
 
 def _matrix(sequences: DataFrame, height: int, width: int, kind: str, keys) -> np.ndarray:
     """The count matrix over all ``sequences`` (one binary column); its size is set by the parameters, not by the corpus."""
-    n = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "block long, cells binary"
-    blocks = sequences.mapInArrow(_matrix_blocks(height, width, kind, keys), schema)
-    # Partial sums over half the tasks at a time would save nothing: blocks are few and small, and each is summed in one task.
-    summed = blocks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_summed, schema).collect()
+    schema = "block long, salt int, cells binary"
+    blocks = sequences.mapInArrow(_matrix_blocks(height, width, kind, keys, _salts(sequences.sparkSession)), schema)
     out = np.zeros((-(-height // BLOCK_ROWS) * BLOCK_ROWS, width), np.int64)
-    for r in summed:
+    for r in _added(blocks, _summed, schema).collect():
         out[r["block"] * BLOCK_ROWS : (r["block"] + 1) * BLOCK_ROWS] += _padded(np.frombuffer(r["cells"], "<i8").reshape(-1, width))
     return out[:height]
 
@@ -248,18 +267,28 @@ def _slots(codes: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.append(class_of[-1], c[:-1]), np.append(c[1:], -1)
 
 
-def _contexts(class_of: np.ndarray, width: int):
+def _sparse(block: np.ndarray, salt: int, cells: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+    # Counts take four bytes as long as they fit.
+    columns = (block, [salt] * len(block), [c.astype("<u4").tobytes() for c in cells], [c.astype("<u4" if c.max() >> 32 == 0 else "<i8").tobytes() for c in n])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "salt", "cells", "n"])
+
+
+def _added_to(total: np.ndarray, cells: bytes, n: bytes) -> None:
+    total[np.frombuffer(cells, "<u4")] += np.frombuffer(n, "<u4" if len(n) == len(cells) else "<i8")
+
+
+def _contexts(class_of: np.ndarray, width: int, salts: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of (word of the dictionary, class beside it) in blocks of words: ``cells`` holds the places in the block, ``n`` the counts."""
         waiting, size, words = [], 0, len(class_of) - 1
+        kind = np.uint32 if words * width < 1 << 32 else np.int64
 
         def out() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-            blocks = np.unique(keys // (BLOCK_WORDS * width))
+            blocks = np.unique(keys // (BLOCK_WORDS * width)).astype(np.int64)
             cuts = np.searchsorted(keys, np.append(blocks, blocks[-1:] + 1) * BLOCK_WORDS * width)
-            cells = [(keys[a:z] % (BLOCK_WORDS * width)).astype("<u4").tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-            counts = [n[a:z].astype("<u4").tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["block", "cells", "n"])
+            parts = [slice(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+            return _sparse(blocks, _salt(salts), [keys[p] % (BLOCK_WORDS * width) for p in parts], [n[p] for p in parts])
 
         for batch in batches:
             for value in batch.column(0):
@@ -268,7 +297,7 @@ def _contexts(class_of: np.ndarray, width: int):
                 known = codes < words
                 for side, slot in enumerate((left, right)):
                     there = known & (slot >= 0)
-                    waiting.append(codes[there] * width + slot[there] + side * (width // 2))
+                    waiting.append((codes[there] * width + slot[there] + side * (width // 2)).astype(kind))
                 size += len(codes)
                 if size > TOGETHER:
                     yield out()
@@ -279,37 +308,52 @@ def _contexts(class_of: np.ndarray, width: int):
     return kernel
 
 
-def _moved(prefers: Preference, default: np.ndarray, width: int):
+def _sparse_sums(width: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The new classes of the words of each block; rows come sorted by block."""
-        current, total = None, None
+        """Sums of the contexts with the same block and salt; rows come sorted by them."""
+        key, total = None, None
 
         def out() -> pa.RecordBatch:
-            own = default[current * BLOCK_WORDS : (current + 1) * BLOCK_WORDS]
-            best = prefers.best(total.reshape(-1, width)[: len(own)], own)
-            return pa.RecordBatch.from_pydict({"block": pa.array([current], pa.int64()), "classes": pa.array([best.astype("u1").tobytes()], pa.binary())})
+            there = np.flatnonzero(total)
+            return _sparse(np.array([key[0]]), key[1], [there], [total[there]])
 
         for batch in batches:
-            for block, cells, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "n")), strict=True):
-                if block != current:
-                    if current is not None:
+            for block, salt, cells, n in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "cells", "n")), strict=True):
+                if (block, salt) != key:
+                    if key is not None:
                         yield out()
-                    current, total = block, np.zeros(BLOCK_WORDS * width, np.int64)
-                total[np.frombuffer(cells, "<u4")] += np.frombuffer(n, "<u4")
-        if current is not None:
+                    key, total = (block, salt), np.zeros(BLOCK_WORDS * width, np.int64)
+                _added_to(total, cells, n)
+        if key is not None:
             yield out()
 
     return kernel
 
 
+def _moved(prefers: Preference, default: np.ndarray, width: int):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The new classes of the words of each block, of which there is one row."""
+        for batch in batches:
+            classes = []
+            for block, cells, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "n")), strict=True):
+                own = default[block * BLOCK_WORDS : (block + 1) * BLOCK_WORDS]
+                total = np.zeros(BLOCK_WORDS * width, np.int64)
+                _added_to(total, cells, n)
+                classes.append(prefers.best(total.reshape(-1, width)[: len(own)], own).astype("u1").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(classes, pa.binary())], ["block", "classes"])
+
+    return kernel
+
+
 def _exchanged(learnt: DataFrame, class_of: np.ndarray) -> np.ndarray:
     """``class_of`` after one distributed round: all words move at once, by class counts as they were. A byte a word reaches the driver."""
     k, words = CLASSES, len(class_of) - 1
-    width, n = 2 * (k + 1), int(learnt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = 2 * (k + 1)
     prefers = Preference(_pairs(learnt, class_of))
     default = np.where(class_of[:-1] < 0, np.arange(words) % k, class_of[:-1])
-    contexts = learnt.select("codes").mapInArrow(_contexts(class_of, width), "block long, cells binary, n binary")
-    moved = contexts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_moved(prefers, default, width), "block long, classes binary")
+    schema = "block long, salt int, cells binary, n binary"
+    contexts = _added(learnt.select("codes").mapInArrow(_contexts(class_of, width, _salts(learnt.sparkSession)), schema), _sparse_sums(width), schema)
+    moved = contexts.mapInArrow(_moved(prefers, default, width), "block long, classes binary")
     out = np.append(default, k)
     for r in moved.collect():
         at = r["block"] * BLOCK_WORDS
