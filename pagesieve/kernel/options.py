@@ -59,6 +59,7 @@ class Options:
     min_duplicate_size: int = 100
     max_repetitions: int = 2
     max_tree_size: int | None = None
+    closed_references: bool = False
     sleep_time: float = 5.0
     download_timeout: int = 30
     max_redirects: int = 2
