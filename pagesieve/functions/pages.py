@@ -155,7 +155,7 @@ def extract_text(html: Column | str, url: Column | str | None = None, **options)
     return function(html, F.lit(None).cast("string") if url is None else url)
 
 
-def page_metadata(html: Column | str, url: Column | str | None = None, **date_params) -> Column:
+def page_metadata(html: Column | str, url: Column | str | None = None, closed_references: bool = False, **date_params) -> Column:
     """The metadata of a page as a struct of the string and array fields of the record."""
     names = [f for f in DOCUMENT_SCHEMA.fieldNames() if f in (*_STRINGS, "categories", "tags", "license", "image", "pagetype")]
     kind = T.StructType([DOCUMENT_SCHEMA[n] for n in names])
@@ -164,12 +164,14 @@ def page_metadata(html: Column | str, url: Column | str | None = None, **date_pa
     def function(pages: pd.Series, addresses: pd.Series) -> pd.DataFrame:
         from pagesieve.kernel.core import load
         from pagesieve.kernel.metadata import metadata
+        from pagesieve.kernel.text import references
 
         rows = []
-        for p, u in zip(pages, addresses, strict=True):
-            tree = load(p)
-            found = metadata(tree, u, date_params) if tree is not None else {}
-            rows.append([found.get(n) for n in names])
+        with references(closed_references):
+            for p, u in zip(pages, addresses, strict=True):
+                tree = load(p)
+                found = metadata(tree, u, date_params) if tree is not None else {}
+                rows.append([found.get(n) for n in names])
         return pd.DataFrame(rows, columns=names)
 
     return function(html, F.lit(None).cast("string") if url is None else url)
