@@ -11,7 +11,7 @@ from pagesieve.kernel.metadata import metadata
 from pagesieve.kernel.options import Options
 from pagesieve.plans import registry
 
-NAMES = ["page_html", "page_markdown", "page_title"]
+NAMES = ["page_html", "page_markdown", "page_title", "page_xml"]
 
 
 def page(text: str) -> str:
