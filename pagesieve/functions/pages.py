@@ -137,9 +137,21 @@ def baseline_text(html: Column | str) -> Column:
     return _text_function(make)(html)
 
 
-def html_to_text(html: Column | str) -> Column:
+def html_to_text(html: Column | str, closed_references: bool = False) -> Column:
     """All text of a page without its furniture."""
-    return _text_function(_with_tree("all_text", "simple"))(html)
+
+    def make():
+        from pagesieve.kernel.core import load
+        from pagesieve.kernel.simple import all_text
+        from pagesieve.kernel.text import references
+
+        def text(page):
+            with references(closed_references):
+                return all_text(load(page))
+
+        return text
+
+    return _text_function(make)(html)
 
 
 def extract_text(html: Column | str, url: Column | str | None = None, **options) -> Column:
