@@ -11,7 +11,7 @@ from pagesieve.kernel.metadata import metadata
 from pagesieve.kernel.options import Options
 from pagesieve.plans import registry
 
-NAMES = ["page_html", "page_markdown", "page_title", "page_xml", "pages_without_repeats", "feed_discovery", "html_to_text", "listed_links", "page_csv", "page_json", "page_metadata", "page_txt"]
+NAMES = ["page_html", "page_markdown", "page_title", "page_xml", "pages_without_repeats", "feed_discovery", "html_to_text", "listed_links", "page_csv", "page_json", "page_metadata", "page_txt", "page_xmltei"]
 
 
 def page(text: str) -> str:
