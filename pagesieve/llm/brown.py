@@ -33,6 +33,8 @@ ADDED, ADDED_PAIRS, PRIOR = 0.1, 0.1, 50.0
 FOLDS = 10
 #: Words that a task counts before it gives its counts on; tokens whose contexts it counts together; rows of one block of a matrix and words of one block of contexts.
 COUNTED, TOGETHER, BLOCK_ROWS, BLOCK_WORDS = 500_000, 1 << 20, 64, 1024
+#: Texts that a kernel turns into words at once.
+TEXTS = 512
 #: In a sequence of classes: a word beyond the dictionary, and a word that training doesn't hold.
 HOLE, UNKNOWN = 255, 254
 END = b""
@@ -90,13 +92,20 @@ class _Broadcast:
         return self.held.value
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few texts, where a kernel makes Python objects of all words of a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _encoder(shared, end: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Codes: place of a word of the dictionary, ``end`` for the end, ``end`` + 1 + its place in ``rare`` for any other word."""
         vocabulary = _vocabulary(shared)
         place = vocabulary.place
         logs = np.log10(vocabulary.counts + ADDED)
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for text in batch.column("text"):
                 words = words_of(text.as_py())
@@ -130,11 +139,16 @@ def _salts(spark) -> int:
     return max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _added(blocks: DataFrame, add, schema: str) -> DataFrame:
-    """Sums of the blocks with the same number by ``add``, in two steps, so that no task reads a block of every other task."""
+def _added(blocks: DataFrame, add, schema: str, then=None, then_schema: str | None = None) -> DataFrame:
+    """Sums of the blocks with the same number by ``add``, in two steps, so that no task reads a block of every other task.
+
+    ``then`` is a kernel over the sums. It runs in the same Python process: two kernels in a row would keep two processes for each core, all
+    of which grow, as any of them may serve any later task.
+    """
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     partial = blocks.repartition(n, "block", "salt").sortWithinPartitions("block", "salt").mapInArrow(add, schema)
-    return partial.withColumn("salt", F.lit(0)).repartition(n, "block").sortWithinPartitions("block").mapInArrow(add, schema)
+    last = (lambda batches: then(add(batches))) if then else add
+    return partial.withColumn("salt", F.lit(0)).repartition(n, "block").sortWithinPartitions("block").mapInArrow(last, then_schema or schema)
 
 
 def _matrix_blocks(height: int, width: int, kind: str, keys, salts: int):
@@ -345,17 +359,21 @@ def _moved(prefers: Preference, default: np.ndarray, width: int):
     return kernel
 
 
+def _moves(learnt: DataFrame, class_of: np.ndarray, prefers: Preference, default: np.ndarray) -> DataFrame:
+    """(block, classes): the classes that the words of each block move to."""
+    width = 2 * (CLASSES + 1)
+    schema = "block long, salt int, cells binary, n binary"
+    contexts = learnt.select("codes").mapInArrow(_contexts(class_of, width, _salts(learnt.sparkSession)), schema)
+    return _added(contexts, _sparse_sums(width), schema, _moved(prefers, default, width), "block long, classes binary")
+
+
 def _exchanged(learnt: DataFrame, class_of: np.ndarray) -> np.ndarray:
     """``class_of`` after one distributed round: all words move at once, by class counts as they were. A byte a word reaches the driver."""
     k, words = CLASSES, len(class_of) - 1
-    width = 2 * (k + 1)
     prefers = Preference(_pairs(learnt, class_of))
     default = np.where(class_of[:-1] < 0, np.arange(words) % k, class_of[:-1])
-    schema = "block long, salt int, cells binary, n binary"
-    contexts = _added(learnt.select("codes").mapInArrow(_contexts(class_of, width, _salts(learnt.sparkSession)), schema), _sparse_sums(width), schema)
-    moved = contexts.mapInArrow(_moved(prefers, default, width), "block long, classes binary")
     out = np.append(default, k)
-    for r in moved.collect():
+    for r in _moves(learnt, class_of, prefers, default).collect():
         at = r["block"] * BLOCK_WORDS
         out[at : at + len(r["classes"])] = np.frombuffer(r["classes"], "u1")
     return out
@@ -378,7 +396,7 @@ def _tail_contexts(class_of: np.ndarray):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(word, n, slots) for each word beyond the dictionary in each text: left neighbours' classes, and right ones' plus the number of classes."""
         end, width = len(class_of) - 1, CLASSES + 1
-        for batch in batches:
+        for batch in _slices(batches):
             words, counts, slots, lengths = [], [], [], []
             for codes, rare, n in zip(batch.column("codes"), batch.column("rare"), batch.column("rare_n"), strict=True):
                 if not len(rare):

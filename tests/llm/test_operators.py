@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -304,6 +305,16 @@ def test_class_lm(spark, docs, monkeypatch, dictionary):
     assert brown.score_texts(empty(spark)).collect() == []
 
 
+def test_class_lm_runs_one_python_process_for_each_core(spark, monkeypatch):
+    """No stage has two Arrow kernels in a row, which would take two processes."""
+    learnt = spark.createDataFrame([(np.array([0, 1, 0, 2], "<u4").tobytes(),)], "codes binary")
+    plans, kind = [], type(learnt)
+    monkeypatch.setattr(kind, "collect", lambda self, f=kind.collect: plans.append(self._jdf.queryExecution().executedPlan().toString()) or f(self))
+    assert len(brown._exchanged(learnt, np.array([0, 1, brown.CLASSES]))) == 3
+    nodes = [re.findall(r"MapInArrow|Exchange", p) for p in plans]
+    assert max(n.count("MapInArrow") for n in nodes) == 3 and not any(a == b == "MapInArrow" for n in nodes for a, b in zip(n, n[1:], strict=False))
+
+
 def test_class_lm_without_training_rows(spark):
     r = brown.score_texts(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()[0]
     assert r.held_out and (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isclose(r.base_score, 3 * math.log10(0.1 / 0.1), abs_tol=1e-9)
