@@ -27,8 +27,8 @@ TEXTS = [
     "+1 (555) 010-0199 This title begins with a number\nThe second paragraph of the third text.",
     "4703443633947811 This one as well\nThe second paragraph of the fourth text.",
 ]
-#: Addresses of one host: over 10,000 characters in all, all pages twice.
-URLS = [f"http://many.example.com/en/{1000 + i}{end}" for i in range(200) for end in ("", "?utm_source=feed")]
+#: An address with a number that is no date; those of one host, over 10,000 characters in all, all pages twice.
+URLS = ["http://one.example.com/en/206533.html"] + [f"http://many.example.com/en/{1000 + i}{end}" for i in range(200) for end in ("", "?utm_source=feed")]
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def tables(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("tables")
     documents = [(i, t, "en", "web", len(t)) for i, t in enumerate(TEXTS)]
     pages = [(i, f"http://one.example.com/en/{i}", page(t)) for i, t in enumerate(TEXTS)] + [(100 + i, u, page(TEXTS[3])) for i, u in enumerate(URLS)]
-    documents += [(1000 + i, TEXTS[3], "en", "web", len(TEXTS[3])) for i in range(200)]
+    documents += [(i, TEXTS[3], "en", "web", len(TEXTS[3])) for i in (206533, *range(1000, 1200))]
     spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
     return str(folder)
@@ -60,3 +60,9 @@ def test_references_without_semicolon():
     as_browsers, closed = (extract(text, Options.of(output_format="txt", fast=True, min_extracted_size=0, closed_references=c))["output"] for c in (False, True))
     assert as_browsers == "Some text < and &unknown; > A A here." and closed == "Some text &lt and &unknown; > A &#65 here."
     assert metadata(load(text))["title"] == "A & B <c &"
+
+
+def test_dates_in_addresses():
+    there = load("<html><body><p>Some text.</p></body></html>")
+    for path, date in (("2022/1/9/x", "2022-01-09"), ("2022-01-09", "2022-01-09"), ("2022_01_09.html", "2022-01-09"), ("206533", None), ("2065-33", None)):
+        assert metadata(there, f"https://example.org/{path}")["date"] == date
