@@ -60,6 +60,7 @@ class Options:
     max_repetitions: int = 2
     max_tree_size: int | None = None
     closed_references: bool = False
+    single_spaces: bool = False
     sleep_time: float = 5.0
     download_timeout: int = 30
     max_redirects: int = 2

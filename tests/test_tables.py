@@ -9,6 +9,7 @@ import pytest
 from pagesieve.kernel.core import extract, load
 from pagesieve.kernel.metadata import metadata
 from pagesieve.kernel.options import Options
+from pagesieve.kernel.text import references, single_spaced
 from pagesieve.plans import registry
 
 NAMES = ["page_html", "page_markdown", "page_title", "page_xml", "pages_without_repeats", "feed_discovery", "html_to_text", "listed_links", "page_csv", "page_json", "page_metadata", "page_txt", "page_xmltei"]
@@ -62,6 +63,40 @@ def test_references_without_semicolon():
     assert metadata(load(text))["title"] == "A & B <c &"
 
 
+ODD = [
+    "A tab\there, two  blanks and\t\ttabs\t in a title\nA tab\tin the second,  paragraph \nA \"tab\tin quotes\"",
+    "Literal &lt;b&gt; &amp;amp; &nbsp;&#65; &copy;\nA second &lt;p&gt; with &amp;lt; and &#x41; &nbsp; in it",
+    "This title is cut within the end of a comment that is <!-- x -->\nThe second <!-- &amp --> paragraph <script>&lt</script>",
+    "Quotes\nThe second " + 'paragraph "has" many, ' * 2000,
+]
+
+
+@pytest.mark.parametrize("name", ["page_csv"])
+def test_formats_match_their_sql_on_odd_texts(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(ODD)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"http://one.example.com/en/{i}", page(t)) for i, t in enumerate(ODD)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    expected = con.execute(registry.ORACLE_SQL[name]).fetchall()
+    assert len(expected) == len(ODD)
+    assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_single_spaces_leave_code():
+    text = "<html><body><article><p>Some\n  text <b>here\t</b> a < b  c.</p><pre>a  b\n\tc</pre><p>Then <code>y  z</code>\r\nas well.</p></article></body></html>"
+    assert single_spaced(text) == "<html><body><article><p>Some text <b>here </b> a < b c.</p><pre>a  b\n\tc</pre><p>Then <code>y  z</code> as well.</p></article></body></html>"
+    assert extract(text, Options.of(output_format="markdown", fast=True, min_extracted_size=0, single_spaces=True))["output"].endswith("Then `y  z` as well.")
+
+
+def test_closed_references_in_scripts_are_read():
+    script = '{"@context": "https://schema.org", "@type": "Article", "headline": "A &amp;amp; B &lt; C &lt D"}'
+    there = load(f'<html><head><script type="application/ld+json">{script}</script></head><body><p>Some text.</p></body></html>')
+    with references(True):
+        assert metadata(there)["title"] == "A &amp; B < C &lt D"
+
+
 def test_dates_in_addresses():
     there = load("<html><body><p>Some text.</p></body></html>")
     for path, date in (("2022/1/9/x", "2022-01-09"), ("2022-01-09", "2022-01-09"), ("2022_01_09.html", "2022-01-09"), ("206533", None), ("2065-33", None)):
