@@ -67,15 +67,17 @@ ODD = [
     "A tab\there, two  blanks and\t\ttabs\t in a title\nA tab\tin the second,  paragraph \nA \"tab\tin quotes\"",
     "Literal &lt;b&gt; &amp;amp; &nbsp;&#65; &copy;\nA second &lt;p&gt; with &amp;lt; and &#x41; &nbsp; in it",
     "This title is cut within the end of a comment that is <!-- x -->\nThe second <!-- &amp --> paragraph <script>&lt</script>",
+    "A first line with a blank at its end \n Second paragraph",
     "Quotes\nThe second " + 'paragraph "has" many, ' * 2000,
 ]
 
 
-@pytest.mark.parametrize("name", ["page_csv"])
+@pytest.mark.parametrize("name", ["page_csv", "page_json"])
 def test_formats_match_their_sql_on_odd_texts(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(ODD)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, f"http://one.example.com/en/{i}", page(t)) for i, t in enumerate(ODD)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    bold = [page(t).replace("<p>", "<p><b>", 1).replace("</p>", "<br>", 1) for t in ODD]  # as in the test tables
+    spark.createDataFrame([(i, f"http://one.example.com/en/{i}", p) for i, p in enumerate(bold)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     for t in ("documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
