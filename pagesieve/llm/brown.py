@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text_crc, stored
+from .common import id_text_crc, stored, writers
 
 #: Words whose exchange is sequential, classes, words of the dictionary that is broadcast. All other words are counted, classed and looked up by joins.
 EXCHANGE_WORDS, CLASSES, DICTIONARY = 1024, 64, 1 << 18
@@ -152,7 +152,7 @@ def _added(blocks: DataFrame, add, schema: str, then=None, then_schema: str | No
 
 
 def _matrix_blocks(height: int, width: int, kind: str, keys, salts: int):
-    """A kernel that counts ``keys`` (row * width + column) of each sequence and gives on blocks of rows."""
+    """A kernel that counts ``keys`` (row * width + column) of each sequence and gives on blocks of rows, of which only what isn't 0: few of a matrix's cells in a small task."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(height * width, np.int64)
@@ -172,46 +172,20 @@ def _matrix_blocks(height: int, width: int, kind: str, keys, salts: int):
                     add()
                     size = 0
         add()
-        rows = total.reshape(height, width).astype("<i8")
-        blocks = [(b, rows[b * BLOCK_ROWS : (b + 1) * BLOCK_ROWS]) for b in range(-(-height // BLOCK_ROWS))]
-        blocks = [(b, x.tobytes()) for b, x in blocks if x.any()]
-        yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in blocks], pa.int64()), "salt": pa.array([_salt(salts)] * len(blocks), pa.int32()), "cells": pa.array([x for _, x in blocks], pa.binary())})
+        there = np.flatnonzero(total)
+        yield _blocks(there, total[there], BLOCK_ROWS * width, _salt(salts))
 
     return kernel
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks with the same number and salt; rows come sorted by them."""
-    key, total = None, None
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "salt", "cells"])
-
-    for batch in batches:
-        for block, salt, cells in zip(batch.column("block").to_pylist(), batch.column("salt").to_pylist(), batch.column("cells"), strict=True):
-            cells = np.frombuffer(cells.as_py(), "<i8")
-            if (block, salt) == key:
-                total += cells
-                continue
-            if key is not None:
-                yield out()
-            key, total = (block, salt), cells.copy()
-    if key is not None:
-        yield out()
-
-
 def _matrix(sequences: DataFrame, height: int, width: int, kind: str, keys) -> np.ndarray:
     """The count matrix over all ``sequences`` (one binary column); its size is set by the parameters, not by the corpus."""
-    schema = "block long, salt int, cells binary"
+    schema, size = "block long, salt int, cells binary, n binary", BLOCK_ROWS * width
     blocks = sequences.mapInArrow(_matrix_blocks(height, width, kind, keys, _salts(sequences.sparkSession)), schema)
-    out = np.zeros((-(-height // BLOCK_ROWS) * BLOCK_ROWS, width), np.int64)
-    for r in _added(blocks, _summed, schema).collect():
-        out[r["block"] * BLOCK_ROWS : (r["block"] + 1) * BLOCK_ROWS] += _padded(np.frombuffer(r["cells"], "<i8").reshape(-1, width))
-    return out[:height]
-
-
-def _padded(rows: np.ndarray) -> np.ndarray:
-    return np.concatenate([rows, np.zeros((BLOCK_ROWS - len(rows), rows.shape[1]), np.int64)])
+    out = np.zeros(-(-height // BLOCK_ROWS) * size, np.int64)
+    for r in _added(blocks, _sparse_sums(size), schema).collect():
+        _added_to(out[r["block"] * size : (r["block"] + 1) * size], r["cells"], r["n"])
+    return out.reshape(-1, width)[:height]
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -287,6 +261,14 @@ def _sparse(block: np.ndarray, salt: int, cells: list[np.ndarray], n: list[np.nd
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "salt", "cells", "n"])
 
 
+def _blocks(keys: np.ndarray, n: np.ndarray, size: int, salt: int) -> pa.RecordBatch:
+    """Counts ``n`` of the sorted ``keys`` in blocks of ``size`` places."""
+    blocks = np.unique(keys // size).astype(np.int64)
+    cuts = np.searchsorted(keys, np.append(blocks, blocks[-1:] + 1) * size)
+    parts = [slice(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    return _sparse(blocks, salt, [keys[p] % size for p in parts], [n[p] for p in parts])
+
+
 def _added_to(total: np.ndarray, cells: bytes, n: bytes) -> None:
     total[np.frombuffer(cells, "<u4")] += np.frombuffer(n, "<u4" if len(n) == len(cells) else "<i8")
 
@@ -299,10 +281,7 @@ def _contexts(class_of: np.ndarray, width: int, salts: int):
 
         def out() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-            blocks = np.unique(keys // (BLOCK_WORDS * width)).astype(np.int64)
-            cuts = np.searchsorted(keys, np.append(blocks, blocks[-1:] + 1) * BLOCK_WORDS * width)
-            parts = [slice(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-            return _sparse(blocks, _salt(salts), [keys[p] % (BLOCK_WORDS * width) for p in parts], [n[p] for p in parts])
+            return _blocks(keys, n, BLOCK_WORDS * width, _salt(salts))
 
         for batch in batches:
             for value in batch.column(0):
@@ -322,9 +301,9 @@ def _contexts(class_of: np.ndarray, width: int, salts: int):
     return kernel
 
 
-def _sparse_sums(width: int):
+def _sparse_sums(size: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of the contexts with the same block and salt; rows come sorted by them."""
+        """Sums of the blocks with the same number and salt; rows come sorted by them."""
         key, total = None, None
 
         def out() -> pa.RecordBatch:
@@ -332,12 +311,12 @@ def _sparse_sums(width: int):
             return _sparse(np.array([key[0]]), key[1], [there], [total[there]])
 
         for batch in batches:
-            for block, salt, cells, n in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "cells", "n")), strict=True):
+            for block, salt, cells, n in zip(batch.column("block").to_pylist(), batch.column("salt").to_pylist(), batch.column("cells"), batch.column("n"), strict=True):
                 if (block, salt) != key:
                     if key is not None:
                         yield out()
-                    key, total = (block, salt), np.zeros(BLOCK_WORDS * width, np.int64)
-                _added_to(total, cells, n)
+                    key, total = (block, salt), np.zeros(size, np.int64)
+                _added_to(total, cells.as_py(), n.as_py())
         if key is not None:
             yield out()
 
@@ -364,7 +343,7 @@ def _moves(learnt: DataFrame, class_of: np.ndarray, prefers: Preference, default
     width = 2 * (CLASSES + 1)
     schema = "block long, salt int, cells binary, n binary"
     contexts = learnt.select("codes").mapInArrow(_contexts(class_of, width, _salts(learnt.sparkSession)), schema)
-    return _added(contexts, _sparse_sums(width), schema, _moved(prefers, default, width), "block long, classes binary")
+    return _added(contexts, _sparse_sums(BLOCK_WORDS * width), schema, _moved(prefers, default, width), "block long, classes binary")
 
 
 def _exchanged(learnt: DataFrame, class_of: np.ndarray) -> np.ndarray:
@@ -421,7 +400,7 @@ def _tail_contexts(class_of: np.ndarray):
 
 def _tail_classes(prefers: Preference):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(word, c, k) of the words beyond the dictionary; rows come sorted by word, and a word's counts go on into the next batch."""
+        """(word, c, k) of the words beyond the dictionary; rows of a word come one after another, and its counts go on into the next batch."""
         width = 2 * (CLASSES + 1)
         word, count, total = None, 0, np.zeros(width, np.int64)
 
@@ -433,7 +412,7 @@ def _tail_classes(prefers: Preference):
             if not len(batch):
                 continue
             coded = pc.dictionary_encode(batch.column("word"))
-            of, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()  # in order of appearance, hence sorted
+            of, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()  # in order of appearance
             column = batch.column("slots")
             offsets = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset)
             slots = np.frombuffer(column.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
@@ -508,13 +487,15 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Learns from the rows that are not held out, scores all. A null text is empty: one token, its end. A null id counts as the empty
     text and is held out. Repeated rows are learnt and scored like others; ids keep their type. Without training rows every word is unknown; an empty
     table gives no rows. Words beyond the dictionary, of any number, are counted, classed and looked up by joins on the word; only tables bounded
-    by the parameters reach the driver. Only the two named columns are read, so others may have any name.
+    by the parameters reach the driver. Only the two named columns are read, so others may have any name. Tables in between are written in few files,
+    however many parts a small input comes in.
     """
     spark = docs.sparkSession
+    files = writers(docs)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    counts = stored(rows.where(~F.col("held_out")).select("text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
+    counts = stored(rows.where(~F.col("held_out")).select("text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")).coalesce(files))
     n_tokens, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     # The dictionary: all words from a count on, so that at most DICTIONARY of them are broadcast. 16 steps of counts per factor 2.
@@ -529,7 +510,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     end_count = next((c for w, c in top if w == END), 0) or (counts.where(F.col("word") == F.lit(b"")).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     top = [x for x in top if x[0] != END]
     shared = _Broadcast(spark, (b"\n".join(w for w, _ in top), np.array([c for _, c in top], np.int64).tobytes()))
-    coded = stored(rows.mapInArrow(_encoder(shared, len(top)), f"doc_id {id_type}, {ENCODED}"))
+    coded = stored(rows.coalesce(files).mapInArrow(_encoder(shared, len(top)), f"doc_id {id_type}, {ENCODED}"))
     learnt = coded.where(~F.col("held_out"))
 
     # Classes: exchange of the most frequent words one by one, of the whole dictionary at once, of all other words by their neighbours.
@@ -548,7 +529,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             class_of = _exchanged(learnt, class_of)
     prefers = Preference(_pairs(learnt, class_of))
     contexts = learnt.select("codes", "rare", "rare_n").mapInArrow(_tail_contexts(class_of), "word binary, n long, slots binary")
-    tail = stored(contexts.repartition(n_parts, "word").sortWithinPartitions("word").mapInArrow(_tail_classes(prefers), "word binary, c long, k int"))
+    tail = stored(contexts.repartition(n_parts, "word").sortWithinPartitions("word").coalesce(files).mapInArrow(_tail_classes(prefers), "word binary, c long, k int"))
     inside = np.bincount(class_of, minlength=CLASSES + 1)
     for r in tail.groupBy("k").count().collect():
         inside[r["k"]] += r["count"]
@@ -562,7 +543,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kinds = f"doc_id {id_type}, row long, held_out boolean, n_tokens long, known long, logs double"
     classed = coded.select(*columns, "codes").mapInArrow(_classed(class_of), f"{kinds}, classes binary, holes binary")
     whole = classed.join(rare, "row", "left").select("doc_id", "row", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("known"), (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))).alias("logs"), "classes", "holes", F.coalesce("found", F.array().cast("array<int>")).alias("found"))
-    filled = stored(whole.mapInArrow(_filled, f"{kinds}, classes binary"))
+    filled = stored(whole.coalesce(files).mapInArrow(_filled, f"{kinds}, classes binary"))
     width = CLASSES + 1
     model = ClassModel(_matrix(filled.where(~F.col("held_out")).select("classes"), width, width, "u1", lambda c: np.append(width - 1, c[:-1]) * width + c), inside)
 

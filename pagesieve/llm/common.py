@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Groups that may count as hot: at most so many can hold one part in so many of all rows.
 HOT_GROUPS = 1000
+#: A task that writes a table stands for so many bytes of the input at least, if that leaves so many tasks for each core.
+WRITER_BYTES, WRITERS_PER_CORE = 8 << 20, 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def writers(df: DataFrame) -> int:
+    """How many tasks at most should write a table made from ``df``; more of them only make small files.
+
+    Goes by Spark's estimate of the size of ``df``, which for what no file or relation stands behind is beyond any bound. Where Hadoop's native library is
+    missing, each file in a local folder costs two started processes besides (``chmod``, for it and its checksums).
+    """
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(WRITERS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-estimate // WRITER_BYTES)), (1 << 31) - 1)
+
+
 #: Tables that :func:`stored` has written in this process, oldest first.
 _WRITTEN: list[str] = []
 

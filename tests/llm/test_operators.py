@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -315,6 +316,40 @@ def test_class_lm_runs_one_python_process_for_each_core(spark, monkeypatch):
     assert max(n.count("MapInArrow") for n in nodes) == 3 and not any(a == b == "MapInArrow" for n in nodes for a, b in zip(n, n[1:], strict=False))
 
 
+def test_counts_of_a_small_task_take_little_room(monkeypatch):
+    """A task's part of a count matrix holds only the cells it has counted, not all blocks whole."""
+    monkeypatch.setattr(brown, "_salt", lambda salts: 0)
+    codes = np.array([0, 5, 1023, 0, 5], "<u4")
+    kernel = brown._matrix_blocks(1024, 1024, "<u4", lambda c: c[:-1] * 1024 + c[1:], 3)
+    assert sum(b.nbytes for b in kernel(iter([pa.RecordBatch.from_pydict({"codes": [codes.tobytes()]})]))) < 1000
+    assert sum(b.num_rows for b in kernel(iter([]))) == 0
+
+
+def test_class_lm_writes_few_files(spark, monkeypatch, tmp_path):
+    """Each file that an executor writes may start processes; a small table in many parts doesn't make many files."""
+    whole = spark.createDataFrame([(i, prose(20 + i % 7, i) + f" w{i % 50}") for i in range(200)], "doc_id long, text string")
+    whole.repartition(20).write.parquet(f"{tmp_path}/docs")
+    names, few = [], 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(brown, "stored", lambda df, f=brown.stored: (out := f(df), names.append(out))[0])
+    monkeypatch.setattr(brown, "DICTIONARY", 20)
+    want = sorted(tuple(r) for r in brown.score_texts(whole.coalesce(1)).collect())
+    held = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "1m"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        parts = spark.read.parquet(f"{tmp_path}/docs")
+        names.clear()
+        assert parts.rdd.getNumPartitions() == 20
+        got = sorted(tuple(r) for r in brown.score_texts(parts).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(names) == 4 and all(0 < len(x.inputFiles()) <= few for x in names), [len(x.inputFiles()) for x in names]
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a[5:], b[5:], strict=True))
+
+
 def test_class_lm_without_training_rows(spark):
     r = brown.score_texts(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()[0]
     assert r.held_out and (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and math.isclose(r.base_score, 3 * math.log10(0.1 / 0.1), abs_tol=1e-9)
